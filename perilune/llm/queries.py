@@ -6,8 +6,19 @@ from perilune.llm import op1_secret_scans as o1
 from perilune.llm import op2_quality_rules as o2
 from perilune.llm import op3_warc as o3
 from perilune.llm import op4_chat_format as o4
+from perilune.llm import op5_packing as o5
+from perilune.llm import op7_quality_classifier as o7
 from perilune.llm import op8_mixing as o8
+from perilune.llm import op10_topk as o10
 
-QUERIES = {"op1_secret_scans": o1.op1_secret_scans, "op2_quality_rules": o2.op2_quality_rules, "op3_warc": o3.op3_warc, "op4_chat_format": o4.op4_chat_format, "op8_mixing": o8.op8_mixing}
-_SQL = {"op1_secret_scans": o1.SQL, "op2_quality_rules": o2.SQL, "op3_warc": o3.SQL, "op4_chat_format": o4.SQL, "op8_mixing": o8.SQL}
-ORACLE_SQL = {k: v for k, v in _SQL.items() if v}
+QUERIES = {
+    "op1_secret_scans": o1.op1_secret_scans,
+    "op2_quality_rules": o2.op2_quality_rules,
+    "op3_warc": o3.op3_warc,
+    "op4_chat_format": o4.op4_chat_format,
+    "op5_packing": o5.op5_packing,
+    "op7_quality_classifier": o7.op7_quality_classifier,
+    "op8_mixing": o8.op8_mixing,
+    "op10_topk": o10.op10_topk,
+}
+ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o7, o8, o10), strict=True) if m.SQL}
