@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at exactly these characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -21,7 +23,7 @@ def ready(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set(_BATCH, "512")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,15 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/perilune-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def staged(df: DataFrame, batch: int = 512) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. batch: rows of an Arrow batch meanwhile."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    spark.conf.set(_BATCH, str(batch))
+    df.write.option("compression", "zstd").parquet(path)
+    spark.conf.set(_BATCH, "512")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

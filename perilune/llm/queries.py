@@ -7,6 +7,7 @@ from perilune.llm import op2_quality_rules as o2
 from perilune.llm import op3_warc as o3
 from perilune.llm import op4_chat_format as o4
 from perilune.llm import op5_packing as o5
+from perilune.llm import op6_jaccard_join as o6
 from perilune.llm import op7_quality_classifier as o7
 from perilune.llm import op8_mixing as o8
 from perilune.llm import op10_topk as o10
@@ -17,8 +18,9 @@ QUERIES = {
     "op3_warc": o3.op3_warc,
     "op4_chat_format": o4.op4_chat_format,
     "op5_packing": o5.op5_packing,
+    "op6_jaccard_join": o6.op6_jaccard_join,
     "op7_quality_classifier": o7.op7_quality_classifier,
     "op8_mixing": o8.op8_mixing,
     "op10_topk": o10.op10_topk,
 }
-ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o7, o8, o10), strict=True) if m.SQL}
+ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o10), strict=True) if m.SQL}

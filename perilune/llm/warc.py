@@ -135,11 +135,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
-        return staged(files.mapInArrow(run, SCHEMA))
-    finally:
-        ready(spark)
+    return staged(files.mapInArrow(run, SCHEMA), batch=1)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
