@@ -10,6 +10,7 @@ from perilune.llm import op5_packing as o5
 from perilune.llm import op6_jaccard_join as o6
 from perilune.llm import op7_quality_classifier as o7
 from perilune.llm import op8_mixing as o8
+from perilune.llm import op9_lm_scoring as o9
 from perilune.llm import op10_topk as o10
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_jaccard_join": o6.op6_jaccard_join,
     "op7_quality_classifier": o7.op7_quality_classifier,
     "op8_mixing": o8.op8_mixing,
+    "op9_lm_scoring": o9.op9_lm_scoring,
     "op10_topk": o10.op10_topk,
 }
-ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o10), strict=True) if m.SQL}
+ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o9, o10), strict=True) if m.SQL}
