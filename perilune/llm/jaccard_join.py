@@ -13,10 +13,12 @@ Tokens are 5-word shingles; documents link when their token sets' Jaccard simila
    is indexed; a class of f tokens survives f - 2 misses... so the prefix grows until rare + sum(f - 1) > e. Partners then share
    a key: the smaller last token's prefix lies in the other's, and e misses can't break every class. c depends on
    the power of two below n, so the combinations stay in proportion to n; a document near the next power is indexed for both.
-4. Within a key, documents are first paired with the key's smallest document and with their neighbour by size: as many pairs as
-   rows. Pairs are verified on whole texts, and components are formed.
+4. Within a key, documents are first paired with one centre: fewer pairs than rows. Sketches (token counts by bucket) rule out
+   pairs that can't link; the rest is verified on whole texts, and components are formed. Large keys repeat this with
+   other centres for what isn't in the centre's component, until a round finds no link.
 5. Keys whose documents are still in different components pair those across components; what is already joined needs no more
-   links. These are verified too, and components are formed anew. So no link between different texts is lost, and a
+   links. Large keys do so inside tasks, on blocks of bounded size, and emit what their sketches let through. These pairs are
+   verified too, and components are formed anew. So no link between different texts is lost, and a
    large group of near copies never emits all its pairs.
 
 Null and empty texts have no tokens and link with nothing; texts under five words are one token. Documents that share a doc_id
@@ -26,6 +28,7 @@ count as one document; a null doc_id is its own, unlinked. Other columns are lef
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from perilune.llm.common import map_texts, ready, released, staged
 from perilune.llm.components import components
-from perilune.llm.shingles import scramble, shingle_set
+from perilune.llm.shingles import scramble, shingle_sets
 
 _REM_BITS = 28
 _BITMAP_BITS = 27
@@ -48,15 +51,33 @@ _BLOCK_TOKENS = 1 << 22
 _FLUSH_TOKENS = 1 << 22
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of 2^k buckets, n to 2n of them, a byte each."""
+    size = 1 << max(int(len(tokens)).bit_length(), 3)
+    return np.minimum(np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether two sets of n and m tokens can be similar enough: a bucket shares at most the smaller of its two counts."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+        return True
+    size = min(len(a), len(b))
+    if len(a) != len(b):
+        a, b = a.reshape(-1, size).sum(axis=0), b.reshape(-1, size).sum(axis=0)
+    both = int(np.minimum(a, b).sum())
+    return 100 * both >= 80 * (n + m - both)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), key (128 bits of the sorted set; null without tokens)."""
+    """doc_id, n (size of the set), key (128 bits of the sorted set; null without tokens), sketch."""
 
     def run(ids: list, texts: list) -> dict:
-        found = [shingle_set(t) for t in texts]
+        found = shingle_sets(texts)
         keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
-        return {"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in found], pa.int64()), "key": pa.array(keys, pa.binary())}
+        return {"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in found], pa.int64()), "key": pa.array(keys, pa.binary()), "sketch": pa.array([sketch(x) for x in found], pa.binary())}
 
-    return map_texts(docs, run, "doc_id long, n long, key binary")
+    return map_texts(docs, run, "doc_id long, n long, key binary, sketch binary")
 
 
 def encode_counts(rem: np.ndarray) -> bytes:
@@ -101,9 +122,9 @@ def count_blobs(texts: DataFrame, blocks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(shingle_set(t))
-                size += len(held[-1])
+            for x in shingle_sets(b.column(0).to_pylist()):
+                held.append(x)
+                size += len(x)
                 if size >= _FLUSH_TOKENS:
                     yield flush(held)
                     held, size = [], 0
@@ -170,8 +191,7 @@ def index(texts: DataFrame, bitmap: np.ndarray, blocks: int) -> DataFrame:
 
     def run(ids: list, texts: list) -> dict:
         keys, docs, sizes = [], [], []
-        for doc, text in zip(ids, texts, strict=True):
-            tokens = shingle_set(text)
+        for doc, tokens in zip(ids, shingle_sets(texts), strict=True):
             if len(tokens) > 1:  # one token alone equals no other set's
                 at = _bit(*_place(tokens, blocks))
                 found = index_keys(tokens, (bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
@@ -192,60 +212,192 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
 
 
+def bucketed(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """A table in the warehouse, dealt by a column: later joins on it don't move its rows. Returns it and its name."""
+    spark = df.sparkSession
+    name = f"perilune_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name
+
+
+def sifted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of distinct pairs (lo, hi) those whose sketches don't rule a link out; staged. Sketches are a small part of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                columns = [c.to_pylist() for c in b.columns[2:]]
+                yield b.select([0, 1]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)]))
+
+    side = lambda name, n, x: texts.select(F.col("doc_id").alias(name), F.col("n").alias(n), F.col("sketch").alias(x))
+    joined = side("lo", "n", "x").join(pairs.hint("shuffle_hash"), "lo")
+    joined = side("hi", "m", "y").join(joined.hint("shuffle_hash"), "hi").select("lo", "hi", "n", "m", "x", "y")
+    return staged(joined.mapInArrow(run, "lo long, hi long").distinct())
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (lo, hi) those whose whole texts are similar enough; staged."""
+    """Of distinct pairs (lo, hi) those whose whole texts are similar enough; staged. Texts stay where they are for the first join; those of pairs alone move for the second."""
     ready(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, np.ndarray] = {}
         for b in batches:
+            if not b.num_rows:
+                continue
             lo, hi, x, y = (c.to_pylist() for c in b.columns)
+            texts = dict(zip(zip([*lo, *hi], map(hash, [*x, *y]), strict=True), [*x, *y], strict=True))
+            found = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
             keep = []
             for i, j, s, t in zip(lo, hi, x, y, strict=True):
-                if len(memo) > 256:
-                    memo.clear()
-                one = memo[i] if i in memo else memo.setdefault(i, shingle_set(s))
-                two = memo[j] if j in memo else memo.setdefault(j, shingle_set(t))
+                one, two = found[i, hash(s)], found[j, hash(t)]
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(one) + len(two) - both))
             yield b.select([0, 1]).filter(pa.array(keep))
 
     side = lambda name, text: texts.select(F.col("doc_id").alias(name), F.col("text").alias(text))
-    joined = pairs.join(side("lo", "x"), "lo").join(side("hi", "y"), "hi").select("lo", "hi", "x", "y")
+    joined = side("lo", "x").join(pairs.hint("shuffle_hash"), "lo")
+    joined = side("hi", "y").join(joined.hint("shuffle_hash"), "hi").select("lo", "hi", "x", "y")
     return staged(joined.mapInArrow(run, "lo long, hi long"), batch=64)
 
 
+#: Keys with so many documents are joined by stars first, and their last pairs are compared inside tasks, block by block.
+_LARGE_KEY = 12
+_MOST_STARS = 4
+_BLOCK_DOCS = 2048
+#: Of a document's large keys so many tell whether a pair is compared under another key already.
+_FEW_KEYS = 8
+
+
+def _compare(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block pair of one key that are in different components, near in size, first met here, and not ruled out by their sketches."""
+    doc, n, comp, side = (np.array(group[c]) for c in ("doc", "n", "comp", "side"))
+    key, first, second = group["key"][0], group["i"][0], group["j"][0]
+    left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
+    few = [[k for k in ks if k < key] for ks in group["few"]]
+    known = {k: c for c, k in enumerate(sorted({k for ks in few for k in ks}))}
+    holds = np.zeros((len(doc), max(len(known), 1)), dtype=np.float32)
+    for r, ks in enumerate(few):
+        holds[r, [known[k] for k in ks]] = 1
+    near = (5 * n[left][:, None] >= 4 * n[right][None, :]) & (5 * n[right][None, :] >= 4 * n[left][:, None])
+    fresh = near & (comp[left][:, None] != comp[right][None, :]) & (holds[left] @ holds[right].T == 0)
+    a, b = np.nonzero(fresh)
+    a, b = left[a], right[b]
+    if first == second:
+        a, b = a[a < b], b[a < b]
+    size = np.array([len(x) for x in group["sketch"]])
+    kept = [np.zeros((0, 2), dtype=np.int64)]
+    for x in np.unique(size[a]) if len(a) else ():
+        for y in np.unique(size[b]):
+            pick = np.flatnonzero((size[a] == x) & (size[b] == y))
+            width = min(x, y)
+            if not len(pick):
+                continue
+
+            def rows(which: np.ndarray, width: int = width) -> tuple[np.ndarray, np.ndarray]:
+                docs, back = np.unique(which, return_inverse=True)
+                counts = np.frombuffer(b"".join(group["sketch"][d] for d in docs), dtype=np.uint8).reshape(len(docs), -1)
+                full = counts.max(axis=1, initial=0) == 255
+                return np.where(full[:, None], 65535, counts.reshape(len(docs), -1, width).sum(axis=1)).astype(np.uint16), back
+
+            (left_counts, p), (right_counts, q) = rows(a[pick]), rows(b[pick])
+            step = max(1, (1 << 24) // width)
+            for at in range(0, len(pick), step):
+                part = slice(at, at + step)
+                both = np.minimum(left_counts[p[part]], right_counts[q[part]]).sum(axis=1, dtype=np.int64)
+                total = n[a[pick[part]]] + n[b[pick[part]]]
+                good = pick[part][100 * both >= 80 * (total - np.minimum(both, total))]
+                kept.append(np.column_stack([a[good], b[good]]))
+    pairs = np.concatenate(kept)
+    return doc[pairs[:, 0]], doc[pairs[:, 1]]
+
+
+def across_large(member: DataFrame, texts: DataFrame) -> DataFrame:
+    """lo, hi of pairs across components within large keys. A key's documents are dealt into blocks of bounded size, and each pair of blocks is compared in one task; only pairs that may link come out."""
+    few = member.groupBy("doc").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FEW_KEYS).alias("few"))
+    sketches = texts.select(F.col("doc_id").alias("doc"), "sketch").join(few.hint("shuffle_hash"), "doc")
+    blocks = F.ceil(F.col("c") / _BLOCK_DOCS).cast("long")
+    rows = member.withColumn("side", F.pmod(F.xxhash64("doc"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.join(sketches, "doc").select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "doc", "n", "comp", "few", "sketch")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = rows.columns
+
+    def out(group: dict[str, list]) -> pa.RecordBatch:
+        x, y = _compare(group)
+        return pa.RecordBatch.from_pydict({"lo": pa.array(np.minimum(x, y), pa.int64()), "hi": pa.array(np.maximum(x, y), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: dict[str, list] = {c: [] for c in names}
+        for b in batches:
+            columns = dict(zip(names, (c.to_pylist() for c in b.columns), strict=True))
+            marks = list(zip(columns["key"], columns["i"], columns["j"], strict=True))
+            begin = 0
+            for k in range(len(marks)):
+                last = (group["key"][-1], group["i"][-1], group["j"][-1]) if k == 0 and group["key"] else marks[k - 1] if k else None
+                if last is not None and marks[k] != last:
+                    for c in names:
+                        group[c] += columns[c][begin:k]
+                    yield out(group)
+                    group, begin = {c: [] for c in names}, k
+            for c in names:
+                group[c] += columns[c][begin:]
+        if group["key"]:
+            yield out(group)
+
+    return rows.mapInArrow(run, "lo long, hi long")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, key of each row; key, comp of each key): comp is the smallest doc_id that links reach."""
     spark = docs.sparkSession
     mine = staged(sets(docs.select("doc_id", "text")))
-    reps = staged(mine.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    texts = staged(docs.select("doc_id", "text").join(reps.where("n > 1").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    released(spark)
-    bitmap, blocks = frequent_bitmap(texts, reps.agg(F.sum("n")).first()[0] or 0)
+    reps = staged(mine.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")))
+    single = reps.where("n > 1").select(F.col("rep").alias("doc_id"), "n", "sketch")
+    texts, name = bucketed(docs.select("doc_id", "text").join(single, "doc_id"), "doc_id")
+    try:
+        found = _linked(texts, reps.agg(F.sum("n")).first()[0] or 0)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+    comps = reps.select("key", F.col("rep").alias("doc")).join(found, "doc", "left").select("key", F.coalesce("comp", "doc").alias("comp"))
+    return mine.select("doc_id", "n", "key"), comps
+
+
+def _linked(texts: DataFrame, tokens: int) -> DataFrame:
+    """doc, comp of the documents that link: texts has doc_id, n, sketch and text of one document of each class."""
+    spark = texts.sparkSession
     released(spark)
-    by_size = Window.partitionBy("key").orderBy("n", "doc")
-    first, before = (lambda c: F.first(c).over(by_size)), (lambda c: F.lag(c).over(by_size))
-    shared = index(texts, bitmap, blocks).withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    shared = staged(shared.select("key", "doc", "n", first("doc").alias("p"), first("n").alias("pn"), before("doc").alias("q"), before("n").alias("qn")))
+    bitmap, blocks = frequent_bitmap(texts, tokens)
     released(spark)
-    tried = shared.where((F.col("doc") != F.col("p")) & _close("n", "pn")).select(*_pair("doc", "p"))
-    tried = staged(tried.unionByName(shared.where((F.col("doc") != F.col("q")) & (F.col("p") != F.col("q")) & _close("n", "qn")).select(*_pair("doc", "q"))).distinct())
-    links = verified(tried, texts)
+    shared = staged(index(texts, bitmap, blocks).withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
     released(spark)
-    found = components(links)
+    found = spark.createDataFrame([], "doc long, comp long")
+    tried: DataFrame | None = None
+    for turn in range(_MOST_STARS):
+        # A hash of its own orders the documents in each round, so the keys of a group of near copies choose the same few centres.
+        member = shared if turn == 0 else shared.where(F.col("c") >= _LARGE_KEY)
+        member = member.select("key", "doc", "n").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))).alias("s")).select("key", "s.d", "s.m", "s.o")
+        pairs = member.join(centre, "key").where((F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d")).distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["lo", "hi"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = verified(sifted(pairs, texts), texts)
+        released(spark)
+        if turn and not links.limit(1).count():
+            break
+        found = components(found.select(F.col("doc").alias("lo"), F.col("comp").alias("hi")).unionByName(links))
     # Keys that still hold several components: pairs across them, but for those tried before.
-    member = shared.select("key", "doc", "n").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    member = shared.join(found, "doc", "left").select("key", "doc", "n", "c", F.coalesce("comp", "doc").alias("comp"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
     rest = staged(member.join(mixed, "key", "left_semi"))
-    other = rest.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))
-    across = rest.join(other, "key").where((F.col("doc") < F.col("d")) & (F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d")).distinct()
-    more = verified(staged(across.join(tried, ["lo", "hi"], "left_anti")), texts)
+    small = rest.where(F.col("c") < _LARGE_KEY)
+    other = small.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))
+    across = small.join(other, "key").where((F.col("doc") < F.col("d")) & (F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d"))
+    across = across.unionByName(across_large(rest.where(F.col("c") >= _LARGE_KEY), texts)).distinct()
+    more = verified(sifted(staged(across.join(tried, ["lo", "hi"], "left_anti")), texts), texts)
     if more.limit(1).count():
         found = components(found.select(F.col("doc").alias("lo"), F.col("comp").alias("hi")).unionByName(more))
     released(spark)
-    comps = reps.select("key", F.col("rep").alias("doc")).join(found, "doc", "left").select("key", F.coalesce("comp", "doc").alias("comp"))
-    return mine, comps
+    return found
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
