@@ -16,7 +16,7 @@ Repeated rows are rows of their own in the same block. A source without words ha
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     most: int = 2
-    depth: int = 4
+    depth: int | None = None  # of the tree; None: so that a shard has about 16 units, at most 2^12 shards
     block_rows: int = 256
     most_blocks: int = 4096  # of a source; blocks only set how finely shards are mixed, so more rows make larger blocks
     seed: int = 17
@@ -83,7 +83,7 @@ def split_quotas(quotas: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """k, shard, quota from rows of (k, quota): the leaves of the tree. One row of arrays grows to 2^depth; no shuffle."""
     nodes = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), F.col("quota").cast("long").alias("quota")))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     kind = "struct<left:bigint,drawn:bigint,x:array<bigint>>"
-    for level in range(mix.depth):
+    for level in range(mix.depth or 0):
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, s: a + s["quota"])
 
         seeds = (F.lit(mix.seed), F.lit(level), F.col("node"))
@@ -122,6 +122,9 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     before = F.sum("words").over(Window.partitionBy("k").orderBy(F.xxhash64(seed, F.lit(1), "k", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     blocks = blocks.withColumn("left", F.col("rest") - before).withColumn("state", F.when(F.col("left") >= F.col("words"), "whole").when(F.col("left") > 0, "part").otherwise("none"))
     blocks = staged(blocks.select("k", "block", "words", "left", "state", (F.col("full") + (F.col("state") != "none").cast("int")).cast("long").alias("units")))
+    if mix.depth is None:
+        units = blocks.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
+        mix = replace(mix, depth=min(12, max(0, (units // 16).bit_length() - 1)))
     # Each source's units in a hashed order fill its leaves' quotas one after the other.
     quotas = split_quotas(blocks.groupBy("k").agg(F.sum("units").alias("quota")), mix)
     end = F.sum("quota").over(Window.partitionBy("k").orderBy("shard"))
@@ -141,7 +144,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *kept)
 
 
-def mixed_rows(mixed: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself: a row for each copy, by shard, shuffled inside each."""
+def mixed_rows(mixed: DataFrame, mix: Mix = Mix(), parts: int = 64) -> DataFrame:
+    """The mix itself: a row for each copy, by shard, shuffled inside each. A shard is dealt over `parts` groups by the hash that shuffles it, so no task holds a whole one."""
     rows = mixed.select("*", F.explode("copies").alias("c")).select("*", F.col("c.copy").alias("copy"), F.col("c.shard").alias("shard")).drop("c", "copies")
-    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(mix.seed), F.lit(4), "doc_id", "copy"))
+    place = F.xxhash64(F.lit(mix.seed), F.lit(4), "doc_id", "copy")
+    return rows.repartition("shard", F.pmod(place, F.lit(parts))).sortWithinPartitions("shard", place)
