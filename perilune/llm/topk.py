@@ -25,6 +25,8 @@ from perilune.llm.common import ready, staged
 LEVELS = (4, 16)  # segments, coarse to fine
 _SLICE = 2048  # candidates whose bounds are held at once
 _EXACT = 2.0**53
+#: With a larger share of pairs alive, products of whole matrices are faster than those of single pairs.
+_DENSE = 0.02
 
 
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -72,21 +74,33 @@ class Search:
 
     def _slice(self, ids: np.ndarray, c: np.ndarray) -> None:
         slack = 1e-9 * self.scale[:, None] * np.sqrt((c * c).sum(axis=1))[None, :]
-        alive = (self.bounds[0] @ segment_statistics(c, LEVELS[0]).T + slack >= self.least[:, None]) & (self.ids[:, None] != ids[None, :])
-        a, b = np.nonzero(alive)
-        for bound, segments in zip(self.bounds[1:], LEVELS[1:], strict=True):
-            fine, keep = segment_statistics(c, segments), np.empty(len(a), dtype=bool)
-            for i in range(0, len(a), 1 << 18):
-                x, y = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
-                keep[i : i + (1 << 18)] = np.einsum("ij,ij->i", bound[x], fine[y]) + slack[x, y] >= self.least[x]
-            a, b = a[keep], b[keep]
-        self.computed += len(a)
-        score = np.concatenate([np.empty(0, dtype=np.int64), *(exact_products(self.q, c, a[i : i + (1 << 18)], b[i : i + (1 << 18)]) for i in range(0, len(a), 1 << 18))])
-        good = score >= self.least[a]
-        rows = np.concatenate([self.best, np.column_stack([a[good], score[good], ids[b[good]]])])
+        floor = self.least[:, None] - slack
+        alive = self.ids[:, None] != ids[None, :]
+        for bound, segments in zip(self.bounds, LEVELS, strict=True):
+            fine = segment_statistics(c, segments)
+            if alive.mean() > _DENSE:
+                alive &= bound @ fine.T >= floor
+            else:
+                a, b = np.nonzero(alive)
+                alive[a, b] = np.einsum("ij,ij->i", bound[a], fine[b]) >= floor[a, b]
+        self.computed += int(alive.sum())
+        if alive.mean() > _DENSE and np.abs(self.q).max(initial=0) * np.abs(c).max(initial=0) * c.shape[1] < _EXACT:
+            # Many survivors: one product of matrices of whole numbers, exact in doubles, then the k best of each query.
+            score = np.where(alive, self.q @ c.T, -np.inf)
+            if score.shape[1] >= self.k:
+                np.maximum(self.least, np.partition(score, -self.k, axis=1)[:, -self.k], out=self.least)
+            a, b = np.nonzero(alive & (score >= self.least[:, None]))
+            self._keep(a, score[a, b].astype(np.int64), ids[b])
+        else:
+            a, b = np.nonzero(alive)
+            score = np.concatenate([np.empty(0, dtype=np.int64), *(exact_products(self.q, c, a[i : i + (1 << 18)], b[i : i + (1 << 18)]) for i in range(0, len(a), 1 << 18))])
+            good = score >= self.least[a]
+            self._keep(a[good], score[good], ids[b[good]])
+
+    def _keep(self, query: np.ndarray, score: np.ndarray, vec_id: np.ndarray) -> None:
+        rows = np.concatenate([self.best, np.column_stack([query, score, vec_id])])
         rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
-        first = np.searchsorted(rows[:, 0], rows[:, 0])
-        place = np.arange(len(rows)) - first
+        place = np.arange(len(rows)) - np.searchsorted(rows[:, 0], rows[:, 0])
         self.best = rows[place < self.k]
         last = rows[place == self.k - 1]
         self.least[last[:, 0]] = last[:, 1]
