@@ -11,10 +11,14 @@ Null and empty texts are one piece with the end id alone. Repeated rows are piec
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +30,81 @@ from pyspark.sql import types as T
 from perilune.llm.common import ready, staged, utf8
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-_REMEMBERED = 400_000
+_REMEMBERED = 700_000
 _ENCODERS: dict[str, WordEncoder] = {}
+#: Control characters, anything beyond U+017F, and what may be a special token.
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xad\u0130\u0180-\U0010ffff]|<\\|")
+#: How byte-level tokenizers spell bytes: printable ones as themselves, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordEncoder:
-    """ids of whole texts from those of their words: the tokenizer drops white space and no token spans it."""
+    """ids of whole texts from those of their words: the tokenizer drops white space and no token spans it.
+
+    Texts of Latin letters, digits and signs are lowered and cut into the tokenizer's pieces here, and each new piece goes through
+    the same merges without the steps that such pieces don't need. Other texts are taken word by word, and words with any
+    other character go through the tokenizer as it is.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bare = json.loads(self.tokenizer.to_str())
+        # The tokenizer's own pattern, its classes spelt out for the characters of plain texts.
+        pattern = bare["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for name in "LN":
+            pattern = pattern.replace(rf"\p{{{name}}}", "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == name))
+        self.pattern = re.compile(pattern)
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
+        self.suffix = bare["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[k for t, k in vocabulary.items() if t.endswith(self.suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece_ids(self, new: list[str]) -> None:
+        spelt = [x if x.isascii() else x.encode().decode("latin-1").translate(_BYTE_LETTERS) for x in new]
+        found = self.merges.encode_batch_fast([" ".join(spelt[i : i + 500]) for i in range(0, len(spelt), 500)], add_special_tokens=False)
+        ids = np.array([k for e in found for k in e.ids], dtype="<u4")
+        data, at = ids.tobytes(), 0
+        for x, end in zip(new, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
+            self.pieces[x], at = data[at:end], end
+
+    def _learn(self, new: set[bytes]) -> None:
+        cut: dict[bytes, list[str]] = {}
+        odd: list[tuple[bytes, str]] = []
+        for w in new:
+            x = w.decode("utf-8", "replace")
+            if _ODD.search(x):
+                odd.append((w, x))
+            else:
+                cut[w] = [x.lower()] if x.isalpha() else self.pattern.findall(x.lower())
+        if len(self.pieces) > _REMEMBERED:
+            self.pieces.clear()
+        self._piece_ids(list({p for ps in cut.values() for p in ps}.difference(self.pieces)))
+        find = self.pieces.__getitem__
+        for w, ps in cut.items():
+            self.known[w] = b"".join(map(find, ps))
+        for (w, _), e in zip(odd, self.tokenizer.encode_batch([x for _, x in odd], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [utf8(t).split() for t in texts]
+        raw = [t or "" for t in texts]
+        plain = [not _ODD.search(t) for t in raw]
+        parts: list[list] = [self.pattern.findall(t.lower()) if p else utf8(t).split() for t, p in zip(raw, plain, strict=True)]
         if len(self.known) > _REMEMBERED:
             self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        self._learn({w for words, p in zip(parts, plain, strict=True) if not p for w in words}.difference(self.known))
+        if len(self.pieces) > _REMEMBERED:
+            self.pieces.clear()
+        self._piece_ids(list(set(chain.from_iterable(x for x, p in zip(parts, plain, strict=True) if p)).difference(self.pieces)))
+        word, piece = self.known.__getitem__, self.pieces.__getitem__
+        return [b"".join(map(piece if p else word, x)) for x, p in zip(parts, plain, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
