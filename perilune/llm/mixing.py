@@ -102,10 +102,12 @@ def split_quotas(quotas: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target, copies: array of (copy, shard), and every further column of docs but those five names."""
+    """doc_id, size, source_size, target, copies: array of (copy, shard), and every further column of docs but those names."""
     seed = F.lit(mix.seed)
     names = ("size", "source_size", "target", "copies")
-    docs = docs.select(*(c for c in docs.columns if c not in names), word_count(F.col("text")).alias("size"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", *names)]
+    # Further columns travel as one, so that their names can't clash with those used here.
+    docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*rest, F.lit(0).alias("_end")).alias("_rest"))
     sizes = staged(docs.select("doc_id", "source", "size"))
     sources = staged(
         source_targets(sizes, mix).select(
@@ -140,12 +142,12 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows = join(docs, "k", "n_blocks", "source_size", "target").withColumn("block", block)
     rows = rows.join(plan.select("k", "block", "units", "dealt", "state"), ["k", "block"]).join(skipped, "doc_id", "left")
     copies = F.filter("dealt", lambda c: (c["copy"] < F.col("units")) | (F.col("state") != "part") | F.col("skipped").isNull())
-    kept = [c for c in docs.columns if c not in ("doc_id", "size")]
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *kept)
+    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "source", *(F.col("_rest")[c].alias(c) for c in rest))
 
 
 def mixed_rows(mixed: DataFrame, mix: Mix = Mix(), parts: int = 64) -> DataFrame:
     """The mix itself: a row for each copy, by shard, shuffled inside each. A shard is dealt over `parts` groups by the hash that shuffles it, so no task holds a whole one."""
-    rows = mixed.select("*", F.explode("copies").alias("c")).select("*", F.col("c.copy").alias("copy"), F.col("c.shard").alias("shard")).drop("c", "copies")
+    kept = [F.col(c) for c in mixed.columns if c not in ("copies", "copy", "shard")]
+    rows = mixed.select(*kept, F.explode("copies").alias("_c")).withColumns({"copy": F.col("_c.copy"), "shard": F.col("_c.shard")}).drop("_c")
     place = F.xxhash64(F.lit(mix.seed), F.lit(4), "doc_id", "copy")
     return rows.repartition("shard", F.pmod(place, F.lit(parts))).sortWithinPartitions("shard", place)
