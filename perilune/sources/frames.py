@@ -44,7 +44,7 @@ def decode_frames(texts: DataFrame, value: str = "value") -> DataFrame:
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """All frame_*.json below a path, with dataset_id (the folder) and file_name; unreadable documents are dropped."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "frame_*.json").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", "frame_*.json").option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     return decode_frames(files.select("value", F.element_at(F.split(name, "/"), -2).alias("dataset_id"), F.col("_metadata.file_name").alias("file_name")))
 
@@ -68,7 +68,7 @@ def write_frames(frames: DataFrame, path: str) -> None:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """region_id, class_id, lon_deg, lat_deg from <region>/bounding_boxes.csv below a path. class_id numbers the good rows of a file from 0; a file is one table of a few thousand rows."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "bounding_boxes.csv").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", "bounding_boxes.csv").option("recursiveFileLookup", True).text(path, wholetext=True)
     return decode_catalogue(files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("region"), "value"))
 
 
@@ -112,6 +112,6 @@ DATASET = (
 
 def read_datasets(spark: SparkSession, path: str) -> DataFrame:
     """dataset.json documents, all or nothing: those with a missing or mistyped required field are dropped."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "dataset.json").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", "dataset.json").option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = files.select(F.from_json("value", DATASET).alias("x")).select("x.*")
     return rows.dropna(subset=["capture_start_time", "maximum_period", "target_frame_nb", "dataset_capture_mode", "imu_collection_mode", "target_processing_stage"]).where("capture_start_time >= 0 and target_frame_nb >= 0")
