@@ -30,8 +30,8 @@ class Limits:
     min_words: int = 50
     max_repeat_words: float = 0.5
     min_repeat: int = 8
-    max_covered: float = 0.3
-    max_longest: float = 0.2
+    max_covered: float = 0.45
+    max_longest: float = 0.25
     max_symbols: float = 0.25
 
 
