@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import gc
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder all machines share (spark.checkpoint.dir; a local one only where that is unset)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = "file:///tmp/checkpoints/perilune"
+        top = f"file:///tmp/checkpoints/perilune/{os.getpid()}"
+        atexit.register(shutil.rmtree, top.removeprefix("file://"), ignore_errors=True)
     return f"{top.rstrip('/')}/perilune-{uuid.uuid4().hex}"
 
 
@@ -50,6 +55,13 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """In a worker: return freed memory to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perilune.llm.common import ready, staged, utf8
+from perilune.llm.common import ready, staged, trim, utf8
 
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-_REMEMBERED = 700_000
+#: Pieces, and odd words, whose ids a task remembers; beyond it the memory starts anew.
+_REMEMBERED = 500_000
 _ENCODERS: dict[str, WordEncoder] = {}
 #: Control characters, anything beyond U+017F, and what may be a special token.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xad\u0130\u0180-\U0010ffff]|<\\|")
@@ -92,6 +92,12 @@ class WordEncoder:
         for (w, _), e in zip(odd, self.tokenizer.encode_batch([x for _, x in odd], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Workers outlive their tasks and serve other operators next; give back what was remembered."""
+        self.known.clear()
+        self.pieces.clear()
+        trim()
+
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         raw = [t or "" for t in texts]
@@ -141,6 +147,7 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1)
                     for name, value in zip(PIECES.names, (doc, k, at // 4, n, piece, part, rank), strict=True):
                         rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=PIECES)
+        encoder(tokenizer).forget()
 
     return staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, part long, local_rank long"))
 
