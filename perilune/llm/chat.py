@@ -1,7 +1,7 @@
 """Operator 4 [native]: chat formatting with schema fingerprints.
 
 A table's layout is known by a hash of its nested field paths, which selects a declared mapping to canonical turns (conv_id,
-turn, role, text). Fields that no layout knows are left out of the hash, so further columns do no harm. Rows of JSON
+turn, role, text). Fields that no layout knows are left out of the hash, so further columns do no harm, nor do those of another layout. Rows of JSON
 text are told apart one by one by the same hash of their paths. Then turns are escaped, formatted and joined.
 
 Null roles and texts are empty; a null turn comes first; turns with equal numbers are ordered by role, then text; repeated rows
@@ -68,19 +68,25 @@ LAYOUTS: list[tuple[list[str], Callable[[], Column]]] = [
     (["conv_id", "conversations[].from", "conversations[].value"], lambda: _messages("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
     (["conv_id", "prompt", "response"], lambda: _turns(("user", "prompt"), ("assistant", "response"))),
     (["conv_id", "prompt", "completion"], lambda: _turns(("user", "prompt"), ("assistant", "completion"))),
-    (["conv_id", "instruction", "output"], lambda: _turns(("user", "instruction"), ("assistant", "output"))),
     (["conv_id", "instruction", "input", "output"], lambda: F.array(
         F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat_ws("\n\n", F.col("instruction"), F.when(F.col("input") != "", F.col("input"))).alias("text")),
         F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.col("output").alias("text")))),
+    (["conv_id", "instruction", "output"], lambda: _turns(("user", "instruction"), ("assistant", "output"))),
 ]
 _BY_PRINT = {fingerprint(paths): make for paths, make in LAYOUTS}
 _KNOWN = {p for paths, _ in LAYOUTS for p in paths}
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table in any declared layout; an unknown layout is an error."""
+    """conv_id, turn, role, text of a table in any declared layout; an unknown layout is an error.
+
+    The hash is of all fields that any layout knows; if a table has fields of several layouts, the first one that it holds whole counts.
+    """
     paths = [p for p in field_paths(df.schema) if p in _KNOWN]
     make = _BY_PRINT.get(fingerprint(paths))
+    if make is None:
+        prints = (fingerprint([p for p in paths if p in own]) for own, _ in LAYOUTS)
+        make = next((_BY_PRINT[x] for x, (own, _) in zip(prints, LAYOUTS, strict=True) if x == fingerprint(own)), None)
     if make is None:
         raise ValueError(f"no layout for the fields {sorted(paths)}")
     return df.select(F.col("conv_id").cast("long").alias("conv_id"), F.inline(make())).select("conv_id", "turn", "role", "text")

@@ -56,7 +56,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 100) -> None:
     record = F.when(F.col("again"), F.concat(head, F.lit(f"WARC-Profile: {_PROFILE}\r\nWARC-Refers-To: <urn:page:"), name("first"), F.lit(f">\r\nContent-Length: 0{_GAP}"))).otherwise(
         F.concat(head, F.lit("Content-Length: "), (F.length(http) + F.col("n")).cast("string"), F.lit(_GAP), http, F.col("html"))
     )
-    marked.select(record.alias("value")).write.option("lineSep", _GAP).option("compression", "none").text(path)
+    marked.select(record.alias("value")).write.option("lineSep", _GAP).option("compression", "none").option("maxRecordsPerFile", 10_000).text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:

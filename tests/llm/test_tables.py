@@ -93,6 +93,8 @@ def test_layouts_by_fingerprint(spark):
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns_json(df).collect()) == [(c, k % 2, r, t) for k, (c, r, t) in enumerate(want)]
     typed = spark.createDataFrame([(3, "i", "o", 9)], "conv_id long, instruction string, output string, other int")
     assert [(r.role, r.text) for r in chat.canonical_turns(typed).collect()] == [("user", "i"), ("assistant", "o")]
+    both = spark.createDataFrame([(3, 0, "user", "t", "p", "r", "i")], "conv_id long, turn long, role string, text string, prompt string, response string, instruction string")
+    assert [(r.role, r.text) for r in chat.canonical_turns(both).collect()] == [("user", "t")]
     with pytest.raises(ValueError, match="no layout"):
         chat.canonical_turns(typed.drop("output"))
 
