@@ -48,7 +48,8 @@ _BITMAP_BITS = 27
 _MOST_FREQUENT = 1 << 22
 _LEAST_LEVEL = 5  # frequent: in at least 2^5 documents
 _BLOCK_TOKENS = 1 << 22
-_FLUSH_TOKENS = 1 << 22
+_FLUSH_TOKENS = 1 << 21
+_ALL_WIDE = (1 << 32) - 1
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -81,21 +82,27 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def encode_counts(rem: np.ndarray) -> bytes:
-    """Sorted distinct numbers under 2^28 with their counts: 16-bit steps, the wide steps apart, the counts over 1 apart."""
+    """Sorted distinct numbers under 2^28 with their counts: 16-bit steps, the wide steps apart (all in 32 bits if many are wide), the counts over 1 apart."""
     values, counts = np.unique(rem, return_counts=True)
     steps = np.diff(values, prepend=0)
     wide = steps >= 65535
     many = np.flatnonzero(counts > 1)
-    return b"".join((struct.pack("<3I", len(values), int(wide.sum()), len(many)), np.minimum(steps, 65535).astype("<u2").tobytes(), steps[wide].astype("<u4").tobytes(), many.astype("<u4").tobytes(), counts[many].astype("<u4").tobytes()))
+    if 2 * wide.sum() > len(values):
+        head, body = _ALL_WIDE, steps.astype("<u4").tobytes()
+    else:
+        head, body = int(wide.sum()), np.minimum(steps, 65535).astype("<u2").tobytes() + steps[wide].astype("<u4").tobytes()
+    return b"".join((struct.pack("<3I", len(values), head, len(many)), body, many.astype("<u4").tobytes(), counts[many].astype("<u4").tobytes()))
 
 
 def decode_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, wide, many = struct.unpack_from("<3I", blob)
-    steps = np.frombuffer(blob, "<u2", n, 12).astype(np.int64)
-    at = 12 + 2 * n
-    steps[steps == 65535] = np.frombuffer(blob, "<u4", wide, at)
+    if wide == _ALL_WIDE:
+        steps, at = np.frombuffer(blob, "<u4", n, 12).astype(np.int64), 12 + 4 * n
+    else:
+        steps, at = np.frombuffer(blob, "<u2", n, 12).astype(np.int64), 12 + 2 * n + 4 * wide
+        steps[steps == 65535] = np.frombuffer(blob, "<u4", wide, 12 + 2 * n)
     counts = np.ones(n, dtype=np.int64)
-    counts[np.frombuffer(blob, "<u4", many, at + 4 * wide)] = np.frombuffer(blob, "<u4", many, at + 4 * (wide + many))
+    counts[np.frombuffer(blob, "<u4", many, at)] = np.frombuffer(blob, "<u4", many, at + 4 * many)
     return np.cumsum(steps), counts
 
 
@@ -153,11 +160,12 @@ def frequent_bitmap(texts: DataFrame, tokens: int) -> tuple[np.ndarray, int]:
     found = staged(count_blobs(texts, blocks).groupBy("block").applyInPandas(merge, "block long, level int, n long, blob binary"))
     sizes = {r.level: r.n for r in found.groupBy("level").agg(F.sum("n").alias("n")).collect()}
     least = min([k for k in range(_LEAST_LEVEL, 65) if sum(n for v, n in sizes.items() if v >= k) <= _MOST_FREQUENT])
-    bits = np.zeros(1 << _BITMAP_BITS, dtype=bool)
+    bits = np.zeros(1 << (_BITMAP_BITS - 3), dtype=np.uint8)
     for r in found.where(F.col("level") >= least).select("block", "blob").toLocalIterator():
         rem = np.frombuffer(r.blob, "<u4")
-        bits[_bit(np.full(len(rem), r.block), rem)] = True
-    return np.packbits(bits, bitorder="little"), blocks
+        at = _bit(np.full(len(rem), r.block), rem)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return bits, blocks
 
 
 def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -301,7 +309,7 @@ def _compare(group: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
                 return np.where(full[:, None], 65535, counts.reshape(len(docs), -1, width).sum(axis=1)).astype(np.uint16), back
 
             (left_counts, p), (right_counts, q) = rows(a[pick]), rows(b[pick])
-            step = max(1, (1 << 24) // width)
+            step = max(1, (1 << 21) // width)
             for at in range(0, len(pick), step):
                 part = slice(at, at + step)
                 both = np.minimum(left_counts[p[part]], right_counts[q[part]]).sum(axis=1, dtype=np.int64)

@@ -8,7 +8,7 @@ from perilune.llm.common import utf8
 
 WIDTH = 5
 #: Texts are hashed in stretches of about so many bytes.
-_STRETCH = 1 << 20
+_STRETCH = 1 << 18
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
