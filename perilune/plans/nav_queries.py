@@ -49,9 +49,6 @@ def quaternion_mrp(spark: SparkSession, d: str) -> DataFrame:
     return _vec(spark, d).select("vec_id", *_rounded("mx my mz", Q.mrp_wxyz(_cols(1, 2, 3, 4)), 7))
 
 
-_ROT = "2 * (x * x + y * y + z * z)"
-
-
 @register("quaternion_inverse_rotate", f"""with {_VEC}, q as (select vec_id, v1 / n as x, v2 / n as y, v3 / n as z, v4 / n as w, v9 as a, v10 as b, v11 as c from (select *, sqrt(v1 * v1 + v2 * v2 + v3 * v3 + v4 * v4) n from vv))
 select vec_id, round((1 - 2 * (y * y + z * z)) * a + 2 * (x * y + w * z) * b + 2 * (x * z - w * y) * c, 7) as rx, round(2 * (x * y - w * z) * a + (1 - 2 * (x * x + z * z)) * b + 2 * (y * z + w * x) * c, 7) as ry,
   round(2 * (x * z + w * y) * a + 2 * (y * z - w * x) * b + (1 - 2 * (x * x + y * y)) * c, 7) as rz from q""")
