@@ -31,6 +31,7 @@ from perilune.llm.common import ready, staged, trim, utf8
 
 #: Pieces, and odd words, whose ids a task remembers; beyond it the memory starts anew.
 _REMEMBERED = 500_000
+_KEPT = 100_000
 _ENCODERS: dict[str, WordEncoder] = {}
 #: Control characters, anything beyond U+017F, and what may be a special token.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0\xad\u0130\u0180-\U0010ffff]|<\\|")
@@ -93,9 +94,11 @@ class WordEncoder:
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def forget(self) -> None:
-        """Workers outlive their tasks and serve other operators next; give back what was remembered."""
+        """Workers outlive their tasks and serve other operators next: keep the pieces met first, which are the common ones, and give back the rest."""
         self.known.clear()
-        self.pieces.clear()
+        for piece in list(self.pieces)[_KEPT:]:
+            del self.pieces[piece]
+        self.pieces = dict(self.pieces)  # a dict that shrank keeps its size
         trim()
 
     def encode(self, texts: list) -> list[bytes]:
