@@ -50,31 +50,53 @@ def candidate_boxes(width: Column, height: Column) -> Column:
     return sum((F.floor(width / s) * F.floor(height / s) for s in (16, 32)), F.floor(width / 8) * F.floor(height / 8))
 
 
+def _greedy(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, kind: np.ndarray, threshold: float) -> np.ndarray:
+    """Which boxes of one group, best first, stay."""
+    alive = np.ones(len(x), dtype=bool)
+    for i in range(len(x) - 1):
+        if alive[i]:
+            iw = np.minimum(x[i] + w[i], x[i + 1 :] + w[i + 1 :]) - np.maximum(x[i], x[i + 1 :])
+            ih = np.minimum(y[i] + h[i], y[i + 1 :] + h[i + 1 :]) - np.maximum(y[i], y[i + 1 :])
+            both = np.where((iw > 0) & (ih > 0), iw * ih, 0)
+            alive[i + 1 :] &= (kind[i + 1 :] != kind[i]) | (both <= threshold * (w[i] * h[i] + w[i + 1 :] * h[i + 1 :] - both))
+    return alive
+
+
+_BOX = ("x", "y", "w", "h", "class_id")
+
+
 def suppress(boxes: pd.DataFrame, threshold: float = 0.45) -> pd.DataFrame:
     """Greedy non-maximum suppression of one group: by falling score (then row), a box goes if it overlaps a kept one of its class too much."""
     order = boxes.sort_values(["score", "box_id"], ascending=[False, True], kind="stable")
-    x, y, w, h, kind = (order[c].to_numpy() for c in ("x", "y", "w", "h", "class_id"))
-    alive, kept = np.ones(len(order), dtype=bool), []
-    for i in range(len(order)):
-        if not alive[i]:
-            continue
-        kept.append(i)
-        iw = np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)
-        ih = np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y)
-        both = np.where((iw > 0) & (ih > 0), iw * ih, 0)
-        union = w[i] * h[i] + w * h - both
-        alive &= ~((kind == kind[i]) & (both > threshold * union))
-    return order.iloc[kept]
+    return order[_greedy(*(order[c].to_numpy() for c in _BOX), threshold)]
 
 
 def non_maximum_suppression(boxes: DataFrame, key: str, threshold: float = 0.45, least_score: float = 0.5) -> DataFrame:
-    """key, box_id of the boxes that stay. Greedy order needs a group's boxes together: grouped-map Python, a frame's boxes at a time."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return suppress(group, threshold)[[key, "box_id"]]
+    """key, box_id of the boxes that stay. Groups are small and many, so sorted partitions are walked in Arrow batches; what a batch cuts is carried to the next."""
+
+    def kept(rows: pd.DataFrame) -> pd.DataFrame:
+        group, columns = rows[key].to_numpy(), [rows[c].to_numpy() for c in _BOX]
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(rows)]
+        alive = [_greedy(*(c[i:j] for c in columns), threshold) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return rows.loc[np.concatenate(alive), [key, "box_id"]]
+
+    def run(parts):
+        carry = None
+        for part in parts:
+            rows = part if carry is None else pd.concat([carry, part], ignore_index=True)
+            if len(rows):
+                group = rows[key].to_numpy()
+                inside = np.flatnonzero(group != group[-1])
+                cut = int(inside[-1]) + 1 if len(inside) else 0
+                if cut:
+                    yield kept(rows.iloc[:cut])
+                carry = rows.iloc[cut:].reset_index(drop=True)
+        if carry is not None and len(carry):
+            yield kept(carry)
 
     kind = dict(boxes.dtypes)
-    return boxes.where(F.col("score") > least_score).groupBy(key).applyInPandas(run, f"{key} {kind[key]}, box_id {kind['box_id']}")
+    rows = boxes.where(F.col("score") > least_score).select(key, "box_id", "score", *_BOX).repartition(key).sortWithinPartitions(key, F.desc("score"), "box_id")
+    return rows.mapInPandas(run, f"{key} {kind[key]}, box_id {kind['box_id']}")
 
 
 def best_match(predictions: DataFrame, truth: DataFrame, on: list[str], box: list[str], prediction: str) -> DataFrame:
