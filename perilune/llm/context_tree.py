@@ -109,6 +109,14 @@ class Tree:
 
 def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     """counts[d]: grams of d bytes of context and the byte, and how often each occurs. A gram's shorter ones must be there too."""
+    return Tree(grow_levels(counts)[0])
+
+
+def grow_levels(counts: list[tuple[np.ndarray, np.ndarray]], first: int = 0, under: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[Level], tuple]:
+    """Levels from `first` bytes of context on, and (key, zeros, ones, ln weighted) of the shortest one's nodes.
+
+    under: (key, n) of the deepest level's nodes, n the summed ln weighted of their longer contexts; without it they have none.
+    """
     stats = []
     for grams, n in counts:
         keys, bits, weights = [], [], []
@@ -124,17 +132,25 @@ def grow(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     for d in range(len(stats) - 1, -1, -1):
         key, zeros, ones = stats[d]
         own = ln_kt(zeros, ones)
-        if below is None:
+        if below is None and under is None:
             weighted, stop, other = own, np.ones(len(key)), np.full(len(key), 0.5)
         else:
-            child, c0, c1, inner = below
-            parent = np.searchsorted(key, (((child >> np.uint64(8)) & _MASK[d]) << np.uint64(8)) | (child & np.uint64(255)))
-            add = lambda x, parent=parent, key=key: np.bincount(parent, weights=x, minlength=len(key))
-            r0, r1 = zeros - add(c0), ones - add(c1)
-            split = add(inner) + ln_kt(r0, r1)  # what goes on to contexts outside the tree is one more leaf
+            if below is None:
+                split, other = np.bincount(np.searchsorted(key, under[0]), weights=under[1], minlength=len(key)), np.full(len(key), 0.5)
+            else:
+                child, c0, c1, inner = below
+                parent = np.searchsorted(key, shorter(child, first + d))
+                add = lambda x, parent=parent, key=key: np.bincount(parent, weights=x, minlength=len(key))
+                r0, r1 = zeros - add(c0), ones - add(c1)
+                split = add(inner) + ln_kt(r0, r1)  # what goes on to contexts outside the tree is one more leaf
+                other = (r1 + 0.5) / (r0 + r1 + 1)
             weighted = np.logaddexp(own, split) - np.log(2)
             stop = np.exp(own - np.log(2) - weighted)
-            other = (r1 + 0.5) / (r0 + r1 + 1)
         levels.append(Level(key, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), stop.astype(np.float32), other.astype(np.float32)))
         below = (key, zeros, ones, weighted)
-    return Tree(levels[::-1])
+    return levels[::-1], below
+
+
+def shorter(node: np.ndarray, d: int) -> np.ndarray:
+    """The same nodes behind only the last d bytes of their contexts."""
+    return (((node >> np.uint64(8)) & _MASK[d]) << np.uint64(8)) | (node & np.uint64(255))

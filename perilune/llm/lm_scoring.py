@@ -3,10 +3,12 @@
 Counting: tasks count byte grams (DEPTH bytes of context, A-Z lowered, and the byte that follows) and words over all training
 documents, and the counts are summed by key. Grams of shorter contexts are sums of those of the longest ones.
 
-Model: contexts seen at least 2^k times are in the tree, with all that follows them; k is the lowest for which all depths together
-have at most `capacity` grams. So the tree's size is bounded however large the corpus is, and it may be sent to every task. What
-follows a context where the longer one is not in the tree is counted as one more leaf below it. Weights mix the
-Krichevsky-Trofimov estimates of all depths.
+Model: every context of the training texts is in the tree. Contexts of up to TOP bytes, whose number the alphabet bounds, are
+sent to every task; longer ones stay in a table. Grams that share TOP + 1 bytes of context are one stretch of it, from which a
+task grows what lies below. Weights mix the Krichevsky-Trofimov estimates of all depths.
+
+Scores: a gram's score depends on the gram alone. Those of the most frequent grams, at most `capacity`, are sent to every task
+to save the way through the join; all other grams of a document, seen in training or not, find theirs by a join.
 
 Base: words that make up at least 1 / `capacity` of all tokens are sent likewise; the other words of a document are
 looked up by a join with the counts of all words.
@@ -17,27 +19,33 @@ split. Other columns are left out.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilune.llm.common import _LOWER, ready, released, staged, utf8
-from perilune.llm.context_tree import _MASK, DEPTH, Tree, frames, grow
+from perilune.llm.context_tree import _MASK, DEPTH, Level, Tree, frames, grow_levels, shorter
 
 #: The token that ends each text has this key; words have their hashes.
 END = 0
 _GRAM, _WORD = 0, 1
 _FLUSH = 2_000_000
 _REMEMBERED = 400_000
+#: Contexts of so many bytes are sent; tasks that grow longer ones hold about so many grams.
+TOP = 2
+_STRETCH = 250_000
+_SLOT_BITS = 21
+_SLOTS: dict = {}
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -84,11 +92,15 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    tree: Tree
+    top: list[Level]  # contexts of up to TOP bytes
+    grams: DataFrame | None  # key, n: all grams of training; the driver's alone
+    sent: np.ndarray  # frequent grams, ascending
+    scores: np.ndarray  # ln of their probabilities
     tokens: int  # N
     distinct: int  # V
     words: np.ndarray  # keys of the frequent words, ascending
     counts: np.ndarray
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)  # tells whose grams the worker's table holds
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Of frequent words; -1 for any other."""
@@ -97,6 +109,74 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
         return np.where(self.words[at] == keys, self.counts[at], -1)
 
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        """Of sent grams; NaN for any other. A table by hash finds most of them, a search the rest."""
+        slot = lambda g: ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        if _SLOTS.get("token") != self.token:
+            _SLOTS.clear()
+            _SLOTS.update(token=self.token, keys=np.full(1 << _SLOT_BITS, (1 << 64) - 1, dtype=np.uint64), values=np.zeros(1 << _SLOT_BITS, dtype=np.float32))
+            at = slot(self.sent)
+            _SLOTS["keys"][at], _SLOTS["values"][at] = self.sent, self.scores
+        at = slot(grams)
+        out = _SLOTS["values"][at].astype(np.float64)
+        missing = np.flatnonzero(_SLOTS["keys"][at] != grams)
+        if not len(self.sent):
+            return np.full(len(grams), np.nan)
+        place = np.minimum(np.searchsorted(self.sent, grams[missing]), len(self.sent) - 1)
+        out[missing] = np.where(self.sent[place] == grams[missing], self.scores[place], np.nan)
+        return out
+
+
+def _stretches(grams: DataFrame, rows: int) -> DataFrame:
+    """Dealt out so that grams with the same TOP + 1 bytes of context are in one task."""
+    parts = max(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // _STRETCH))
+    return grams.repartition(parts, F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(_MASK[TOP + 1]))))
+
+
+def _below(key: np.ndarray, n: np.ndarray) -> tuple[list[Level], tuple]:
+    """The levels below TOP from all grams of some stretches."""
+    counts = [(key, n)]
+    for d in range(DEPTH - 1, TOP, -1):
+        short, back = np.unique(counts[-1][0] & _MASK[d + 1], return_inverse=True)
+        counts.append((short, np.bincount(back, weights=counts[-1][1], minlength=len(short))))
+    return grow_levels(counts[::-1], TOP + 1)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The columns of all batches of a task."""
+    held = list(batches)
+    return [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(held[0].num_columns)] if held else []
+
+
+def _node_sums(grams: DataFrame, rows: int) -> DataFrame:
+    """key, n: nodes of TOP bytes of context and the summed ln weighted of their longer contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if cols := _whole(batches):
+            _, (node, _, _, weighted) = _below(cols[0].view(np.uint64), cols[1])
+            key, back = np.unique(shorter(node, TOP), return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(np.bincount(back, weights=weighted, minlength=len(key)))})
+
+    return _stretches(grams.select("key", "n"), rows).mapInArrow(run, "key long, n double").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _gram_scores(grams: DataFrame, asked: DataFrame, rows: int, top: list[Level]) -> DataFrame:
+    """key, score: ln of the probability of every asked gram (key) by the whole tree."""
+    sent = grams.sparkSession.sparkContext.broadcast(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if cols := _whole(batches):
+            key, n, want = cols[0].view(np.uint64), cols[1], cols[2].astype(bool)
+            seen = n > 0
+            tree = Tree([*sent.value, *_below(key[seen], n[seen])[0]])
+            key = key[want]
+            for k in range(0, len(key), 1 << 16):
+                part = np.ascontiguousarray(key[k : k + (1 << 16)])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(part.view(np.int64)), "score": pa.array(tree.ln_probability(part).astype(np.float32))})
+
+    both = grams.select("key", "n", F.lit(False).alias("want")).unionByName(asked.select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("want")))
+    return _stretches(both, rows).mapInArrow(run, "key long, score float")
+
 
 def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t = rows.select("key", "n").toArrow()
@@ -110,28 +190,26 @@ def learn(docs: DataFrame, capacity: int = 1 << 19) -> tuple[Model, DataFrame]:
     counts = count_tokens(docs)
     released(docs.sparkSession)
     grams, words = counts.where(F.col("kind") == _GRAM).select("key", "n"), counts.where(F.col("kind") == _WORD).select("key", "n")
-    tables, sizes = [], {}
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            grams = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_MASK[d + 1]))).alias("key")).agg(F.sum("n").alias("n"))
-        # A context has at most 256 grams, so its total is a small window.
-        seen = F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("key", 8)))
-        grams = staged(grams.withColumn("level", F.floor(F.log2(seen))))
-        tables.append(grams)
-        for r in grams.groupBy("level").agg(F.count("*").alias("n")).collect():
-            sizes[r.level] = sizes.get(r.level, 0) + r.n
+    sizes = {r.level: r.n for r in grams.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("n")).collect()}
+    rows = sum(sizes.values())
+    short = [_gather(grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_MASK[TOP + 1]))).alias("key")).agg(F.sum("n").alias("n")))]
+    for d in range(TOP - 1, -1, -1):
+        key, back = np.unique(short[-1][0] & np.int64(_MASK[d + 1]), return_inverse=True)
+        short.append((key, np.bincount(back, weights=short[-1][1], minlength=len(key))))
+    node, inner = _gather(_node_sums(grams, rows))
+    top, _ = grow_levels([(k.view(np.uint64), n) for k, n in short[::-1]], under=(node.view(np.uint64), inner))
     least = min(k for k in range(64) if sum(n for v, n in sizes.items() if v >= k) <= capacity)
-    levels = [_gather(t.where(F.col("level") >= least)) for t in tables[::-1]]
+    sent, scores = _gather(_gram_scores(grams, grams.where(F.col("n") >= 1 << least), rows, top).withColumnRenamed("score", "n"))
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     key, n = _gather(words.where((F.col("n") >= max(1, -(-tokens // capacity))) | (F.col("key") == END)))
-    return Model(grow([(k.view(np.uint64), n) for k, n in levels]), tokens, distinct, key, n), words
+    return Model(top, grams, sent.view(np.uint64), scores, tokens, distinct, key, n), words
 
 
 def score_texts(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ready(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(replace(model, top=[], grams=None))
     scale = np.log10(float(model.tokens + model.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,18 +240,32 @@ def score_texts(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             rows = {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i in ids], pa.bool_()), "n_tokens": pa.array(lengths + 1), "known": pa.array(known), "base": pa.array(base)}
             rows |= {"rare": pa.ListArray.from_arrays(cuts, rare[:, 1]), "times": pa.ListArray.from_arrays(cuts, times)}
             grams, owner = frames(texts)
-            value = np.bincount(owner, weights=m.tree.cached(grams), minlength=len(texts)) / np.log(10)
+            score = m.score(grams)
+            lone = np.isnan(score)
+            value = np.bincount(owner, weights=np.where(lone, 0.0, score), minlength=len(texts))
+            # Grams that weren't sent, likewise.
+            grams, owner = grams[lone], owner[lone]
+            order = np.lexsort((grams, owner))
+            grams, owner = grams[order], owner[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(grams), 1), dtype=bool), (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]))
+            cuts = np.searchsorted(owner[first], np.arange(len(texts) + 1)).astype(np.int32)
+            rows |= {"grams": pa.ListArray.from_arrays(cuts, grams[first].view(np.int64)), "often": pa.ListArray.from_arrays(cuts, np.diff(first, append=len(grams)))}
             yield pa.RecordBatch.from_pydict({**rows, "score": pa.array(value)})
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, times array<long>, score double"
-    # The row's number is fixed once it is written; rare words find their counts by it.
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, times array<long>, grams array<long>, often array<long>, score double"
+    # The row's number is fixed once it is written; rare words and grams find their counts and scores by it.
     scored = staged(docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     asked = scored.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "key")
-    found = asked.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - float(scale))).alias("rest")
+    by_word = asked.join(words, "key", "left").select(
+        "row", F.when(F.col("n") > 0, F.col("times")).alias("more"), (F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - float(scale))).alias("rest"), F.lit(None).cast("double").alias("part")
     )
+    lone = scored.select("row", F.inline(F.arrays_zip("grams", "often"))).withColumnRenamed("grams", "key")
+    unsent = staged(lone.select("key").distinct())
+    values = _gram_scores(model.grams, unsent, model.grams.count() + unsent.count(), model.top)
+    by_gram = lone.join(values, "key").select("row", F.lit(None).cast("long").alias("more"), F.lit(None).cast("double").alias("rest"), (F.col("often") * F.col("score").cast("double")).alias("part"))
+    found = by_word.unionByName(by_gram).groupBy("row").agg(F.sum("more").alias("more"), F.sum("rest").alias("rest"), F.sum("part").alias("part"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare", "times").join(found, "row", "left").select(
+    return scored.drop("rare", "times", "grams", "often").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rest")).alias("base_score"), "score",
+        (F.col("base") + zero("rest")).alias("base_score"), ((F.col("score") + zero("part")) / float(np.log(10))).alias("score"),
     )

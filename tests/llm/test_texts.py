@@ -198,6 +198,23 @@ def test_base_scores_equal_brute_force(spark, capacity):
     assert all(r.train_tokens == n and r.score < 0 and r.held_out == (not training(r.doc_id)) for r in got)
 
 
+@pytest.mark.parametrize("capacity", [1 << 19, 40, 1])
+def test_every_context_counts_at_any_capacity(spark, capacity):
+    """Equal to one tree over all training grams: what isn't sent is joined, never left out."""
+    df = documents(spark)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    training = [lower(t or "").encode() for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    key, n = np.unique(T.frames(training)[0], return_counts=True)
+    levels = [(key, n)]
+    for d in range(T.DEPTH - 1, -1, -1):
+        short, back = np.unique(levels[-1][0] & T._MASK[d + 1], return_inverse=True)
+        levels.append((short, np.bincount(back, weights=levels[-1][1]).astype(np.int64)))
+    tree = T.grow(levels[::-1])
+    want = sorted((str(i), tree.ln_probability(T.frames([lower(t or "").encode()])[0]).sum() / math.log(10)) for i, t in rows)
+    got = sorted((str(r.doc_id), r.score) for r in L.score_texts(df, *L.learn(df.where(L.is_training(F.col("doc_id"))), capacity)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-4)
+
+
 def test_scores_of_nothing(spark):
     model, words = L.learn(empty(spark))
     assert L.score_texts(empty(spark), model, words).count() == 0
