@@ -16,6 +16,23 @@ def test_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_crc_is_of_whole_texts(spark):
+    from perilune.functions.binary import crc5, crc16
+
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    assert max(len((t or "").encode()) for t in texts.values()) > 240
+    for r in QUERIES["crc16_payload"](spark, DATA).collect():
+        t = texts[r.conv_id, r.turn]
+        assert (r.crc16, r.crc5) == ((None, None) if t is None else (crc16(t.encode()), crc5(t.encode())))
+
+
+@pytest.mark.parametrize("name, column", [("fixed_packets_whole", None), ("message_frames_whole", "length")])
+def test_whole_texts_are_framed(spark, name, column):
+    sizes = [len((r.text or "").encode()) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
+    rows = QUERIES[name](spark, DATA).collect()
+    assert sum(r[column] for r in rows) == sum(sizes) if column else len(rows) == sum(-(-n // 240) for n in sizes)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
