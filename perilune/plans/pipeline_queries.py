@@ -11,7 +11,6 @@ from perilune.operators import measure as M
 from perilune.plans.orbit import determine_orbits, simulate
 from perilune.plans.registry import read, register
 from perilune.plans.reprocess import reprocess
-from perilune.sources.config import Solver
 
 
 @register("od_solve")
@@ -30,9 +29,9 @@ def od_solve(spark: SparkSession, d: str) -> DataFrame:
                 m = simulate(n=6, landmarks=4, seed=int(key))
                 yield pd.DataFrame({"dataset_id": str(key), "t": m["t"], **{f"w{a}": m["gyro"][:, i] for i, a in enumerate("xyz")}})
 
-    nations = read(spark, d, "nation").select("n_nationkey").where("n_nationkey < 4")
+    nations = read(spark, d, "nation").select("n_nationkey")
     landmark = nations.mapInPandas(marks, "dataset_id string, t double, bearing_x double, bearing_y double, bearing_z double, eci_x_km double, eci_y_km double, eci_z_km double, sigma double")
-    return determine_orbits(landmark, nations.mapInPandas(rates, "dataset_id string, t double, wx double, wy double, wz double"), Solver(outlier_rounds=2))
+    return determine_orbits(landmark, nations.mapInPandas(rates, "dataset_id string, t double, wx double, wy double, wz double"))
 
 
 @register("reprocess_pipeline", """with f as (select o_orderkey, case o_orderstatus when 'O' then 1 when 'P' then 2 when 'F' then 3 else 0 end as stage, o_orderkey % 6 = 0 as image_missing from orders),

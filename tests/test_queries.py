@@ -33,6 +33,12 @@ def test_whole_texts_are_framed(spark, name, column):
     assert sum(r[column] for r in rows) == sum(sizes) if column else len(rows) == sum(-(-n // 240) for n in sizes)
 
 
+def test_every_nation_is_solved(spark):
+    nations = {str(r.n_nationkey) for r in spark.read.parquet(f"{DATA}/nation.parquet").collect()}
+    rows = QUERIES["od_solve"](spark, DATA).collect()
+    assert {r.dataset_id for r in rows} == nations and len(rows) == 6 * len(nations)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
