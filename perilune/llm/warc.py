@@ -4,7 +4,7 @@ Writing: one record a row, payload the html in UTF-8 (null: empty) behind HTTP h
 `least_revisit` bytes the one with the smallest page_id is a response and the others are revisits without a block; smaller
 ones are all responses. The record separator is the writer's line separator, so records are never held together in a task.
 Rows that repeat a page_id with the same payload are equal records: each is the response. A null page_id is a revisit if
-another page has its payload. Html is the only column that may be long; other columns are left out.
+another page has its payload. Urls and html may be of any length; other columns are left out.
 
 Reading: every place in a file with a record's magic is a candidate, with the offset at which its successor would begin.
 Pointer jumping (doubling) from the file's start keeps the records that the chain reaches; magic inside a payload isn't
@@ -29,7 +29,7 @@ from perilune.llm.common import ready, shared_dir, staged
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GAP = "\r\n\r\n"
-_LONGEST_HEADER = 1 << 16
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,15})(?=\r\n|$)", re.IGNORECASE)
 
 RECORD = pa.schema([
     ("path", pa.string()), ("start", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
@@ -62,13 +62,19 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 100) -> None:
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Offsets of all that looks like a record, their successors' offsets (-1: none is possible), and (header end, block length)."""
     at, after, parts = [], [], []
+    end, lengths, k = -1, [], 0
     for m in _MAGIC.finditer(data):
-        end = data.find(b"\r\n\r\n", m.end() - 2, m.start() + _LONGEST_HEADER)
-        length = re.search(rb"\r\nContent-Length:[ \t]*(\d{1,15})(?=\r\n|$)", data[m.start() : end], re.IGNORECASE) if end >= 0 else None
-        if length:
+        if end < m.end() - 2:  # candidates before the same header end share one search for it
+            end = data.find(b"\r\n\r\n", m.end() - 2)
+            if end < 0:
+                break
+            lengths, k = [(x.start(), int(x[1])) for x in _LENGTH.finditer(data, m.start(), end)], 0
+        while k < len(lengths) and lengths[k][0] < m.start():
+            k += 1
+        if k < len(lengths):
             at.append(m.start())
-            parts.append((end + 4, int(length[1])))
-            stop = end + 4 + int(length[1])
+            parts.append((end + 4, lengths[k][1]))
+            stop = end + 4 + lengths[k][1]
             after.append(stop + 4 if data[stop : stop + 4] == b"\r\n\r\n" else -1)
     return np.array(at, dtype=np.int64), np.array(after, dtype=np.int64), parts
 
@@ -92,11 +98,14 @@ def reachable(at: np.ndarray, after: np.ndarray, start: int = 0) -> np.ndarray:
 
 
 def records(data: bytes, path: str = "") -> Iterator[dict]:
-    """The records that the chain reaches; intact: length and digest agree with the header's."""
+    """The records that the chain reaches; intact: length and digest agree with the header's. A chain that ends before the file is an error."""
     if data[:2] == b"\x1f\x8b":
         data = b"".join(_members(data))
     at, after, parts = candidates(data)
-    for k in np.flatnonzero(reachable(at, after)):
+    chain = np.flatnonzero(reachable(at, after))
+    if (int(after[chain[-1]]) if len(chain) else 0) != len(data):
+        raise ValueError(f"the records of {path or 'the archive'} end before its {len(data)} bytes do")
+    for k in chain:
         begin, length = parts[k]
         head = dict(x.split(b": ", 1) for x in data[at[k] : begin - 4].split(b"\r\n")[1:] if b": " in x)
         digest = head.get(b"WARC-Payload-Digest", b"").decode().removeprefix("sha256:")

@@ -59,6 +59,20 @@ def test_pointer_jumping_follows_the_chain(gaps, data):
     assert set(at[warc.reachable(at, after)].tolist()) == seen
 
 
+def test_long_urls_are_read(spark):
+    pages = spark.createDataFrame([(1, "data:" + "u" * 100_000, "a" * 200), (2, "http://x", "b"), (3, "data:" + "v" * 70_000, "a" * 200)], "page_id long, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.record_type, r.intact) for r in warc.round_trip(pages).collect())
+    assert got == [(1, "response", True), (2, "response", True), (3, "revisit", True)]
+
+
+def test_broken_chains_are_errors():
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert len(list(warc.records(one * 2))) == 2 and not list(warc.records(b""))
+    for data in (one + one[:-5], one + b"x", b"x" + one, one + one.replace(b"Length: 2", b"Length: 9")):
+        with pytest.raises(ValueError):
+            list(warc.records(data))
+
+
 def test_compressed_members_are_read():
     head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     data = gzip.compress(head) + gzip.compress(head.replace(b":1>", b":2>"))
