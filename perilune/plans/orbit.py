@@ -2,7 +2,7 @@
 
 A dataset is one solver job of a few hundred states, so datasets are spread over the cluster and each is solved by numpy in a
 grouped map. The dynamics are eliminated: the unknowns are the first state and, for each interval, a small unmodelled
-acceleration, propagated by RK4; attitude is one error vector a state. Landmark residuals have a pseudo-Huber cost.
+acceleration, propagated by RK4 or Euler steps with or without J2; attitude is one error vector a state. Landmark residuals have a pseudo-Huber cost.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from perilune.functions.nav import GM_EARTH, R_ORBIT_MEAN, ALTITUDE
+from perilune.functions.nav import ALTITUDE, GM_EARTH, J2, R_EARTH, R_ORBIT_MEAN
 from perilune.functions.quaternion import wahba
 from perilune.sources.config import Solver
 
@@ -51,8 +51,21 @@ def slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return m / np.linalg.norm(m)
 
 
-def rk4(r: np.ndarray, v: np.ndarray, extra: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    force = lambda x: -GM_EARTH / (x @ x + 1e-10) ** 1.5 * x + extra
+def gravity(x: np.ndarray, j2: bool = False) -> np.ndarray:
+    r2 = x @ x + 1e-10
+    force = -GM_EARTH / r2**1.5 * x
+    if j2:
+        z = x[2] * x[2] / r2
+        force = force + 1.5 * J2 * GM_EARTH * R_EARTH**2 / r2**2.5 * x * (5 * z - np.array([1.0, 1.0, 3.0]))
+    return force
+
+
+def euler(r: np.ndarray, v: np.ndarray, extra: np.ndarray, dt: float, j2: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    return r + dt * v, v + dt * (gravity(r, j2) + extra)
+
+
+def rk4(r: np.ndarray, v: np.ndarray, extra: np.ndarray, dt: float, j2: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    force = lambda x: gravity(x, j2) + extra
     a1 = force(r)
     v2 = v + dt / 2 * a1
     a2 = force(r + dt / 2 * v)
@@ -101,6 +114,8 @@ def initial_trajectory(times: np.ndarray, state: np.ndarray, eci: np.ndarray, be
 
 def solve(times: np.ndarray, gyro: np.ndarray, state: np.ndarray, eci: np.ndarray, bearing: np.ndarray, sigma: np.ndarray, s: Solver, start: tuple | None = None) -> dict:
     """Damped Gauss-Newton over r0, v0, accelerations, attitude errors and the bias; reweighted for the pseudo-Huber cost."""
+    s.supported()
+    step_by = {"rk4": rk4, "euler": euler}[s.integrator]
     n = len(times)
     dt = np.diff(times)
     r, v, q, bias = start or initial_trajectory(times, state, eci, bearing, gyro)
@@ -110,7 +125,7 @@ def solve(times: np.ndarray, gyro: np.ndarray, state: np.ndarray, eci: np.ndarra
     def propagate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rs, vs = [x[:3]], [x[3:6]]
         for i in range(n - 1):
-            a, b = rk4(rs[-1], vs[-1], x[6 + 3 * i : 9 + 3 * i], dt[i])
+            a, b = step_by(rs[-1], vs[-1], x[6 + 3 * i : 9 + 3 * i], dt[i], s.use_j2)
             rs.append(a)
             vs.append(b)
         return np.array(rs), np.array(vs)
@@ -164,7 +179,7 @@ def solve(times: np.ndarray, gyro: np.ndarray, state: np.ndarray, eci: np.ndarra
     damping, rounds = 1e-3, 0
     parts = residuals(x, q, bias)
     now = cost(parts)
-    for rounds in range(1, min(s.max_iterations, 60) + 1):
+    for rounds in range(1, s.max_iterations + 1):
         if time.monotonic() > deadline:
             break
         j, f = jacobian(x, q, bias), weighted(parts)
@@ -215,6 +230,7 @@ def determine_orbits(landmarks: DataFrame, gyro: DataFrame, settings: Solver = S
     landmarks: dataset_id, t, bearing_x..z, eci_x_km..z_km, sigma; gyro: dataset_id, t, wx, wy, wz (rad/s). Groups snap to the
     nearest gyro time. Datasets under four landmarks or two gyro rows have no rows. Small jobs: a dataset is at most a few hundred states.
     """
+    settings.supported()
 
     def run(key: tuple, marks: pd.DataFrame, rates: pd.DataFrame) -> pd.DataFrame:
         names = [c.split(" ")[0] for c in STATE_SCHEMA.split(", ")]

@@ -22,6 +22,13 @@ class Solver:
     gyro_sigma: float = 8.726e-4
     acceleration_sigma: float = 1e-5
 
+    def supported(self) -> None:
+        """An error for settings that the solver can't obey."""
+        if self.use_drag:
+            raise ValueError("use_drag is not supported")
+        if self.integrator not in ("rk4", "euler"):
+            raise ValueError(f"unknown integrator: {self.integrator}")
+
 
 def _checked(name: str, value, default):
     if isinstance(default, bool) != isinstance(value, bool) or not isinstance(value, (type(default), int if isinstance(default, float) else type(default))):

@@ -3,8 +3,10 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from perilune.plans.orbit import covariance, determine_orbits, nearest_states, simulate, solve_with_rejection
+from perilune.functions.nav import GM_EARTH, J2, R_EARTH
+from perilune.plans.orbit import covariance, determine_orbits, gravity, nearest_states, simulate, solve_with_rejection
 from perilune.sources.config import Solver
 from perilune.streaming import stateful, telemetry
 
@@ -23,6 +25,23 @@ def test_solver_recovers_the_truth_and_rejects_outliers():
     assert np.allclose(np.linalg.norm(found["q"], axis=1), 1) and (covariance(found)[:6] > 0).all()
 
 
+def test_force_settings_are_obeyed():
+    m = simulate(n=4, landmarks=5)
+    solved = lambda **s: solve_with_rejection(m["t"], m["gyro"], m["state"], m["eci"], m["bearing"], m["sigma"], Solver(outlier_rounds=1, **s))[0]
+    plain = solved()
+    stepped = solved(integrator="euler")
+    assert np.abs(solved(use_j2=True)["v"] - plain["v"]).max() > 1e-5
+    assert np.allclose(stepped["r"][1:], stepped["r"][:-1] + 10.0 * stepped["v"][:-1], rtol=0, atol=1e-9)
+    assert solved(max_iterations=1)["iterations"] == 1
+    for bad in ({"use_drag": True}, {"integrator": "none"}):
+        with pytest.raises(ValueError):
+            solved(**bad)
+    r = np.array([4000.0, -3000.0, 5000.0])
+    potential = lambda x: J2 * GM_EARTH * R_EARTH**2 / 2 / np.linalg.norm(x) ** 3 * (1 - 3 * x[2] ** 2 / (x @ x))
+    slope = np.array([(potential(r + h) - potential(r - h)) / 2e-2 for h in np.eye(3) * 1e-2])
+    assert np.allclose(gravity(r, True) - gravity(r), slope, rtol=1e-4)
+
+
 def test_datasets_are_solved_apart(spark):
     m = simulate(n=4, landmarks=4)
     marks = pd.DataFrame({"t": m["t"][m["state"]], **{f"bearing_{a}": m["bearing"][:, i] for i, a in enumerate("xyz")}, **{f"eci_{a}_km": m["eci"][:, i] for i, a in enumerate("xyz")}, "sigma": m["sigma"]})
