@@ -270,6 +270,12 @@ def region_codes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").where("p_partkey % 18 in (0, 5, 12, 13, 16, 17)").select("p_partkey", codes.decode(F.col("p_partkey") % 18, codes.REGIONS, "UNKNOWN").alias("code"))
 
 
+@register("region_codes_all", "select p_partkey, case p_partkey % 18 when 0 then '10S' when 1 then '10T' when 2 then '11R' when 3 then '12R' when 4 then '16T' when 5 then '17R' when 6 then '17T' when 7 then '18S' when 8 then '32S' when 9 then '32T' when 10 then '33S' when 11 then '33T' when 12 then '52S' when 13 then '53S' when 14 then '54S' when 15 then '54T' else 'UNKNOWN' end as code from part")
+def region_codes_all(spark: SparkSession, d: str) -> DataFrame:
+    """region_codes over every row, with all of the codes."""
+    return read(spark, d, "part").select("p_partkey", codes.decode(F.col("p_partkey") % 18, codes.REGIONS, "UNKNOWN").alias("code"))
+
+
 @register("channel_stats_unpivot", """with u as (select 'quantity' as channel, cast(l_quantity as bigint) as v from lineitem union all select 'line', l_linenumber from lineitem union all select 'part', l_partkey from lineitem)
 select channel, count(*) as n, cast(sum(v) as bigint) as s, cast(floor(avg(v) * 1000) as bigint) as mean_milli, cast(floor(stddev_pop(v) * 1000 + 0.0001) as bigint) as dev_milli from u group by 1""")
 def channel_stats_unpivot(spark: SparkSession, d: str) -> DataFrame:

@@ -39,6 +39,11 @@ def test_every_nation_is_solved(spark):
     assert {r.dataset_id for r in rows} == nations and len(rows) == 6 * len(nations)
 
 
+def test_every_region_is_decoded(spark):
+    rows = QUERIES["region_codes_all"](spark, DATA).collect()
+    assert len(rows) == spark.read.parquet(f"{DATA}/part.parquet").count() and len({r.code for r in rows}) == 17
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
