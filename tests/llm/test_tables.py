@@ -65,18 +65,62 @@ def test_long_urls_are_read(spark):
     assert got == [(1, "response", True), (2, "response", True), (3, "revisit", True)]
 
 
-def test_broken_chains_are_errors():
-    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
-    assert len(list(warc.records(one * 2))) == 2 and not list(warc.records(b""))
-    for data in (one + one[:-5], one + b"x", b"x" + one, one + one.replace(b"Length: 2", b"Length: 9")):
-        with pytest.raises(ValueError):
-            list(warc.records(data))
-
-
-def test_compressed_members_are_read():
-    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
-    data = gzip.compress(head) + gzip.compress(head.replace(b":1>", b":2>"))
-    assert [r["page_id"] for r in warc.records(data)] == [1, 2]
+def one_record(page=1, block=b"hi", more=b""):
+    return b"WARC/1.1\r\nWARC-Type: response\r\n%bWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (more, page, len(block), block)
+
+
+def test_broken_chains_are_errors(spark, tmp_path):
+    one = one_record()
+    for k, data in enumerate((one * 2, b"")):
+        (tmp_path / f"good{k}.warc").write_bytes(data)
+    assert warc.read_warc(spark, f"file://{tmp_path}").count() == 2
+    for k, data in enumerate((one + one[:-5], one + one[:-4], one + b"x", b"x" + one, one + one.replace(b"Length: 2", b"Length: 9"), b"x")):
+        (tmp_path / f"bad{k}").mkdir()
+        (tmp_path / f"bad{k}" / "a.warc").write_bytes(data)
+        with pytest.raises(Exception, match="bytes do"):
+            warc.read_warc(spark, f"file://{tmp_path}/bad{k}").count()
+
+
+def test_compressed_members_are_read(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one_record(1)) + gzip.compress(one_record(2)))
+    assert sorted(r.page_id for r in warc.read_warc(spark, f"file://{tmp_path}").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("size", [64, 700, 1 << 20])
+def test_files_are_cut_by_bytes(spark, tmp_path, size):
+    """Records that span many splits, splits that hold none, and payloads full of breaks and magic: as a walk over the whole file."""
+    g = random.Random(size)
+    parts = [b"\r\n\r\n", b"\r", b"\n", b"\r\n", b"WARC/1.1\r\n", b"WARC/1.0\r\nContent-Length: 40\r\n\r\n", b"x" * 50, b"\xff\xfe", one_record(99, b"inner")]
+    want = []
+    for f in range(3):
+        data = b""
+        for page in range(30):
+            block = b"".join(g.choice(parts) for _ in range(g.choice([0, 1, 5, 40, 200])))
+            want.append((len(data), page, len(block), hashlib.sha256(block).hexdigest()))
+            data += one_record(page, block, g.choice([b"", b"", b"WARC-Target-URI: http://WARC/1.1\r\nX: WARC/1.0\r\n"]))
+        (tmp_path / f"{f}.warc").write_bytes(data)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "8")
+        got = warc.read_warc(spark, f"file://{tmp_path}")
+        assert sorted((r.start, r.page_id, r.payload_bytes, r.payload_digest) for r in got.collect()) == sorted(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=9), st.data())
+def test_exits_follow_the_chain(gaps, data):
+    at = np.cumsum(gaps) + np.arange(len(gaps))
+    after = np.array([data.draw(st.sampled_from([*(int(x) for x in at[i + 1 :]), 500, 700, int(at[i]) + 1])) for i in range(len(at))], dtype=np.int64)
+    follow = dict(zip(at.tolist(), after.tolist(), strict=True))
+    for i, got in enumerate(warc.exits(at, after, 500).tolist()):
+        x = int(at[i])
+        while x in follow:
+            x = follow[x]
+        assert got == (x if x >= 500 else -1)
 
 
 # 4: chats
