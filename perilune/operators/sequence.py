@@ -1,6 +1,7 @@
 """Operators on ordered series: alignment by time, interpolation, groups, differences, gaps and islands.
 
-Every window is partitioned by a key, so a series is one task's work and keys spread over the cluster.
+Every window is partitioned by a key, so a series is one task's work and keys spread over the cluster; alignment by time can cut
+long series into stretches.
 """
 
 from __future__ import annotations
@@ -11,22 +12,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], how: str = "nearest", prefix: str = "r_", max_gap: int | float | None = None) -> DataFrame:
-    """Each left row with the values of the right row nearest in time (how: backward, forward or nearest), of the same key.
+def _around(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], width: int | float | None = None) -> DataFrame:
+    """key, time, _l (a left row), _b and _a (the right rows at or before it, and at or after it).
 
-    Ties go to the earlier row, rows beyond either end take the end row, and left rows without a match (or beyond max_gap)
-    have nulls. One shuffle: both sides are put in one series and read by two windows; a join on inequalities would be a cross
-    product. Of right rows with equal times the largest values win before, the smallest after.
+    Both sides are put in one series and read by two running windows, one in either direction, behind one shuffle; a join on
+    inequalities would be a cross product. width: series are cut into stretches of so much time, each a task's work of its own, and
+    the ends of the other stretches come from one row a stretch, so that a key with very many rows is spread too.
     """
     columns = [c for c in left.columns if c not in (key, time)]
     found = F.struct(F.col(time).alias("t"), *(F.col(v) for v in values))
-    both = left.select(key, time, F.struct(*columns).alias("_l"), F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("_r")).unionByName(
-        right.select(key, time, F.lit(None).cast(left.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("_l"), found.alias("_r"))
+    lone = F.struct(*columns, F.lit(0).alias("_end"))
+    empty = lambda df, x: F.lit(None).cast(df.select(x.alias("x")).schema["x"].dataType)
+    both = left.select(key, time, lone.alias("_l"), empty(right, found).alias("_r")).unionByName(
+        right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, empty(left, lone).alias("_l"), found.alias("_r"))
     )
-    series = Window.partitionBy(key).orderBy(time)
-    before = F.max("_r").over(series.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min("_r").over(series.rangeBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("_b", before).withColumn("_a", after).where("_l is not null")
+    parts = [key]
+    if width is not None:
+        both, parts = both.withColumn("_s", F.floor(F.col(time) / width)), [key, "_s"]
+    near = lambda f, order: f("_r").over(Window.partitionBy(*parts).orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_b", near(F.max, F.asc(time))).withColumn("_a", near(F.min, F.desc(time)))
+    if width is not None:
+        ends = both.groupBy(key, "_s").agg(F.max("_r").alias("last"), F.min("_r").alias("first"))
+        carry = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select(key, "_s", carry("last", F.asc("_s")).alias("_lo"), carry("first", F.desc("_s")).alias("_hi"))
+        both = both.where("_l is not null").join(ends, [key, "_s"], "left").withColumn("_b", F.coalesce("_b", "_lo")).withColumn("_a", F.coalesce("_a", "_hi"))
+    return both.where("_l is not null").select(key, time, *(F.col("_l")[c].alias(c) for c in columns), "_b", "_a")
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], how: str = "nearest", prefix: str = "r_", max_gap: int | float | None = None, width: int | float | None = None) -> DataFrame:
+    """Each left row with the values of the right row nearest in time (how: backward, forward or nearest), of the same key.
+
+    Ties go to the earlier row, rows beyond either end take the end row, and left rows without a match (or beyond max_gap)
+    have nulls. Of right rows with equal times the largest values win before, the smallest after. Rows with a null key or time have
+    no match and are none. width: see _around.
+    """
+    both = _around(left, right, key, time, values, width)
     if how == "backward":
         pick = F.col("_b")
     elif how == "forward":
@@ -36,18 +56,19 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[st
     both = both.withColumn("_p", pick)
     if max_gap is not None:
         both = both.withColumn("_p", F.when(F.abs(F.col(time) - F.col("_p.t")) <= max_gap, F.col("_p")))
-    return both.select(key, time, "_l.*", F.col("_p.t").alias(f"{prefix}{time}"), *(F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in values))
+    return both.select(*both.columns[:-3], F.col("_p.t").alias(f"{prefix}{time}"), *(F.col(f"_p.{v}").alias(f"{prefix}{v}") for v in values))
 
 
-def bracket(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Each left row with the right rows just before (or at) and after it: lo_t, lo_v, hi_t, hi_v."""
-    low = asof(left, right, key, time, [value], "backward", "lo_")
-    return asof(low, right, key, time, [value], "forward", "hi_")
+def bracket(left: DataFrame, right: DataFrame, key: str, time: str, value: str, width: int | float | None = None) -> DataFrame:
+    """Each left row with the right rows just before (or at) and after it, as lo_ and hi_ columns; one shuffle for both."""
+    both = _around(left, right, key, time, [value], width)
+    ends = [F.col(f"{at}.{c}").alias(f"{prefix}{name}") for at, prefix in (("_b", "lo_"), ("_a", "hi_")) for c, name in (("t", time), (value, value))]
+    return both.select(*both.columns[:-2], *ends)
 
 
-def interpolate(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str = "interpolated") -> DataFrame:
+def interpolate(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str = "interpolated", width: int | float | None = None) -> DataFrame:
     """Linear between the neighbours, held at both ends."""
-    rows = bracket(left, right, key, time, value)
+    rows = bracket(left, right, key, time, value, width)
     lo_t, hi_t, lo, hi = (F.col(c).cast("double") for c in (f"lo_{time}", f"hi_{time}", f"lo_{value}", f"hi_{value}"))
     mixed = lo + (hi - lo) * ((F.col(time) - lo_t) / (hi_t - lo_t))
     return rows.withColumn(out, F.when(lo_t.isNull(), hi).when(hi_t.isNull() | (hi_t == lo_t), lo).otherwise(mixed)).drop(f"lo_{time}", f"hi_{time}", f"lo_{value}", f"hi_{value}")
@@ -134,10 +155,18 @@ def last_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFr
 
 
 def gaps(df: DataFrame, key: str, number: str) -> DataFrame:
-    """For each key: how many distinct numbers are there, the largest, and which from 0 to it are missing."""
-    held = F.collect_set(F.col(number).cast("long"))
-    rows = df.groupBy(key).agg(F.count_distinct(number).alias("present"), F.max(number).cast("long").alias("largest"), held.alias("_held"))
-    return rows.withColumn("missing", F.array_except(F.sequence(F.lit(0).cast("long"), "largest"), "_held")).drop("_held")
+    """key, first, last: each stretch of numbers that a key lacks between 0 and its largest. Stretches, so that one stray large number costs a row."""
+    n = F.col(number).cast("long")
+    rows = df.where(n >= 0).select(key, n.alias("_n")).distinct()
+    before = F.coalesce(F.lag("_n").over(_series(key, "_n")), F.lit(-1).cast("long"))
+    return rows.select(key, (before + 1).alias("first"), (F.col("_n") - 1).alias("last")).where("first <= last")
+
+
+def coverage(df: DataFrame, key: str, number: str) -> DataFrame:
+    """For each key: how many distinct numbers are there, the largest, and how many from 0 to it are missing."""
+    n = F.when(F.col(number) >= 0, F.col(number).cast("long"))
+    rows = df.groupBy(key).agg(F.count_distinct(n).alias("present"), F.max(n).alias("largest"))
+    return rows.withColumn("missing", F.coalesce(F.col("largest") + 1 - F.col("present"), F.lit(0).cast("long")))
 
 
 def first_occurrence(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

@@ -24,17 +24,10 @@ def packet_counts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where("text is not null").select("doc_id", B.chunk_count(size).alias("chunks"), B.packet_count(size).alias("packets"))
 
 
-@register("fixed_packet_roundtrip", "select conv_id, cast(turn as integer) as packet_id, sha256(encode(text)[1:240]) as digest from conversations where octet_length(encode(text)) > 0")
-def fixed_packet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Written as files of fixed packets and read back; the packets' order is the turns'."""
-    rows = read(spark, d, "conversations").where("octet_length(text) > 0").select("conv_id", "turn", F.substring(F.col("text").cast("binary"), 1, 240).alias("p"))
-    return P.read_packets(P.packet_file(rows, "conv_id", "turn", "p"), "conv_id").select("conv_id", "packet_id", F.sha2("payload", 256).alias("digest"))
-
-
-@register("fixed_packets_whole", """with c as (select conv_id, turn, encode(text) as b from conversations where octet_length(encode(text)) > 0), k as (select conv_id, turn, b, unnest(generate_series(0, cast(ceil(octet_length(b) / 240.0) as bigint) - 1)) as f from c)
+@register("fixed_packet_roundtrip", """with c as (select conv_id, turn, encode(text) as b from conversations where octet_length(encode(text)) > 0), k as (select conv_id, turn, b, unnest(generate_series(0, cast(ceil(octet_length(b) / 240.0) as bigint) - 1)) as f from c)
 select conv_id, cast(row_number() over (partition by conv_id order by turn, f) - 1 as integer) as packet_id, sha256(b[f * 240 + 1 : (f + 1) * 240]) as digest from k""")
-def fixed_packets_whole(spark: SparkSession, d: str) -> DataFrame:
-    """fixed_packet_roundtrip over every byte of each text; the packets' order is that of turns, then chunks."""
+def fixed_packet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every byte of each text, written as files of fixed packets and read back; the packets' order is that of turns, then chunks."""
     rows = P.chunks(read(spark, d, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("b")), ["conv_id", "turn"], "b")
     rows = rows.select("conv_id", F.struct("turn", "chunk_id").alias("at"), "payload")
     return P.read_packets(P.packet_file(rows, "conv_id", "at", "payload"), "conv_id").select("conv_id", "packet_id", F.sha2("payload", 256).alias("digest"))
@@ -73,18 +66,10 @@ def pack_big_endian(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.lower(F.hex("b")).alias("frame"), B.unpack_uint(F.col("b"), 0, 4).alias("back_key"), B.unpack_uint(F.col("b"), 6, 1).alias("back_mod"))
 
 
-@register("message_frames", "select conv_id, turn, turn as message_id, conv_id as sequence, least(octet_length(encode(text)), 200) as length, sha256(encode(text)[1:200]) as digest, 245 as size from conversations where text is not null")
-def message_frames(spark: SparkSession, d: str) -> DataFrame:
-    data = F.substring(F.col("text").cast("binary"), 1, 200)
-    rows = read(spark, d, "conversations").where("text is not null").select("conv_id", "turn", B.message(F.col("turn"), F.col("conv_id"), data).alias("m"))
-    made = B.decode_message(F.col("m"))
-    return rows.select("conv_id", "turn", *(made[c].alias(c) for c in ("message_id", "sequence", "length")), F.sha2(made["data"], 256).alias("digest"), F.octet_length("m").cast("int").alias("size"))
-
-
-@register("message_frames_whole", """with c as (select conv_id, turn, encode(text) as b from conversations where text is not null), k as (select conv_id, turn, b, unnest(generate_series(0, greatest(cast(ceil(octet_length(b) / 240.0) as bigint), 1) - 1)) as f from c)
+@register("message_frames", """with c as (select conv_id, turn, encode(text) as b from conversations where text is not null), k as (select conv_id, turn, b, unnest(generate_series(0, greatest(cast(ceil(octet_length(b) / 240.0) as bigint), 1) - 1)) as f from c)
 select conv_id, turn, turn as message_id, f as sequence, octet_length(b[f * 240 + 1 : (f + 1) * 240]) as length, sha256(b[f * 240 + 1 : (f + 1) * 240]) as digest, 245 as size from k""")
-def message_frames_whole(spark: SparkSession, d: str) -> DataFrame:
-    """message_frames over every byte of each text: the sequence counts a text's messages, and an empty text has one."""
+def message_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Every byte of each text in messages: the sequence counts a text's messages, and an empty text has one."""
     texts = read(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").cast("binary").alias("b"))
     rows = P.chunks(texts, ["conv_id", "turn"], "b").select("conv_id", "turn", (F.col("chunk_id") - 1).alias("f"), "payload")
     rows = rows.unionByName(texts.where(F.octet_length("b") == 0).select("conv_id", "turn", F.lit(0).alias("f"), F.col("b").alias("payload")))

@@ -217,14 +217,14 @@ def nms_greedy(spark: SparkSession, d: str) -> DataFrame:
     return D.non_maximum_suppression(rows, "l_orderkey")
 
 
-@register("score_threshold", """with e as (select vec_id, unnest(embedding[1:16]) as score, generate_subscripts(embedding[1:16], 1) - 1 as class_id from embeddings) select vec_id, cast(class_id as integer) as class_id, score from e where score > 0.15""")
+@register("score_threshold", """with e as (select vec_id, unnest(embedding) as score, generate_subscripts(embedding, 1) - 1 as class_id from embeddings) select vec_id, cast(class_id as integer) as class_id, score from e where score > 0.15""")
 def score_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return D.above(read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("s")), ["vec_id"], "s", 0.15)
+    return D.above(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("s")), ["vec_id"], "s", 0.15)
 
 
-@register("detector_best_class", """select vec_id, list_max(embedding[5:20]) as score, cast(list_position(embedding[5:20], list_max(embedding[5:20])) - 1 as integer) as class_id from embeddings where list_max(embedding[5:20]) > 0.2""")
+@register("detector_best_class", """select vec_id, list_max(embedding[5:]) as score, cast(list_position(embedding[5:], list_max(embedding[5:])) - 1 as integer) as class_id from embeddings where list_max(embedding[5:]) > 0.2""")
 def detector_best_class(spark: SparkSession, d: str) -> DataFrame:
-    made = D.best_class(F.slice("embedding", 5, 16))
+    made = D.best_class(F.slice("embedding", 5, F.size("embedding")))
     return read(spark, d, "embeddings").select("vec_id", *(c.alias(k) for k, c in made.items())).where("score > 0.2")
 
 
@@ -265,14 +265,8 @@ def register_bits(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", units.register_bits(k, 6, 1).alias("fatal"), units.register_bits(k, 1, 4).alias("code"), units.register_bits(k, 4, 2).alias("power"))
 
 
-@register("region_codes", "select p_partkey, case p_partkey % 18 when 0 then '10S' when 5 then '17R' when 12 then '52S' when 13 then '53S' when 16 then 'UNKNOWN' when 17 then 'UNKNOWN' end as code from part where p_partkey % 18 in (0, 5, 12, 13, 16, 17)")
+@register("region_codes", "select p_partkey, case p_partkey % 18 when 0 then '10S' when 1 then '10T' when 2 then '11R' when 3 then '12R' when 4 then '16T' when 5 then '17R' when 6 then '17T' when 7 then '18S' when 8 then '32S' when 9 then '32T' when 10 then '33S' when 11 then '33T' when 12 then '52S' when 13 then '53S' when 14 then '54S' when 15 then '54T' else 'UNKNOWN' end as code from part")
 def region_codes(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where("p_partkey % 18 in (0, 5, 12, 13, 16, 17)").select("p_partkey", codes.decode(F.col("p_partkey") % 18, codes.REGIONS, "UNKNOWN").alias("code"))
-
-
-@register("region_codes_all", "select p_partkey, case p_partkey % 18 when 0 then '10S' when 1 then '10T' when 2 then '11R' when 3 then '12R' when 4 then '16T' when 5 then '17R' when 6 then '17T' when 7 then '18S' when 8 then '32S' when 9 then '32T' when 10 then '33S' when 11 then '33T' when 12 then '52S' when 13 then '53S' when 14 then '54S' when 15 then '54T' else 'UNKNOWN' end as code from part")
-def region_codes_all(spark: SparkSession, d: str) -> DataFrame:
-    """region_codes over every row, with all of the codes."""
     return read(spark, d, "part").select("p_partkey", codes.decode(F.col("p_partkey") % 18, codes.REGIONS, "UNKNOWN").alias("code"))
 
 

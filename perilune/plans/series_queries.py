@@ -16,6 +16,10 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.floor(F.col("value") * 100).cast("long").alias("v"))
 
 
+#: Series of one user are cut into days.
+DAY = 86_400_000_000
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ev = events(spark, d)
     return ev.where("event_type = 'purchase'").select("user_id", "us", "event_id"), ev.where("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("id"), "v")
@@ -32,19 +36,19 @@ j as (select * from b join a using (event_id)) """
   case when nt is null or us - bt <= nt - us then bt else nt end as r_us, case when nt is null or us - bt <= nt - us then bid else aid end as r_id from j""")
 def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
-    return S.asof(left, right, "user_id", "us", ["id"])
+    return S.asof(left, right, "user_id", "us", ["id"], width=DAY)
 
 
 @register("asof_signed_error", _SIDES + """select event_id, us - case when nt is null or us - bt <= nt - us then bt else nt end as error_us from j""")
 def asof_signed_error(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
-    return S.asof(left, right, "user_id", "us", ["id"]).select("event_id", (F.col("us") - F.col("r_us")).alias("error_us"))
+    return S.asof(left, right, "user_id", "us", ["id"], width=DAY).select("event_id", (F.col("us") - F.col("r_us")).alias("error_us"))
 
 
 @register("asof_backward_tolerance", _SIDES + """select event_id, case when us - bt <= 3600000000 then bt end as r_us from j""")
 def asof_backward_tolerance(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
-    rows = S.asof(left, right, "user_id", "us", ["id"], "backward", max_gap=3_600_000_000)
+    rows = S.asof(left, right, "user_id", "us", ["id"], "backward", max_gap=3_600_000_000, width=DAY)
     return rows.select("event_id", F.when(F.col("r_us").isNotNull() & (F.col("us") - F.col("r_us") <= 3_600_000_000), F.col("r_us")).alias("r_us"))
 
 
@@ -52,13 +56,13 @@ def asof_backward_tolerance(spark: SparkSession, d: str) -> DataFrame:
   else bv + (av - bv) * ((us - cast(bt as double)) / (cast(nt as double) - cast(bt as double))) end) as bigint) as milli from j""")
 def interp_resample(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
-    return S.interpolate(left, right, "user_id", "us", "v").select("event_id", F.floor(F.col("interpolated") * 1000).cast("long").alias("milli"))
+    return S.interpolate(left, right, "user_id", "us", "v", width=DAY).select("event_id", F.floor(F.col("interpolated") * 1000).cast("long").alias("milli"))
 
 
 @register("keyframe_bracket", _SIDES + "select event_id, bt as lo_us, nt as hi_us, bv as lo_v, av as hi_v from j")
 def keyframe_bracket(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
-    return S.bracket(left, right, "user_id", "us", "v").select("event_id", "lo_us", "hi_us", "lo_v", "hi_v")
+    return S.bracket(left, right, "user_id", "us", "v", width=DAY).select("event_id", "lo_us", "hi_us", "lo_v", "hi_v")
 
 
 @register("group_id_from_starts", f"""with {_EV}, s as (select *, lag(event_type) over w is distinct from event_type or row_number() over w = 1 as starts from ev window w as (partition by user_id order by us, event_id))
@@ -139,11 +143,16 @@ def interval_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return S.overlapping(w, w, "a", "b", 60, ["o_custkey"]).where("id < id_b").select("id", "id_b")
 
 
-@register("missing_fragments", """with c as (select conv_id, max(turn) as largest, count(distinct turn) as present, list(distinct turn) as held from conversations where turn % 3 <> 1 group by 1)
-select conv_id, present, cast(largest as bigint) as largest, array_to_string(list_sort([x for x in generate_series(0, largest) if not list_contains(held, x)]), ',') as missing from c""")
+@register("missing_fragments", """with c as (select distinct o_custkey, o_orderkey as n from orders), g as (select o_custkey, coalesce(lag(n) over (partition by o_custkey order by n), -1) + 1 as first, n - 1 as last from c)
+select o_custkey, first, last from g where first <= last""")
 def missing_fragments(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.gaps(read(spark, d, "conversations").where("turn % 3 <> 1"), "conv_id", "turn")
-    return rows.select("conv_id", "present", "largest", F.array_join(F.transform(F.sort_array("missing"), lambda x: x.cast("string")), ",").alias("missing"))
+    """Customers stand for images, their orders' keys for fragment numbers: which stretches of them are missing."""
+    return S.gaps(read(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@register("fragment_coverage", """select l_suppkey, count(distinct l_orderkey) as present, max(l_orderkey) as largest, max(l_orderkey) + 1 - count(distinct l_orderkey) as missing from lineitem group by 1""")
+def fragment_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return S.coverage(read(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
 
 
 @register("dedup_first_fragment", """with c as (select conv_id, turn % 2 as slot, text, turn from conversations), r as (select *, row_number() over (partition by conv_id, slot order by turn) as n from c)

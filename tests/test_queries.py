@@ -26,7 +26,7 @@ def test_crc_is_of_whole_texts(spark):
         assert (r.crc16, r.crc5) == ((None, None) if t is None else (crc16(t.encode()), crc5(t.encode())))
 
 
-@pytest.mark.parametrize("name, column", [("fixed_packets_whole", None), ("message_frames_whole", "length")])
+@pytest.mark.parametrize("name, column", [("fixed_packet_roundtrip", None), ("message_frames", "length")])
 def test_whole_texts_are_framed(spark, name, column):
     sizes = [len((r.text or "").encode()) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
     rows = QUERIES[name](spark, DATA).collect()
@@ -40,7 +40,7 @@ def test_every_nation_is_solved(spark):
 
 
 def test_every_region_is_decoded(spark):
-    rows = QUERIES["region_codes_all"](spark, DATA).collect()
+    rows = QUERIES["region_codes"](spark, DATA).collect()
     assert len(rows) == spark.read.parquet(f"{DATA}/part.parquet").count() and len({r.code for r in rows}) == 17
 
 

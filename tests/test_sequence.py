@@ -18,6 +18,31 @@ def test_asof_equals_brute_force(spark, left, right):
         near = sorted({x for q, x in right if q == k}, key=lambda x: (abs(x - t), x))
         assert got[i] == (near[0] if near else None)
     assert len(got) == len(left)
+    # Cut into stretches, many of them empty on one side, nothing changes.
+    for how in ("nearest", "backward", "forward"):
+        whole = S.asof(a, b, "k", "t", ["v"], how).collect()
+        assert sorted(whole) == sorted(S.asof(a, b, "k", "t", ["v"], how, width=4).collect())
+
+
+def test_one_long_series_is_read_in_linear_time(spark):
+    """200,000 rows of one key: frames that grow row by row, not ones that are computed anew for each row."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    left = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") * 10).alias("t"), "id")
+    right = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") * 10 + 3).alias("t"), "id")
+    for width in (None, 100_000):
+        begun = time.time()
+        rows = S.asof(left, right, "k", "t", ["id"], width=width).agg(F.sum("r_id"), F.count("*")).first()
+        assert tuple(rows) == (sum(range(200_000)), 200_000) and time.time() - begun < 60
+
+
+def test_null_keys_and_times_match_nothing(spark):
+    left = spark.createDataFrame([(None, 5, 1), (1, None, 2), (1, 5, 3)], "k int, t long, id int")
+    right = spark.createDataFrame([(None, 5, 7), (1, None, 8), (1, 4, 9)], "k int, t long, v int")
+    for width in (None, 2):
+        assert {r.id: r.r_v for r in S.asof(left, right, "k", "t", ["v"], "backward", width=width).collect()} == {1: None, 2: None, 3: 9}
 
 
 @slow
@@ -63,7 +88,10 @@ def test_stalled_rounds_fail_at_the_limit(spark):
 
 def test_gaps_and_reassembly(spark):
     df = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 0, "a"), (2, 0, "x")], "k int, n int, p string")
-    assert {r.k: sorted(r.missing) for r in S.gaps(df, "k", "n").collect()} == {1: [1], 2: []}
+    assert [tuple(r) for r in S.gaps(df, "k", "n").collect()] == [(1, 1, 1)]
+    stray = spark.createDataFrame([(1, 10**15), (1, 3), (1, 4), (None, 1), (2, None), (2, -5)], "k int, n long")
+    assert sorted(map(str, S.gaps(stray, "k", "n").collect())) == ["Row(k=1, first=0, last=2)", "Row(k=1, first=5, last=999999999999999)", "Row(k=None, first=0, last=0)"]
+    assert {r.k: (r.present, r.largest, r.missing) for r in S.coverage(stray, "k", "n").collect()} == {1: (3, 10**15, 10**15 - 2), None: (1, 1, 1), 2: (0, None, 0)}
     assert {r.k: r.payload for r in S.reassemble(df, "k", "n", "p").collect()} == {1: "ac", 2: "x"}
 
 
