@@ -11,7 +11,9 @@ stretches of each source's permuted units, and rows are shuffled inside their sh
 `seed`, so reruns agree.
 
 Null texts have no words; documents without words are taken with their block and add nothing. Null sources are one source.
-Repeated rows are rows of their own in the same block. A source without words has target 0. Other columns pass through.
+Repeated rows, in one source or in several, are rows of their own: those of one source share a block, and of equal ones that only
+partly fit, as many as fit are taken. Null doc_ids count as one doc_id. A source without words has target 0. A very long
+text is taken or left whole, so a source misses its target by half of one document at most. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from perilune.llm.common import staged
 
 
+_STAGED_LEVELS = 3
+
+
 @dataclass(frozen=True)
 class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
@@ -80,10 +85,12 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
 
 
 def split_quotas(quotas: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """k, shard, quota from rows of (k, quota): the leaves of the tree. One row of arrays grows to 2^depth; no shuffle."""
+    """k, shard, quota from rows of (k, quota): the leaves of the tree. One row of arrays grows to 2^depth; no shuffle. Every few levels are staged, so that plans stay small."""
     nodes = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), F.col("quota").cast("long").alias("quota")))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     kind = "struct<left:bigint,drawn:bigint,x:array<bigint>>"
     for level in range(mix.depth or 0):
+        if level and level % _STAGED_LEVELS == 0:
+            nodes = staged(nodes)
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, s: a + s["quota"])
 
         seeds = (F.lit(mix.seed), F.lit(level), F.col("node"))
@@ -128,20 +135,34 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         units = blocks.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
         mix = replace(mix, depth=min(12, max(0, (units // 16).bit_length() - 1)))
     # Each source's units in a hashed order fill its leaves' quotas one after the other.
-    quotas = split_quotas(blocks.groupBy("k").agg(F.sum("units").alias("quota")), mix)
+    quotas = staged(split_quotas(blocks.groupBy("k").agg(F.sum("units").alias("quota")), mix))
     end = F.sum("quota").over(Window.partitionBy("k").orderBy("shard"))
     slots = quotas.withColumn("end", end).where("quota > 0").select("k", "shard", F.explode(F.sequence(F.col("end") - F.col("quota") + 1, F.col("end"))).alias("rank"))
     units = blocks.where("units > 0").select("k", "block", F.explode(F.sequence(F.lit(1).cast("long"), "units")).alias("copy"))
     rank = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(seed, F.lit(2), "k", "block", "copy"), "block", "copy")).cast("long").alias("rank")
     dealt = units.select("k", "block", "copy", rank).join(slots, ["k", "rank"]).groupBy("k", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
-    plan = staged(blocks.join(dealt, ["k", "block"], "left").select("k", "block", "left", "state", "units", F.coalesce("dealt", F.array().cast("array<struct<copy:bigint,shard:bigint>>")).alias("dealt")))
-    # In a block taken in part, documents in a hashed order are taken while more than half of each still fits.
-    part = placed.join(plan.where("state = 'part'").select("k", "block", "left"), ["k", "block"])
-    upto = F.sum("size").over(Window.partitionBy("k", "block").orderBy(F.xxhash64(seed, F.lit(3), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    skipped = part.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 > F.col("left")).groupBy("doc_id").agg(F.min("size").alias("_")).select("doc_id", F.lit(True).alias("skipped"))
-    rows = join(docs, "k", "n_blocks", "source_size", "target").withColumn("block", block)
-    rows = rows.join(plan.select("k", "block", "units", "dealt", "state"), ["k", "block"]).join(skipped, "doc_id", "left")
-    copies = F.filter("dealt", lambda c: (c["copy"] < F.col("units")) | (F.col("state") != "part") | F.col("skipped").isNull())
+    # In a block taken in part, documents in a hashed order are taken while more than half of each still fits; equal rows count as one group, of which `some` are taken.
+    place = F.struct(F.xxhash64(seed, F.lit(3), "doc_id").alias("h"), F.col("doc_id"), F.col("size"))
+    part = placed.join(blocks.where("state = 'part'").select("k", "block", "left"), ["k", "block"]).groupBy("k", "block", "left", place.alias("place")).agg(F.count("*").alias("many"))
+    words = F.col("many") * F.col("place.size")
+    before = F.sum(words).over(Window.partitionBy("k", "block").orderBy("place")) - words
+    fit = F.when(F.col("place.size") > 0, F.floor((F.col("left") - before) / F.col("place.size") + 0.5)).otherwise(F.when(before <= F.col("left"), F.col("many")).otherwise(0))
+    cuts = part.withColumn("some", F.greatest(F.lit(0), fit).cast("long")).where("some < many").groupBy("k", "block").agg(F.min(F.struct("place", "some")).alias("cut"))
+    plan = blocks.join(dealt, ["k", "block"], "left").join(cuts, ["k", "block"], "left")
+    plan = staged(plan.select("k", "block", "units", F.coalesce("dealt", F.array().cast("array<struct<copy:bigint,shard:bigint>>")).alias("dealt"), F.col("cut.place").alias("cut"), F.coalesce("cut.some", F.lit(0)).alias("some")))
+    rows = join(docs, "k", "n_blocks", "source_size", "target").withColumn("block", block).withColumn("place", place)
+    rows = rows.join(plan, ["k", "block"])
+    tied = F.coalesce((F.col("place") == F.col("cut")) & (F.col("some") > 0), F.lit(False))
+    dropped = F.coalesce(F.col("place") >= F.col("cut"), F.lit(False))
+    if plan.where("some > 0").limit(1).count():
+        # Equal rows of which only some are taken: those whose texts come first.
+        text = F.col("_rest.text") if "text" in rest else F.lit("")
+        number = F.row_number().over(Window.partitionBy("k", "block").orderBy(text))
+        lone = rows.where(~tied).withColumn("dropped", dropped)
+        rows = lone.unionByName(rows.where(tied).withColumn("dropped", number > F.col("some")))
+    else:
+        rows = rows.withColumn("dropped", dropped)
+    copies = F.filter("dealt", lambda c: (c["copy"] < F.col("units")) | ~F.col("dropped"))
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "source", *(F.col("_rest")[c].alias(c) for c in rest))
 
 

@@ -352,6 +352,26 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
 
 
+def taken_and_targets(rows):
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
+    for r in rows:
+        taken[r.source] += r["size"] * len(r.copies)
+        target[r.source], largest[r.source] = r.target, max(r["size"], largest[r.source])
+        assert len(r.copies) <= 2
+    return taken, target, largest
+
+
+@pytest.mark.parametrize("ids", ["distinct", "shared", "null", "one"])
+def test_ids_that_repeat_across_sources_meet_their_targets(spark, ids):
+    """Skipped rows are told by source, block and size, not by their id alone."""
+    g = random.Random(4)
+    name = {"distinct": lambda s, i: 1000 * ord(s) + i, "shared": lambda s, i: i, "null": lambda s, i: None, "one": lambda s, i: 7}[ids]
+    rows = [(name(s, i), s, "w " * (5 if ids == "one" else g.randint(1, 12))) for s in "abc" for i in range(300)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    taken, target, largest = taken_and_targets(got)
+    assert len(got) == 900 and all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
+
+
 def test_quotas_are_split_exactly_and_fairly(spark):
     df = spark.createDataFrame([(0, 300), (1, 20), (2, 0)], "k int, quota long")
     rows = mixing.split_quotas(df, mixing.Mix(depth=4)).collect()
