@@ -2,16 +2,19 @@
 
 Statistics come from a text's bytes, words and lines alone. Trees are grown on histograms of binned statistics, flattened into
 arrays (feature, threshold, leaf value; a node's children lie at 2i+1 and 2i+2), and walked for all rows and trees at once.
-At most `max_rows` labelled rows (those with the smallest hashes of their ids) are learnt from: that bounds what the
-driver gathers. Every document is scored by its whole text.
+At most `max_rows` labelled documents (of those that are there, the ones with the smallest hashes of their ids) are learnt
+from: that bounds what the driver gathers. Every document is scored by its whole text, however long.
 
-Null and empty texts have statistics of 0 and are scored like any other. Rows without a quality label aren't learnt from;
-labels of unknown documents are ignored; without labels of both kinds every score is the share of label 1 (0.5 without any).
+Null and empty texts have statistics of 0 and are scored like any other. Labels other than 0 and 1 and those of unknown documents
+are ignored, labels that repeat count once, and documents with both labels aren't learnt from. Of rows that repeat a doc_id
+one is learnt from (the smallest by its statistics) and each is scored. A null doc_id counts as the empty text: held out. Without
+labels of both kinds every score is the share of label 1 (0.5 without any). Columns but doc_id and text play no part.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilune.llm.common import map_texts, utf8
+from perilune.llm.common import map_texts, ready, staged, utf8
 
 _BYTES = np.arange(256)
 
@@ -141,16 +144,16 @@ def _features(ids: list, texts: list) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Trees:
     """Learns from labelled documents whose crc32(doc_id as text) mod 5 is not 0; the labelled ids are bounded, so they may be broadcast."""
-    learnt = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    learnt = learnt.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(s.max_rows)
-    rows = map_texts(docs.select("doc_id", "text").join(F.broadcast(learnt.select("doc_id").distinct()), "doc_id", "left_semi"), _features, "doc_id long, x array<double>")
-    # A document's rows may repeat, and so may labels: sorted, so that reruns see the same order.
-    found = rows.join(F.broadcast(learnt), "doc_id").toPandas()
+    learnt = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("quality").isin(0, 1))
+    learnt = learnt.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    learnt = learnt.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
+    learnt = staged(learnt)
+    rows = map_texts(docs.select("doc_id", "text").join(F.broadcast(learnt.select("doc_id")), "doc_id", "left_semi"), _features, "doc_id long, x array<double>")
+    found = rows.groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(learnt), "doc_id").toPandas()
     if found.empty:
         return fit(np.zeros((0, FEATURES)), np.zeros(0), s)
-    x, y = np.stack(found["x"].to_numpy()), found["quality"].to_numpy(dtype=np.float64)
-    order = np.lexsort((y, *x.T, found["doc_id"].to_numpy()))
-    return fit(x[order], y[order], s)
+    found = found.sort_values("doc_id")  # reruns see the same order
+    return fit(np.stack(found["x"].to_numpy()), found["quality"].to_numpy(dtype=np.float64), s)
 
 
 def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
@@ -158,7 +161,7 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> Data
 
     def run(ids: list, texts: list, trees: Trees) -> dict:
         score = trees.score(statistics(texts))
-        held = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
+        held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i in ids]
         return {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}
 
     return map_texts(docs, partial(run, trees=trees), "doc_id long, held_out boolean, score double, predicted int")
@@ -166,10 +169,6 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all columns, that aren't rejected."""
-    from collections.abc import Iterator
-
-    from perilune.llm.common import ready
-
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,6 +149,49 @@ def test_classifier_of_odd_rows(spark):
     assert C.keep_good(documents(spark), none).columns == documents(spark).columns
 
 
+def test_only_labels_of_documents_take_up_room(spark):
+    """Labels of unknown documents, repeated labels, contradictions and repeated rows: as many documents are learnt from as the bound allows."""
+    docs = spark.createDataFrame([(i, ("good words here, in a row. " if i % 2 else "#$ 9 |") * 9) for i in range(200)] * 2, "doc_id long, text string")
+    known = [(i, i % 2) for i in range(200)] * 2 + [(4, 1)]
+    few = C.Settings(max_rows=50)
+    alone = C.train(docs, spark.createDataFrame(known, "doc_id long, quality int"), few)
+    more = C.train(docs, spark.createDataFrame(known + [(i, 1) for i in range(1000, 6000)] + [(None, 1)], "doc_id long, quality int"), few)
+    assert len(alone.feature) and (alone.leaf == more.leaf).all() and (alone.threshold == more.threshold).all()
+
+
+def walk(trees, row):
+    """One row down every tree, a node at a time."""
+    total = trees.base
+    for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+        total += leaf[at - len(feature)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_flattened_trees_score_as_a_walk_does():
+    g = np.random.default_rng(3)
+    x = g.integers(0, 5, size=(300, 4)).astype(float)
+    trees = C.fit(x, (x[:, 0] + x[:, 2] > 4).astype(float), C.Settings(trees=7, depth=3, bins=8))
+    assert np.allclose(trees.score(x), [walk(trees, r) for r in x])
+
+
+def test_first_split_is_the_best_of_all():
+    """Of one stump: every feature and threshold is tried, and its leaves are the regularised Newton steps."""
+    g = np.random.default_rng(5)
+    x, s = g.integers(0, 6, size=(120, 3)).astype(float), C.Settings(trees=1, depth=1, bins=64)
+    y = ((x[:, 1] > 2) ^ (g.random(120) < 0.1)).astype(float)
+    p, tree = y.mean(), C.fit(x, y, s)
+    grad, hess = p - y, np.full(120, p * (1 - p))
+    part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + s.smooth)
+    gains = {(j, t): part(x[:, j] <= t) + part(x[:, j] > t) for j in range(3) for t in range(5) if min((x[:, j] <= t).sum(), (x[:, j] > t).sum()) >= s.least_rows}
+    j, t = int(tree.feature[0, 0]), tree.threshold[0, 0]
+    left = x[:, j] <= t
+    assert part(left) + part(~left) == pytest.approx(max(gains.values()))
+    assert tree.leaf[0].tolist() == pytest.approx([-s.rate * grad[m].sum() / (hess[m].sum() + s.smooth) for m in (left, ~left)])
+
+
 def test_trees_separate_what_one_feature_tells():
     g = np.random.default_rng(0)
     x = g.normal(size=(400, 3))
