@@ -187,6 +187,13 @@ class Dfa:
                 add((i, state))
         return [(i, s // self.width) for i, s in found]
 
+    def walk(self, data: bytes, begin: int, end: int, state: int) -> int:
+        """The state after the bytes from begin to end."""
+        table = self.flat
+        for c in data[begin:end].translate(self.classes):
+            state = table[state + c]
+        return state
+
     def longest(self, data: bytes, begin: int = 0) -> int:
         """End of the longest match that starts at begin, or -1."""
         table, state, classes, best = self.flat, self.start, self.classes, -1

@@ -1,16 +1,19 @@
 """Operator 1: secret scans by one combined deterministic automaton.
 
 All rules become one minimal automaton whose transition array is walked once over a text's bytes. A hit gives the rule and
-an end; the rule's mirrored automaton walks back to the leftmost start and its own automaton on to the longest end. Matches
-of a rule are leftmost and don't overlap; those that fail the rule's check (a length) are dropped after they were taken.
-
-Null and empty texts have no spans. Repeated rows are scanned each on its own; other columns are left alone.
+an end. Whether a match that ends there began behind the rule's last one, the rule's own automaton tells, which goes on from where
+it stood at the hit before; then the mirrored automaton walks back to the leftmost start and another on to the longest end. Matches
+of a rule are leftmost and don't overlap; those that fail the rule's check (a length, measured behind the rule's head by
+an automaton too) are dropped after they were taken. No byte is walked more than a few times, so time follows a text's length
+however long it is and however many hits fail.
+
+Null and empty texts have no spans. Spans that begin together are in the order of the rules; those of different rules may
+overlap. Repeated rows are scanned each on its own; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,7 +26,7 @@ from perilune.llm.common import map_texts, replace_text, utf8
 
 @dataclass(frozen=True)
 class Rule:
-    """insensitive: the part of the pattern before it stands in either case. least: bytes that the match, or what follows `head`, must have."""
+    """A match is `insensitive` in either case, then `head`, then `pattern`. least: bytes that what matches `pattern` must have."""
 
     kind: str
     pattern: str
@@ -34,7 +37,7 @@ class Rule:
 
 # The base kinds and their lengths.
 BASE = (
-    Rule("assign", r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+""", 6, "(password|passwd|secret|token|api_?key)", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""),
+    Rule("assign", r"[A-Za-z0-9+/_.=\-]+", 6, "(password|passwd|secret|token|api_?key)", r"""["']?\x20*[:=]\x20*["']?"""),
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{8,}", 24),  # shorter runs fail either way; a small count keeps the automaton small
 )
@@ -52,27 +55,32 @@ RULES = BASE + EXTRA
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
-        nodes = [("cat", [*([any_case(parse(r.insensitive))] if r.insensitive else []), parse(r.pattern)]) for r in rules]
+        heads = [("cat", [*([any_case(parse(r.insensitive))] if r.insensitive else []), parse(r.head)]) for r in rules]
+        nodes = [("cat", [h, parse(r.pattern)]) for h, r in zip(heads, rules, strict=True)]
         self.rules = rules
         self.combined: Dfa = compile_dfa(nodes, unanchored=True)
+        self.own = [compile_dfa([n], unanchored=True) for n in nodes]
         self.forward = [compile_dfa([n], unanchored=False) for n in nodes]
         self.backward = [compile_dfa([mirrored(n)], unanchored=False) for n in nodes]
+        self.head = [compile_dfa([h], unanchored=False) if r.head or r.insensitive else None for h, r in zip(heads, rules, strict=True)]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes, sorted, after the rules' checks."""
         taken, found = [0] * len(self.rules), []
-        for end, state in self.combined.hits(data):
-            for k in self.combined.tags[state]:
+        at, state = [0] * len(self.rules), [d.start for d in self.own]  # where each rule's own automaton stands, begun at `taken`
+        for end, hit in self.combined.hits(data):
+            for k in self.combined.tags[hit]:
                 if end <= taken[k]:
                     continue
-                back = self.backward[k].longest(data[taken[k] : end][::-1])
-                if back < 0:
+                state[k] = self.own[k].walk(data, at[k], end, state[k])
+                at[k] = end
+                if state[k] < self.own[k].accepting:  # the match began before the rule's last one ended
                     continue
-                start = end - back
-                taken[k] = stop = self.forward[k].longest(data, start)
-                rule = self.rules[k]
-                head = re.match(rule.head.encode(), data[start:stop]).end() if rule.head else 0
-                if stop - start - head >= rule.least:
+                start = end - self.backward[k].longest(data[taken[k] : end][::-1])
+                taken[k] = at[k] = stop = self.forward[k].longest(data, start)
+                state[k] = self.own[k].start
+                body = self.head[k].longest(data[start:stop]) if self.head[k] else 0
+                if stop - start - body >= self.rules[k].least:
                     found.append((start, k, stop))
         return sorted(found)
 

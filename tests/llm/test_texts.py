@@ -49,6 +49,30 @@ def test_a_failing_match_is_taken_before_it_is_dropped():
     assert base_of("token:token : abcdef") == [] and base_of("token=token=abcdef") == [(0, "assign", 18)]
 
 
+@pytest.mark.parametrize("text", ["password=token:" + "a" * 1_000_000, "token=a " * 100_000, "a" * 1_000_000, "token" + " " * 1_000_000, "secret" * 150_000, "AKIA" * 200_000, "password=token:abc" * 50_000])
+def test_time_follows_the_length_of_a_text(text):
+    import time
+
+    scanner()
+    begun = time.process_time()
+    assert base_of(text) == base_spans(text)
+    assert time.process_time() - begun < 10
+
+
+FURTHER = {  # the further kinds as regular expressions, with the least length of a whole match
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), "github": (r"gh[pousr]_[A-Za-z0-9]+", 40), "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 20), "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", 40),
+    "google": (r"AIza[A-Za-z0-9_-]+", 39), "stripe": (r"[sr]k_(live|test)_[A-Za-z0-9]+", 24),
+}
+marks = st.sampled_from(["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ghp_", "xoxb-", "eyJ", ".", "AIza", "sk_live_", "rk_test_", "A1b2" * 5, "zz9-", "_" * 8, " ", "\n", "é", "-"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(marks, max_size=14).map("".join))
+def test_further_kinds_equal_regexes(text):
+    want = sorted((m.start(), k, m.end()) for k, (p, least) in FURTHER.items() for m in re.finditer(p, text) if len(m[0]) >= least)
+    assert sorted(x for x in scanner().text_spans(text) if x[1] in FURTHER) == want
+
+
 def test_further_kinds():
     kinds = lambda t: [k for _, k, _ in scanner().text_spans(t)]
     assert kinds("x ghp_" + "A" * 36) == ["github"] and kinds("-----BEGIN RSA PRIVATE KEY-----") == ["pem"] and kinds("ghp_short") == []
