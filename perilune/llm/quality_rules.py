@@ -1,11 +1,14 @@
 """Operator 2: quality rules with suffix-array repetition.
 
-Per text: base counts (characters in words, symbols, lines seen before, words in repeated 3-word windows), and from a suffix
-array over its words the union of the maximal repeated runs of at least `min_repeat` words and the longest of them. A text is
-kept if it has `min_words` words, at most half of them in repeated 3-word windows, at most `max_covered` of them in
-repeated runs, no run longer than `max_longest` of it, and at most `max_symbols` symbols for each word.
-
-Null and empty texts have no words and fail. Repeated rows give repeated results; other columns are left alone.
+Per text: base counts (characters in words, symbols, lines seen before, words in repeated 3-word windows), and from the intervals of
+common prefixes of a suffix array over its words the maximal repeats of at least `min_repeat` words: the union of their spans
+and the longest of them. A text is kept if it has `min_words` words, at most half of them in repeated 3-word windows, at most
+`max_covered` of them in maximal repeats, no repeat longer than `max_longest` of it, and at most `max_symbols` symbols for each word.
+A line that is said twice is no fault of a short text: repeats of up to `short_longest` words that cover up to `short_covered` pass.
+
+Texts are measured in groups of about `_GROUP` words, so memory follows the longest text, not the batch; whole texts count, however long.
+Equal repeats of equal length all count. Null and empty texts have no words and fail. Repeated rows give repeated results; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -18,20 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from perilune.llm.common import map_texts, utf8
-from perilune.llm.suffixes import covered, repeat_lengths
+from perilune.llm.suffixes import covered, maximal_repeats, repeat_lengths, suffix_array
 
 # White space that parts words, and symbols.
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _SYMBOLS = b"#*$%&|<>"
 
 
+_GROUP = 1 << 18
+
+
 @dataclass(frozen=True)
 class Limits:
     min_words: int = 50
     max_repeat_words: float = 0.5
     min_repeat: int = 8
-    max_covered: float = 0.45
-    max_longest: float = 0.25
+    max_covered: float = 0.3
+    max_longest: float = 0.2
+    short_covered: int = 50
+    short_longest: int = 25
     max_symbols: float = 0.25
 
 
@@ -43,6 +51,21 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def measure(texts: list, limits: Limits = Limits()) -> dict[str, np.ndarray]:
+    """Each column as one array, a value a text."""
+    groups: list[list] = []
+    size = _GROUP + 1
+    for text in texts:
+        n = len(text or "") // 6
+        if size + n > _GROUP:
+            groups.append([])
+            size = 0
+        groups[-1].append(text)
+        size += n
+    found = [_measure(g, limits) for g in groups or [[]]]
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
+def _measure(texts: list, limits: Limits) -> dict[str, np.ndarray]:
     known: dict[bytes, int] = {}
     number = known.setdefault
     ids, n_words, chars, symbols, dup_lines = [], [], [], [], []
@@ -50,7 +73,7 @@ def measure(texts: list, limits: Limits = Limits()) -> dict[str, np.ndarray]:
         data = utf8(text)
         words = data.split()
         n_words.append(len(words))
-        ids += [number(w, len(known)) for w in words]
+        ids.append(np.fromiter((number(w, len(known)) for w in words), dtype=np.int64, count=len(words)))
         bare = data.translate(None, _SPACE)
         chars.append(len(bare) if bare.isascii() else len(bare.decode("utf-8", "replace")))
         symbols.append(len(data) - len(data.translate(None, _SYMBOLS)))
@@ -58,16 +81,18 @@ def measure(texts: list, limits: Limits = Limits()) -> dict[str, np.ndarray]:
         distinct = set(lines)
         dup_lines.append(sum(1 for x in lines if x.split()) - sum(1 for x in distinct if x.split()) if len(distinct) < len(lines) else 0)
     n_words = np.array(n_words, dtype=np.int64)
+    words = np.concatenate([np.zeros(0, dtype=np.int64), *ids])
     doc = np.repeat(np.arange(len(texts)), n_words)
-    longest = repeat_lengths(np.array(ids, dtype=np.int64), doc)
+    sa, lcp = suffix_array(words, doc)
     total = lambda x: np.bincount(doc, weights=x, minlength=len(texts)).astype(np.int64)
-    repeat_words = total(covered(longest, 3, 3))
-    cover = total(covered(longest, limits.min_repeat))
+    repeat_words = total(covered(repeat_lengths(sa, lcp), 3, 3))
+    repeats = maximal_repeats(sa, lcp, words, doc, limits.min_repeat)
+    cover = total(covered(repeats, limits.min_repeat))
     most = np.zeros(len(texts), dtype=np.int64)
-    np.maximum.at(most, doc, longest)
+    np.maximum.at(most, doc, repeats)
     symbols = np.array(symbols, dtype=np.int64)
     failed = (n_words < limits.min_words) | (repeat_words > limits.max_repeat_words * n_words)
-    kept = ~failed & (cover <= limits.max_covered * n_words) & (most <= np.maximum(limits.max_longest * n_words, limits.min_repeat)) & (symbols <= limits.max_symbols * n_words)
+    kept = ~failed & (cover <= np.maximum(limits.max_covered * n_words, limits.short_covered)) & (most <= np.maximum(limits.max_longest * n_words, limits.short_longest)) & (symbols <= limits.max_symbols * n_words)
     return {
         "n_words": n_words, "word_chars": np.array(chars, dtype=np.int64), "n_symbols": symbols, "n_dup_lines": np.array(dup_lines, dtype=np.int64), "n_repeat_words": repeat_words,
         "base_failed": failed, "kept": kept, "n_covered_words": cover, "longest_repeat": most,

@@ -21,7 +21,7 @@ from perilune.llm import lm_scoring as L
 from perilune.llm import op1_secret_scans, op2_quality_rules
 from perilune.llm.quality_rules import measure, quality_rules
 from perilune.llm.secrets import find_secrets, redact_secrets, scanner
-from perilune.llm.suffixes import repeat_lengths
+from perilune.llm.suffixes import covered, maximal_repeats, repeat_lengths, suffix_array
 
 DATA = "/root/testdata/sf0.001"
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -136,7 +136,72 @@ def test_suffix_arrays_find_the_longest_repeats(rows):
         common = lambda j: next((k for k in range(len(r)) if i + k >= len(r) or j + k >= len(r) or r[i + k] != r[j + k]), len(r))
         return max([common(j) for j in range(len(r)) if j != i], default=0)
 
-    assert repeat_lengths(words, doc).tolist() == [longest(r, i) for r in rows for i in range(len(r))]
+    assert repeat_lengths(*suffix_array(words, doc)).tolist() == [longest(r, i) for r in rows for i in range(len(r))]
+
+
+def brute_repeats(row, least):
+    """Spans of all repeats that can be longer neither to the left nor to the right: (start, length)."""
+    out = set()
+    for size in range(least, len(row)):
+        places = collections.defaultdict(list)
+        for i in range(len(row) - size + 1):
+            places[tuple(row[i : i + size])].append(i)
+        for at in places.values():
+            side = lambda k, at=at: len({row[i + k] if 0 <= i + k < len(row) else ("end", i) for i in at}) > 1
+            if len(at) > 1 and side(-1) and side(size):
+                out |= {(i, size) for i in at}
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=16), min_size=1, max_size=3), st.integers(1, 4))
+def test_intervals_are_the_maximal_repeats(rows, least):
+    words, doc = np.array([x for r in rows for x in r], dtype=np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    got = maximal_repeats(*suffix_array(words, doc), words, doc, least)
+    cover, at = covered(got, least), 0
+    for r in rows:
+        spans = brute_repeats(r, least)
+        mine = got[at : at + len(r)].tolist()
+        assert {(i, n) for i, n in enumerate(mine) if n} <= spans
+        assert max(mine, default=0) == max((n for _, n in spans), default=0)
+        assert cover[at : at + len(r)].tolist() == [any(i <= k < i + n for i, n in spans) for k in range(len(r))]
+        at += len(r)
+
+
+def brute_kept(text):
+    """The rules on one text, from the counts and all maximal repeats."""
+    w = WORD.findall(text or "")
+    n, (_, _, symbols, _, again) = len(w), base_counts(text)
+    spans = brute_repeats(w, 8)
+    cover = len({k for i, m in spans for k in range(i, i + m)})
+    return n >= 50 and 2 * again <= n and cover <= max(0.3 * n, 50) and max((m for _, m in spans), default=0) <= max(0.2 * n, 25) and symbols <= 0.25 * n
+
+
+def test_verdicts_equal_brute_force():
+    g = random.Random(6)
+    fresh = lambda m: [f"v{g.randrange(10**9)}" for _ in range(m)]
+    texts = [None, "", "a " * 80]
+    for _ in range(120):
+        passage, text = fresh(g.choice([7, 8, 12, 24, 26, 60])), fresh(g.choice([30, 60, 120, 300]))
+        for _ in range(g.choice([0, 1, 2, 3])):
+            k = g.randrange(len(text) + 1)
+            text[k:k] = passage
+        texts.append(" ".join(text + ["#$"] * g.choice([0, 0, 10, 60])))
+    got = measure(texts)["kept"].tolist()
+    assert got == [bool(brute_kept(t)) for t in texts] and 30 < sum(got) < 110
+
+
+def test_long_repetitive_texts_stay_small():
+    """128 texts of 20,000 words, most of them repeated: measured in groups, so memory follows one text."""
+    import tracemalloc
+
+    g = random.Random(1)
+    texts = [" ".join(f"w{g.randrange(300)}" for _ in range(2000)) + " "] * 128
+    tracemalloc.start()
+    got = measure([t * 10 for t in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000 and not got["kept"].any() and set(got["longest_repeat"].tolist()) == {18_000}
 
 
 def test_quality_rules_of_odd_rows(spark):
