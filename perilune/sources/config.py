@@ -21,11 +21,12 @@ class Solver:
     integrator: str = "rk4"
     gyro_sigma: float = 8.726e-4
     acceleration_sigma: float = 1e-5
+    cd_nominal: float = 2.2
+    cd_sigma: float = 1.0
+    compute_covariance: bool = True
 
     def supported(self) -> None:
         """An error for settings that the solver can't obey."""
-        if self.use_drag:
-            raise ValueError("use_drag is not supported")
         if self.integrator not in ("rk4", "euler"):
             raise ValueError(f"unknown integrator: {self.integrator}")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,23 +46,47 @@ def read_measurements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.trim(parts[k]).try_cast(kind).alias(n) for k, (n, kind) in enumerate(zip(names, kinds, strict=True)))).dropna()
 
 
-def write_estimates(states: DataFrame, path: str) -> None:
-    """States with twelve significant digits, by dataset."""
-    numbers = [c for c, kind in states.dtypes if kind == "double"]
-    states.select("dataset_id", *(_decimals(c, "%.12g") for c in numbers)).write.partitionBy("dataset_id").option("header", True).csv(path)
+RESULTS = ("state_estimates", "initial_trajectory", "covariance", "dynamics_residuals", "landmark_residuals")
+
+
+def _folder(c: str = "dataset_id") -> Column:
+    return F.regexp_replace(c, "[^A-Za-z0-9_.-]+", "_").alias("dataset")
+
+
+def write_results(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder for each table, and in it one for each dataset: CSV with twelve significant digits, booleans as 0 and 1; od_result as JSON documents."""
+    for name, rows in tables.items():
+        if name == "od_result":
+            rows.select(_folder(), "value").write.partitionBy("dataset").text(f"{path}/{name}")
+            continue
+        show = {"double": lambda c: _decimals(c, "%.12g"), "boolean": lambda c: F.col(c).cast("int").alias(c)}
+        rows.select(_folder(), *(show.get(kind, F.col)(c) for c, kind in rows.dtypes if c != "dataset_id")).write.partitionBy("dataset").option("header", True).csv(f"{path}/{name}")
+
+
+def write_trajectory(states: DataFrame, biases: DataFrame, path: str) -> None:
+    """States (dataset_id, t, numbers) beside each dataset's gyro bias (dataset_id, bias: three numbers), by dataset."""
+    rows = states.join(biases, "dataset_id", "left").select("dataset_id", *(c for c in states.columns if c != "dataset_id"), *(F.col("bias")[k].alias(f"gyro_bias_{a}") for k, a in enumerate("xyz")))
+    write_results({"trajectory": rows}, path)
 
 
 def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame | None]:
-    """The tables of a results folder by name; those that aren't there are None."""
+    """The tables of a results folder by name, with the dataset's folder last, and od_result's documents; those that aren't there are None. A folder <name>.csv or od_result.json of one dataset is read as well."""
     from pyspark.errors import AnalysisException
 
-    out: dict[str, DataFrame | None] = {}
-    for name in ("state_estimates", "initial_trajectory", "covariance", "dynamics_residuals", "landmark_residuals"):
-        try:
-            out[name] = spark.read.option("header", True).option("inferSchema", True).csv(str(PurePosixPath(path) / f"{name}.csv") if "://" not in path else f"{path}/{name}.csv")
-        except AnalysisException:
-            out[name] = None
-    return out
+    def read(name: str) -> DataFrame | None:
+        for at in (f"{path}/{name}", f"{path}/{name}.{'json' if name == 'od_result' else 'csv'}"):
+            try:
+                return spark.read.text(at, wholetext=True) if name == "od_result" else spark.read.option("header", True).option("inferSchema", True).csv(at)
+            except AnalysisException:
+                continue
+        return None
+
+    return {name: read(name) for name in (*RESULTS, "od_result")}
+
+
+def residual_columns(rows: DataFrame, bias_mode: str = "fixed") -> DataFrame:
+    """Dynamics residuals without the gyro bias's columns where the bias is fixed."""
+    return rows.select(*(c for c in rows.columns if bias_mode != "fixed" or not c.startswith("gyro_bias_res_")))
 
 
 def markdown(rows: list[dict], columns: list[str]) -> str:

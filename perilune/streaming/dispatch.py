@@ -1,29 +1,60 @@
-"""Command dispatch over micro-batches: priority order, retries, and rate limits for each source."""
+"""Command dispatch over micro-batches: priority order, retries of single commands, hand-over once, and rate limits for each source."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def with_retries(action: Callable[[DataFrame], None], attempts: int = 3, failed: Callable[[DataFrame, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: commands by falling priority, then age; an action that raises is tried again, and after the last attempt the batch goes to `failed` (or raises)."""
+def with_retries(run_one: Callable[[Row], None], attempts: int = 3, workers: int = 5, inline: tuple[str, ...] = ("SHUTDOWN",), failed: Callable[[Row, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: commands by falling priority, then age, go to a pool of workers. A command that raises is tried again by itself, and after the last
+    attempt goes to `failed` (or, when all others are done, its error is raised). Commands named in `inline` wait for those before them and run alone.
+
+    Commands act on the driver, as their order is one for all; they are read a partition at a time.
+    """
+
+    def tried(row: Row) -> Exception | None:
+        for _ in range(attempts):
+            try:
+                run_one(row)
+                return None
+            except Exception as e:  # noqa: BLE001  whatever a command raises is its own failure
+                last = e
+        if failed is not None:
+            failed(row, last)
+            return None
+        return last
 
     def run(batch: DataFrame, epoch: int) -> None:
         ordered = batch.orderBy(F.desc("priority"), "created_at", "cmd_id")
-        for attempt in range(attempts):
-            try:
-                action(ordered)
-                return
-            except Exception as e:
-                if attempt + 1 == attempts:
-                    if failed is None:
-                        raise
-                    failed(ordered, e)
+        named = "name" in batch.columns
+        lost: list = []
+        with ThreadPoolExecutor(workers) as pool:
+            waiting: list = []
+            for row in ordered.toLocalIterator():
+                if named and row["name"] in inline:
+                    lost += [f.result() for f in waiting]
+                    waiting = []
+                    lost.append(tried(row))
+                else:
+                    waiting.append(pool.submit(tried, row))
+            lost += [f.result() for f in waiting]
+        if errors := [e for e in lost if e is not None]:
+            raise errors[0]
+
+    return run
+
+
+def drained(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands each batch over once: a batch that is run again after a failure replaces what it wrote."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return run
 
@@ -44,20 +75,3 @@ def rate_limited(triggers: DataFrame, period: float) -> DataFrame:
         yield pd.DataFrame(fired, columns=["key", "t", "mode", "shot"])
 
     return triggers.groupBy("key").applyInPandasWithState(step, "key string, t double, mode string, shot long", "mode string, last double, shots long", "append", GroupStateTimeout.NoTimeout)
-
-
-def chunk_transfer(events: DataFrame) -> DataFrame:
-    """events: tid, seq, kind (ack, nack), chunk, chunks. Stop and wait: the chunk to send next, how many were sent again, and whether the transfer is done."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nxt, again, total = state.get if state.exists else (1, 0, 0)
-        for r in pd.concat(list(parts)).sort_values("seq", kind="stable").itertuples(index=False):
-            total = int(r.chunks)
-            if r.kind == "nack" and r.chunk == nxt:
-                again += 1
-            elif r.kind == "ack" and r.chunk == nxt and nxt <= total:
-                nxt += 1
-        state.update((nxt, again, total))
-        yield pd.DataFrame({"tid": [key[0]], "next_chunk": [nxt], "resent": [again], "done": [bool(total and nxt > total)]})
-
-    return events.groupBy("tid").applyInPandasWithState(step, "tid long, next_chunk long, resent long, done boolean", "next long, again long, total long", "update", GroupStateTimeout.NoTimeout)

@@ -1,4 +1,4 @@
-"""Streams of samples: fixed-rate windows, latest values, missed updates and duplicates. All bound their state by a watermark."""
+"""Streams of samples: fixed-rate windows, latest values, missed updates and duplicates. All bound their state by a watermark, but for `latest`, which keeps one row a key."""
 
 from __future__ import annotations
 

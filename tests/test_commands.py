@@ -86,42 +86,51 @@ def test_documents_and_tables(spark, tmp_path):
     O.write_measurements(marks, str(tmp_path / "m"))
     assert [tuple(r) for r in O.read_measurements(spark, str(tmp_path / "m")).collect()] == [tuple(r) for r in marks.collect()]
     states = spark.createDataFrame([("d", 0.1234567890123456)], "dataset_id string, t double")
-    O.write_estimates(states, str(tmp_path / "r" / "state_estimates.csv"))
+    O.write_results({"state_estimates": states}, str(tmp_path / "r"))
     found = O.read_results(spark, str(tmp_path / "r"))
-    assert found["state_estimates"].first().t == 0.123456789012 and found["covariance"] is None
+    assert found["state_estimates"].first().t == 0.123456789012 and found["covariance"] is None and found["od_result"] is None
+    O.write_trajectory(states, spark.createDataFrame([("d", [1.0, 2.0, 3.0])], "dataset_id string, bias array<double>"), str(tmp_path / "t"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "t" / "trajectory")).columns == ["t", "gyro_bias_x", "gyro_bias_y", "gyro_bias_z", "dataset"]
+    residuals = spark.createDataFrame([(1.0, 2.0)], "pos_res_x double, gyro_bias_res_x double")
+    assert O.residual_columns(residuals).columns == ["pos_res_x"] and O.residual_columns(residuals, "tv").columns == residuals.columns
     assert O.markdown([{"a": 1, "b": None}], ["a", "b"]).splitlines()[-1] == "| 1 | n/a |" and O.toml({"x": {"a": True, "b": "q"}}) == '[x]\na = true\nb = "q"\n'
 
 
-def test_dispatch_retries_in_priority_order(spark):
-    batch = spark.createDataFrame([(1, 0, 5), (2, 9, 7), (3, 9, 6)], "cmd_id int, priority int, created_at long")
+def test_dispatch_retries_single_commands_in_priority_order(spark):
+    batch = spark.createDataFrame([(1, 0, 5, "PING"), (2, 9, 7, "BAD"), (3, 9, 6, "PING"), (4, 5, 1, "SHUTDOWN")], "cmd_id int, priority int, created_at long, name string")
     seen, lost = [], []
 
-    def action(ordered):
-        seen.append([r.cmd_id for r in ordered.collect()])
-        if len(seen) < 3:
+    def act(row):
+        seen.append(row.cmd_id)
+        if row["name"] == "BAD" and seen.count(2) < 3:
             raise RuntimeError("again")
 
-    dispatch.with_retries(action)(batch, 0)
-    assert seen == [[3, 2, 1]] * 3
+    dispatch.with_retries(act, workers=1)(batch, 0)
+    assert seen == [3, 2, 2, 2, 4, 1]  # only the command that failed is run again
 
-    def never(ordered):
-        raise RuntimeError("no")
+    def never(row):
+        seen.append(row.cmd_id)
+        if row["name"] == "BAD":
+            raise RuntimeError("no")
 
-    dispatch.with_retries(never, 2, lambda rows, e: lost.append(str(e)))(batch, 1)
-    assert lost == ["no"]
+    seen.clear()
+    dispatch.with_retries(never, 2, failed=lambda row, e: lost.append((row.cmd_id, str(e))))(batch, 1)
+    assert lost == [(2, "no")] and sorted(seen) == [1, 2, 2, 3, 4] and seen.index(4) > seen.index(3)
+    with pytest.raises(RuntimeError):
+        dispatch.with_retries(never)(batch, 2)
+    assert sorted(seen)[-1] == 4 and seen.count(1) == 2  # the others are done nevertheless
 
 
-def test_rate_limit_and_stop_and_wait(spark, tmp_path):
+def test_batches_are_handed_over_once(spark, tmp_path):
+    hand = dispatch.drained(str(tmp_path / "out"))
+    for epoch in (0, 1, 1):  # the second batch is run twice
+        hand(spark.range(10 * epoch, 10 * epoch + 3), epoch)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 10, 11, 12]
+
+
+def test_rate_limit(spark, tmp_path):
     from test_orbit_and_streams import run
 
     rows = [{"key": "c", "t": float(t), "mode": "periodic" if t < 8 else "earth", "target": 2} for t in (0, 1, 5, 6, 7, 8, 9)]
     got = run(spark, tmp_path, rows, "key string, t double, mode string, target long", lambda s: dispatch.rate_limited(s, 5.0), "append")
     assert sorted((r.t, r.shot) for r in got) == [(0.0, 1), (5.0, 2), (8.0, 1)]
-
-
-def test_chunk_transfer(spark, tmp_path):
-    from test_orbit_and_streams import run
-
-    rows = [{"tid": 1, "seq": i, "kind": k, "chunk": c, "chunks": 2} for i, (k, c) in enumerate([("ack", 1), ("nack", 2), ("ack", 1), ("ack", 2)])]
-    got = run(spark, tmp_path, rows, "tid long, seq long, kind string, chunk long, chunks long", dispatch.chunk_transfer, "update")
-    assert (got[-1].next_chunk, got[-1].resent, got[-1].done) == (3, 1, True)
