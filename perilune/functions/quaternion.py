@@ -85,6 +85,30 @@ def kinematics_wxyz(q: Quad, rate: Triple) -> Quad:
     return tuple(x * 0.5 for x in product_wxyz(q, (F.lit(0.0), *rate)))
 
 
+def skew(v: Triple) -> tuple[Triple, Triple, Triple]:
+    """The matrix (rows) whose product with a vector is the cross product with v."""
+    zero = F.lit(0.0)
+    return ((zero, -v[2], v[1]), (v[2], zero, -v[0]), (-v[1], v[0], zero))
+
+
+def left_matrix_wxyz(q: Quad) -> tuple[Quad, ...]:
+    """Rows of the matrix that multiplies from the left by q."""
+    w, x, y, z = q
+    return ((w, -x, -y, -z), (x, w, -z, y), (y, z, w, -x), (z, -y, x, w))
+
+
+def right_matrix_wxyz(q: Quad) -> tuple[Quad, ...]:
+    """Rows of the matrix that multiplies from the right by q."""
+    w, x, y, z = q
+    return ((w, -x, -y, -z), (x, w, z, -y), (y, -z, w, x), (z, y, -x, w))
+
+
+def tangent_basis_xyzw(q: Quad) -> tuple[Quad, Quad, Quad]:
+    """Three unit vectors at right angles to q and to each other: q turned by the three imaginary units from the right. They span what attitude errors can change."""
+    x, y, z, w = q
+    return ((w, z, -y, -x), (-z, w, x, -y), (y, -x, w, -z))
+
+
 def matrix_to_xyzw(r: np.ndarray) -> np.ndarray:
     """numpy: from a rotation matrix, by the largest of the four components."""
     k = np.array([r[0, 0] - r[1, 1] - r[2, 2], r[1, 1] - r[0, 0] - r[2, 2], r[2, 2] - r[0, 0] - r[1, 1], np.trace(r)])

@@ -29,6 +29,18 @@ def host_stats(line: Column) -> dict[str, Column]:
     return out
 
 
+def keyed_number(line: Column, key: str) -> Column:
+    """The whole number behind a key ('RAM 3162/7620MB' -> 3162): of the text after the key's first place, the digits that come first behind blanks, signs or letters of a unit."""
+    after = F.substring(line, F.instr(line, key) + F.lit(len(key)), F.length(line))
+    return F.when(F.instr(line, key) > 0, first_group(after, r"^[^0-9]*?(\d+)").try_cast("long"))
+
+
+def keyed_power(line: Column, key: str) -> Column:
+    """Milliwatts of 'KEY 3913mW/3922mW': the number behind the key if its unit is mW."""
+    after = F.substring(line, F.instr(line, key) + F.lit(len(key)), F.length(line))
+    return F.when(F.instr(line, key) > 0, first_group(after, r"^\s+(\d+)mW").try_cast("long"))
+
+
 def raw_image_name(name: Column) -> dict[str, Column]:
     """timestamp and camera of raw_<timestamp>_<camera>.jpg or .png; null for any other name."""
     pattern = r"^raw_(\d+)_(\d+)\.(?:jpg|png)$"

@@ -107,4 +107,21 @@ def parse_command(lines: DataFrame, value: str = "value") -> DataFrame:
     """cmd_id and its arguments from text lines ('12 1 0x0A'); lines that don't begin with a number have a null id."""
     parts = F.split(F.trim(F.col(value)), r"\s+")
     number = lambda x: F.when(x.startswith("0x"), F.conv(F.substring(x, 3, 16), 16, 10).try_cast("int")).otherwise(x.try_cast("int"))
-    return lines.select("*", number(F.try_element_at(parts, F.lit(1))).alias("cmd_id"), F.transform(F.slice(parts, 2, 64), number).alias("arguments"))
+    return lines.select("*", number(F.try_element_at(parts, F.lit(1))).alias("cmd_id"), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), number).alias("arguments"))
+
+
+# What a receiver answers.
+ACK, NACK = 0x0A, 0x0B
+
+
+def answers(checked: DataFrame, valid: str = "crc_valid") -> DataFrame:
+    """Adds the answer to each packet: ACK if its CRC holds, else NACK."""
+    return checked.withColumn("answer", F.when(F.col(valid), F.lit(ACK)).otherwise(F.lit(NACK)))
+
+
+def radio_files(fragments: DataFrame, key: str, packet: str = "packet", order: str = "frag", framed: bool = True) -> DataFrame:
+    """key, content: an image's fragments as a radio file, in order; framed as fixed packets, or one after the other. An image's fragments fit a task."""
+    if framed:
+        return packet_file(fragments, key, order, packet)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(packet).alias("p"))))
+    return fragments.groupBy(key).agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["p"])).alias("content"))

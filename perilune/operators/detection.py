@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -114,3 +114,13 @@ def detection_report(matched: DataFrame, truth: DataFrame, key: str, hit: str) -
     rows = p.join(t, key, "full").select(key, zero("predicted"), zero("true_positives"), zero("truth"))
     share = lambda den, name: F.when(F.col(den) > 0, F.floor(F.col("true_positives") * 1000 / F.col(den))).cast("long").alias(name)
     return rows.select("*", share("predicted", "precision_permille"), share("truth", "recall_permille"))
+
+
+def strongest(boxes: DataFrame, key: str, k: int = 300) -> DataFrame:
+    """The k boxes of each group with the highest scores, the smallest box_id on ties."""
+    return boxes.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "box_id"))).where(F.col("_n") <= k).drop("_n")
+
+
+def report_order(rows: DataFrame) -> DataFrame:
+    """A detection report's order: most true positives first, then region and class."""
+    return rows.orderBy(F.desc("true_positives"), "region", "class_id")

@@ -127,3 +127,43 @@ def sweep_best(candidates: DataFrame, key: str, candidate: str, luminance: Colum
     """The candidate with the least penalty: distance of luminance, 50 for each saturated percent over 0.2, 5 for each dark one over 2."""
     score = F.abs(luminance - target) + 50 * F.greatest(F.lit(0.0), saturated_pct - 0.2) + 5 * F.greatest(F.lit(0.0), dark_pct - 2)
     return candidates.withColumn("score", score).groupBy(key).agg(F.min(F.struct("score", candidate)).alias("_m")).select(key, F.col(f"_m.{candidate}").alias(candidate), F.col("_m.score").alias("score"))
+
+
+def chronological(files: DataFrame, name: str = "file_name") -> DataFrame:
+    """By name, character by character, as the collector lists them: names of one length are in order of time."""
+    return files.orderBy(name)
+
+
+def listing(datasets: DataFrame, name: str) -> DataFrame:
+    """The distinct ids of stored datasets, ascending."""
+    return datasets.select(name).distinct().orderBy(name)
+
+
+def files_for_downlink(manifest: DataFrame, key: str, kind: str = "kind") -> DataFrame:
+    """Of each manifest's files the downscaled ones and the results; the raw ones where there are neither."""
+    some = manifest.where(F.col(kind).isin("downscaled", "results"))
+    raw = manifest.where(F.col(kind) == "raw").join(some.select(key).distinct(), key, "left_anti")
+    return some.unionByName(raw.select(*some.columns))
+
+
+def label_frames(frames: DataFrame, labels: DataFrame, on: tuple[str, ...] = ("timestamp_ms", "cam_id")) -> DataFrame:
+    """Each frame with its true boxes (an array of the labels' further columns, empty without any)."""
+    rest = [c for c in labels.columns if c not in on]
+    boxes = labels.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("truth"))
+    rows = frames.join(boxes, list(on), "left")
+    return rows.withColumn("truth", F.coalesce("truth", F.array().cast(dict(rows.dtypes)["truth"])))
+
+
+def stored_metadata(ids: DataFrame, frames: DataFrame, on: tuple[str, ...] = ("timestamp_ms", "cam_id")) -> DataFrame:
+    """A dataset's frame ids with the stored frames' columns; `missing` marks those that aren't stored."""
+    return ids.join(frames.withColumn("_f", F.lit(True)), list(on), "left").withColumn("missing", F.col("_f").isNull()).drop("_f")
+
+
+def unprocessed(frames: DataFrame, done: DataFrame, frame: str) -> DataFrame:
+    """Frames that aren't among those done."""
+    return frames.join(done.select(frame), frame, "left_anti")
+
+
+def with_image(frames: DataFrame, images: DataFrame, frame: str) -> DataFrame:
+    """Frames whose image is there."""
+    return frames.join(images.select(frame), frame, "left_semi")

@@ -75,6 +75,6 @@ def tile_status(fragments: DataFrame, key: str, tile: str, frag: str, expected:
     return expected.join(seen, key, "left").select(key, zero("complete"), zero("partial"), (F.col("tiles") - F.coalesce("complete", F.lit(0)) - F.coalesce("partial", F.lit(0))).cast("long").alias("missing"))
 
 
-def directory_summary(files: DataFrame) -> DataFrame:
-    """Count, bytes and newest path of a table of files (path, length, modificationTime)."""
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))
+def directory_summary(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Count, bytes and newest path of a table of files (path, length, modificationTime), of each folder if keys name it."""
+    return files.groupBy(*(keys or [])).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))

@@ -190,6 +190,46 @@ def allan(df: DataFrame, key: str, order: list[str], value: str, factors: list[i
     return out.withColumn("deviation", F.sqrt(F.col("squares") / (2.0 * F.col("m") * F.col("m") * F.col("terms"))))
 
 
+def allan_all(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """The same for every averaging factor that leaves a term: key, m, terms, squares, deviation. A series is one task's work: each factor is one pass over it in numpy."""
+    import numpy as np
+    import pandas as pd
+
+    kind = dict(df.dtypes)[key]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        x = rows[value].to_numpy(dtype=np.float64)
+        out = []
+        for m in range(1, (len(x) - 1) // 2 + 1):
+            d = x[2 * m :] - 2 * x[m : len(x) - m] + x[: len(x) - 2 * m]
+            squares = float(d @ d)
+            out.append((rows[key].iloc[0], m, len(d), squares, (squares / (2.0 * m * m * len(d))) ** 0.5))
+        return pd.DataFrame(out, columns=[key, "m", "terms", "squares", "deviation"])
+
+    return df.select(key, *order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, m int, terms long, squares double, deviation double")
+
+
+def duplicate_commands(df: DataFrame, key: list[str], start: str, end: str, gap: int | float = 60) -> DataFrame:
+    """`duplicate`: whether an equal command that was run is still active at the start of this one (a null end: for good), or ended less than gap before. Duplicates aren't run and shield nothing, so each key's commands are walked in order of their starts."""
+    import numpy as np
+    import pandas as pd
+
+    names = df.columns
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([start, end], kind="stable", na_position="last")
+        until, out = -np.inf, []
+        for s, e in zip(rows[start].to_numpy(dtype=float), rows[end].to_numpy(dtype=float), strict=True):
+            out.append(bool(s < until))
+            if s >= until:
+                until = np.inf if np.isnan(e) else e + gap
+        return rows[names].assign(duplicate=out)
+
+    schema = ", ".join([*(f"`{n}` {kind}" for n, kind in df.dtypes), "duplicate boolean"])
+    return df.groupBy(*key).applyInPandas(run, schema)
+
+
 def closest_to_median(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """For each key the median and the row whose value is nearest to it, the smallest tie on ties."""
     medians = df.groupBy(key).agg(F.median(value).alias("median"))

@@ -112,6 +112,9 @@ DATASET = (
 
 def read_datasets(spark: SparkSession, path: str) -> DataFrame:
     """dataset.json documents, all or nothing: those with a missing or mistyped required field are dropped."""
-    files = spark.read.option("pathGlobFilter", "dataset.json").option("recursiveFileLookup", True).text(path, wholetext=True)
-    rows = files.select(F.from_json("value", DATASET).alias("x")).select("x.*")
+    return decode_datasets(spark.read.option("pathGlobFilter", "dataset.json").option("recursiveFileLookup", True).text(path, wholetext=True))
+
+
+def decode_datasets(texts: DataFrame) -> DataFrame:
+    rows = texts.select(F.from_json("value", DATASET).alias("x")).select("x.*")
     return rows.dropna(subset=["capture_start_time", "maximum_period", "target_frame_nb", "dataset_capture_mode", "imu_collection_mode", "target_processing_stage"]).where("capture_start_time >= 0 and target_frame_nb >= 0")
