@@ -125,3 +125,9 @@ def radio_files(fragments: DataFrame, key: str, packet: str = "packet", order: s
         return packet_file(fragments, key, order, packet)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(packet).alias("p"))))
     return fragments.groupBy(key).agg(F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["p"])).alias("content"))
+
+
+def handlers(commands: DataFrame, name: str, table: dict[str, str], default: str = "INVALID") -> DataFrame:
+    """Adds each command's handler from a table of names, whose few entries are part of the plan."""
+    known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return commands.withColumn("handler", F.coalesce(F.try_element_at(known, F.col(name)), F.lit(default)))

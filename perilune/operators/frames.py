@@ -167,3 +167,15 @@ def unprocessed(frames: DataFrame, done: DataFrame, frame: str) -> DataFrame:
 def with_image(frames: DataFrame, images: DataFrame, frame: str) -> DataFrame:
     """Frames whose image is there."""
     return frames.join(images.select(frame), frame, "left_semi")
+
+
+def all_ids(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The distinct ids of several one-column tables, under the first one's name."""
+    for o in others:
+        first = first.union(o)
+    return first.distinct()
+
+
+def newest(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """The values of each key's newest row: one aggregate, no sort."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_m")).select(key, *(F.col(f"_m.{c}") for c in values))

@@ -78,3 +78,10 @@ def tile_status(fragments: DataFrame, key: str, tile: str, frag: str, expected:
 def directory_summary(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Count, bytes and newest path of a table of files (path, length, modificationTime), of each folder if keys name it."""
     return files.groupBy(*(keys or [])).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))
+
+
+def pulled(files: DataFrame, keys: list[str], content: str, first: Column, n: int = 3, size: int = PACKET_PAYLOAD) -> DataFrame:
+    """keys, packet, payload, no_more: a batch of n packets of each file from a number on (from 1), as a receiver asks for them."""
+    rows = files.select(*keys, F.col(content).alias("_c"), F.explode(F.sequence(first, first + n - 1)).alias("packet"))
+    part = file_chunk(F.col("_c"), (F.col("packet") - 1) * size, F.lit(size))
+    return rows.select(*keys, "packet", part.alias("payload"), part.isNull().alias("no_more"))

@@ -101,3 +101,19 @@ def objective(rows: DataFrame, key: list[str], acceleration: str, angular: str,
 
 def mean_bias(rows: DataFrame, key: list[str], measured: list[str], attitude: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(*(F.avg(F.col(a) - F.col(b)).alias(f"bias_{k}") for k, (a, b) in zip("xyz", zip(measured, attitude, strict=True), strict=False)))
+
+
+def propagation_residuals(states: DataFrame, key: Column, order: str, position: list[str], velocity: list[str], dt: Column, step=nav.euler_step, **forces) -> DataFrame:
+    """What a step from each state to the next of its key leaves: res_ columns of places and velocities; a key's last state has none."""
+    w = Window.partitionBy(key).orderBy(order)
+    r, v = step(tuple(F.col(c) for c in position), tuple(F.col(c) for c in velocity), dt, **forces)
+    names = [*position, *velocity]
+    rows = states.select("*", *(F.lead(c).over(w).alias(f"_n{c}") for c in names), *(x.alias(f"_e{c}") for c, x in zip(names, (*r, *v), strict=True)))
+    return rows.where(F.col(f"_n{position[0]}").isNotNull()).select(*states.columns, *((F.col(f"_n{c}") - F.col(f"_e{c}")).alias(f"res_{c}") for c in names))
+
+
+def looked_up(rows: DataFrame, *tables: tuple[DataFrame, str, str]) -> DataFrame:
+    """Rows joined with (table, the rows' column, the table's column): small tables are broadcast where Spark's statistics prove their size, else both sides are shuffled."""
+    for table, mine, its in tables:
+        rows = rows.join(table, F.col(mine) == F.col(its)).drop(its)
+    return rows

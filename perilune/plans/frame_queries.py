@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perilune.functions import codes, units
 from perilune.operators import detection as D
 from perilune.operators import frames as R
+from perilune.operators import measure as M
 from perilune.plans.registry import read, register
 
 _STAGE = "case o_orderstatus when 'O' then 1 when 'P' then 2 when 'F' then 3 else 0 end"
@@ -55,14 +56,14 @@ def topn_unsent(spark: SparkSession, d: str) -> DataFrame:
 
 @register("skip_processed", "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F')")
 def skip_processed(spark: SparkSession, d: str) -> DataFrame:
-    done = read(spark, d, "lineitem").where("l_linestatus = 'F'").select("l_orderkey")
-    return read(spark, d, "orders").join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    done = read(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.unprocessed(read(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
 @register("metadata_with_image", "select o_orderkey, o_custkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)")
 def metadata_with_image(spark: SparkSession, d: str) -> DataFrame:
-    images = read(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey")
-    return read(spark, d, "orders").join(images, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
+    images = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return R.with_image(read(spark, d, "orders").select("o_orderkey", "o_custkey"), images, "o_orderkey")
 
 
 @register("dim_broadcast_lookup", """select l_orderkey, l_linenumber, l_partkey, p_brand, s_name from lineitem join part on p_partkey = l_partkey and p_size <= 25 join supplier on s_suppkey = l_suppkey""")
@@ -70,7 +71,7 @@ def dim_broadcast_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Dimensions are broadcast if Spark's statistics prove them small enough, else shuffled."""
     part, supplier = read(spark, d, "part").where("p_size <= 25").select("p_partkey", "p_brand"), read(spark, d, "supplier").select("s_suppkey", "s_name")
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", "s_name")
+    return M.looked_up(lines, (part, "l_partkey", "p_partkey"), (supplier, "l_suppkey", "s_suppkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", "s_name")
 
 
 @register("nested_explode_roundtrip", """select l_orderkey, l_linenumber, l_partkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as integer) as place from lineitem""")
@@ -167,7 +168,7 @@ def sweep_argmin_score(spark: SparkSession, d: str) -> DataFrame:
 
 @register("union_of_ids", "select o_custkey as id from orders union select c_custkey from customer where c_acctbal > 5000")
 def union_of_ids(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").select(F.col("o_custkey").alias("id")).union(read(spark, d, "customer").where("c_acctbal > 5000").select("c_custkey")).distinct()
+    return R.all_ids(read(spark, d, "orders").select(F.col("o_custkey").alias("id")), read(spark, d, "customer").where("c_acctbal > 5000").select("c_custkey"))
 
 
 @register("kept_and_dropped", "select case when l_discount > 0.05 then 'dropped' else 'kept' end as side, count(*) n, cast(sum(cast(l_quantity as bigint)) as bigint) q from lineitem group by 1")

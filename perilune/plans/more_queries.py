@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from perilune.functions import nav, units
 from perilune.functions import quaternion as Q
 from perilune.functions.text import basename, first_group
-from perilune.operators.framing import file_chunk
+from perilune.operators.frames import newest
+from perilune.operators.framing import pulled
 from perilune.plans.registry import read, register
+from perilune.sources.proc import core_counters
 
 
 @register("camera_enable_mask", """select o_orderkey, array_to_string([i for i in [0, 1, 2, 3] if (o_orderkey & o_custkey) >> i & 1 = 1], ',') as enabled, o_orderkey & o_custkey & 15 = 0 as all_off from orders""")
@@ -55,18 +57,16 @@ def attitude_error(spark: SparkSession, d: str) -> DataFrame:
 @register("session_registry", """with r as (select o_custkey as name, o_orderkey as session, o_orderstatus as state, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) select name, session, state <> 'F' as active from r where n = 1""")
 def session_registry(spark: SparkSession, d: str) -> DataFrame:
     """The newest session of each name, and whether it still runs."""
-    rows = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("m"))
-    return rows.select("name", F.col("m.o_orderkey").alias("session"), (F.col("m.o_orderstatus") != "F").alias("active"))
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.col("o_orderkey").alias("session"), "o_orderstatus", "o_orderdate")
+    return newest(rows, "name", ["o_orderdate", "session"], ["session", "o_orderstatus"]).select("name", "session", (F.col("o_orderstatus") != "F").alias("active"))
 
 
 @register("pull_transfer", """with c as (select doc_id, encode(text) as b, doc_id % 7 + 1 as first from documents where text is not null), k as (select doc_id, b, first, unnest(generate_series(first, first + 2)) as packet from c)
 select doc_id, packet, (packet - 1) * 240 >= octet_length(b) as no_more, case when (packet - 1) * 240 < octet_length(b) then sha256(b[(packet - 1) * 240 + 1 : packet * 240]) end as digest from k""")
 def pull_transfer(spark: SparkSession, d: str) -> DataFrame:
     """Batches of three packets from a number on (from 1), with a mark where there are no more."""
-    first = F.col("doc_id") % 7 + 1
-    rows = read(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("b"), F.explode(F.sequence(first, first + 2)).alias("packet"))
-    part = file_chunk(F.col("b"), (F.col("packet") - 1) * 240, F.lit(240))
-    return rows.select("doc_id", "packet", part.isNull().alias("no_more"), F.sha2(part, 256).alias("digest"))
+    files = read(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("b"))
+    return pulled(files, ["doc_id"], "b", F.col("doc_id") % 7 + 1).select("doc_id", "packet", "no_more", F.sha2("payload", 256).alias("digest"))
 
 
 @register("optional_ranges", "select p_partkey, case when p_size % 4 <> 0 or p_partkey % 3 <> 0 then p_size % 4 || '-' || p_partkey % 3 end as range from part")
@@ -79,9 +79,7 @@ def optional_ranges(spark: SparkSession, d: str) -> DataFrame:
 def counter_lines(spark: SparkSession, d: str) -> DataFrame:
     """Per-core counters: idle is the fourth and fifth number, the total is their sum."""
     line = F.concat(F.lit("cpu"), (F.col("o_orderkey") % 6).cast("string"), F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" 0 7 "), F.col("o_orderkey").cast("string"), F.lit(" 3 0 0"))
-    parts = F.transform(F.slice(F.split(F.col("line"), r"\s+"), 2, 16), lambda x: x.try_cast("bigint"))
-    rows = read(spark, d, "orders").select("o_orderkey", line.alias("line")).select("o_orderkey", first_group(F.col("line"), r"^cpu(\d+)").try_cast("int").alias("core"), parts.alias("p"))
-    return rows.select("o_orderkey", "core", (F.col("p")[3] + F.col("p")[4]).alias("idle"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return core_counters(read(spark, d, "orders").select("o_orderkey", line.alias("value")))
 
 
 @register("newest_image", "select o_custkey, max(o_orderkey) filter (o_orderpriority like '1%') as newest, count(*) as files, cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as bytes from orders group by 1")

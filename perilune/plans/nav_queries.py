@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilune.functions import nav, units
@@ -209,11 +209,9 @@ def gyro_bias(spark: SparkSession, d: str) -> DataFrame:
 @register("propagation_residual", f"""with {_ORBIT}, n as (select *, lead(x) over w as x1, lead(y) over w as y1, lead(vz) over w as vz1, -{_GM} / ((x * x + y * y + z * z + 1e-10) * sqrt(x * x + y * y + z * z + 1e-10)) as g from o window w as (partition by vec_id % 25 order by vec_id))
 select vec_id, round(x1 - (x + vx * 2), 7) as rx, round(y1 - (y + vy * 2), 7) as ry, round(vz1 - (vz + g * z * 2), 9) as rvz from n where x1 is not null""")
 def propagation_residual(spark: SparkSession, d: str) -> DataFrame:
-    rows, r, v = _orbit(spark, d)
-    w = Window.partitionBy(F.col("vec_id") % 25).orderBy("vec_id")
-    er, ev = nav.euler_step(r, v, F.lit(2.0))
-    nxt = rows.select("vec_id", *(F.lead(c).over(w).alias(f"{c}1") for c in ("x", "y", "vz")), er[0].alias("ex"), er[1].alias("ey"), ev[2].alias("evz")).where("x1 is not null")
-    return nxt.select("vec_id", F.round(F.col("x1") - F.col("ex"), 7).alias("rx"), F.round(F.col("y1") - F.col("ey"), 7).alias("ry"), F.round(F.col("vz1") - F.col("evz"), 9).alias("rvz"))
+    rows, _, _ = _orbit(spark, d)
+    left = M.propagation_residuals(rows, F.col("vec_id") % 25, "vec_id", ["x", "y", "z"], ["vx", "vy", "vz"], F.lit(2.0))
+    return left.select("vec_id", F.round("res_x", 7).alias("rx"), F.round("res_y", 7).alias("ry"), F.round("res_vz", 9).alias("rvz"))
 
 
 @register("solution_validity", f"with {_VEC} select vec_id, abs(sqrt(v1 * v1 * 16 + v2 * v2 * 16 + v3 * v3 * 16 + v4 * v4 * 16) - 1) <= 0.3 as valid from vv")

@@ -6,11 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perilune.operators import commands as C
+from perilune.operators import detection as D
 from perilune.operators import frames as R
 from perilune.operators import measure as M
 from perilune.plans.orbit import determine_orbits, simulate
 from perilune.plans.registry import read, register
 from perilune.plans.reprocess import reprocess
+from perilune.sources import outputs as O
 
 
 @register("od_solve")
@@ -57,19 +60,23 @@ def measurement_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @register("processing_manifest", """select o_custkey, array_to_string(list(o_orderkey order by o_orderkey), ',') as frames, count(*) as n from orders group by 1""")
 def processing_manifest(spark: SparkSession, d: str) -> DataFrame:
-    held = F.array_sort(F.collect_list("o_orderkey"))
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(held, lambda x: x.cast("string")), ",").alias("frames"), F.count("*").alias("n"))
+    """Customers stand for datasets, orders for processed frames; the manifests are read as JSON."""
+    path = F.col("o_custkey").cast("string").alias("folder_path")
+    frames = read(spark, d, "orders").select(path, F.lit(0).alias("cam_id"), F.col("o_orderkey").alias("timestamp"), F.lit(3).alias("annotation_state"), F.lit(0.5).alias("rank"))
+    datasets = frames.groupBy("folder_path").agg(F.collect_set("cam_id").alias("frame_id_list"))
+    made = F.from_json("value", "folder_path string, processed_frames array<struct<timestamp:long>>")
+    rows = O.processing_manifests(datasets, frames).select(made.alias("m"))
+    return rows.select(F.col("m.folder_path").cast("long").alias("o_custkey"), F.array_join(F.transform("m.processed_frames", lambda x: x["timestamp"].cast("string")), ",").alias("frames"), F.size("m.processed_frames").cast("long").alias("n"))
 
 
 @register("sent_markers", "select distinct o_custkey as marker from orders union select l_suppkey from lineitem")
 def sent_markers(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").select(F.col("o_custkey").alias("marker")).unionByName(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("marker"))).distinct()
+    return R.all_ids(read(spark, d, "orders").select(F.col("o_custkey").alias("marker")), read(spark, d, "lineitem").select("l_suppkey"))
 
 
 @register("command_lookup", "select event_id, case event_type when 'view' then 'REQUEST_TELEMETRY' when 'purchase' then 'START_CAPTURE' when 'error' then 'REBOOT' else 'INVALID' end as handler from events")
 def command_lookup(spark: SparkSession, d: str) -> DataFrame:
-    handlers = spark.createDataFrame([("view", "REQUEST_TELEMETRY"), ("purchase", "START_CAPTURE"), ("error", "REBOOT")], "event_type string, handler string")
-    return read(spark, d, "events").join(F.broadcast(handlers), "event_type", "left").select("event_id", F.coalesce("handler", F.lit("INVALID")).alias("handler"))
+    return C.handlers(read(spark, d, "events"), "event_type", {"view": "REQUEST_TELEMETRY", "purchase": "START_CAPTURE", "error": "REBOOT"}).select("event_id", "handler")
 
 
 @register("newest_by_state", "select o_custkey, max(o_orderkey) filter (o_orderstatus = 'F') as newest_done, count(distinct o_orderpriority) as priorities from orders group by 1")
@@ -77,10 +84,11 @@ def newest_by_state(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("newest_done"), F.count_distinct("o_orderpriority").alias("priorities"))
 
 
-@register("detection_report_ordering", "select l_orderkey, count(*) filter (l_returnflag = 'A') as tp, count(*) as n from lineitem group by 1 order by tp desc, n desc, l_orderkey limit 25")
+@register("detection_report_ordering", "select l_suppkey as region, l_linenumber as class_id, count(*) filter (l_returnflag = 'A') as true_positives, count(*) as n from lineitem group by 1, 2 order by true_positives desc, region, class_id")
 def detection_report_ordering(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("tp"), F.count("*").alias("n"))
-    return rows.orderBy(F.desc("tp"), F.desc("n"), "l_orderkey").limit(25)
+    """Every region and class, in the report's order."""
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("region"), F.col("l_linenumber").alias("class_id"))
+    return D.report_order(rows.agg(F.count_if(F.col("l_returnflag") == "A").alias("true_positives"), F.count("*").alias("n")))
 
 
 @register("pixel_prefilter", """with p as (select l_suppkey as frame, l_partkey % 256 as r, l_orderkey % 256 as g, cast(l_quantity as bigint) * 5 as b from lineitem)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perilune.operators import sequence as S
 from perilune.plans.registry import read, register
+from perilune.streaming.telemetry import fixed_rate, latest
 
 _EV = "ev as (select event_id, user_id, event_type, epoch_us(ts) as us, cast(floor(value * 100) as bigint) as v from events)"
 
@@ -109,9 +110,9 @@ def stalled_progress_islands(spark: SparkSession, d: str) -> DataFrame:
     return S.stalled(events(spark, d), "user_id", ["us", "event_id"], "v", 5).select("event_id", "stalled", "failed")
 
 
-@register("dedup_window_60s", f"""with {_EV} select event_id, coalesce(us - lag(us) over (partition by user_id, event_type order by us, event_id) < 3600000000, false) as duplicate from ev""")
+@register("dedup_window_60s", f"""with {_EV} select event_id, coalesce(us - lag(us) over (partition by user_id, event_type order by us, event_id) < 60000000, false) as duplicate from ev""")
 def dedup_window(spark: SparkSession, d: str) -> DataFrame:
-    return S.within_window(events(spark, d), ["user_id", "event_type"], "us", 3_600_000_000, "event_id").select("event_id", "duplicate")
+    return S.within_window(events(spark, d), ["user_id", "event_type"], "us", 60_000_000, "event_id").select("event_id", "duplicate")
 
 
 @register("last_n_errors", f"""with {_EV}, r as (select user_id, event_id, cast(row_number() over (partition by user_id order by us desc, event_id desc) as integer) as place from ev where event_type = 'error')
@@ -186,10 +187,14 @@ def priority_dispatch_order(spark: SparkSession, d: str) -> DataFrame:
 @register("snapshot_latest", f"""with {_EV}, r as (select user_id, event_type, event_id, v, row_number() over (partition by user_id, event_type order by us desc, event_id desc) as n from ev)
 select user_id, event_type, event_id, v from r where n = 1""")
 def snapshot_latest(spark: SparkSession, d: str) -> DataFrame:
-    latest = events(spark, d).groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "v"), F.struct("us", "event_id")).alias("m"))
-    return latest.select("user_id", "event_type", "m.event_id", "m.v")
+    """The stream's snapshot store, over a table."""
+    rows = events(spark, d).withColumn("at", F.struct("us", "event_id"))
+    return latest(rows, ["user_id", "event_type"], "at", ["event_id", "v"]).drop("at")
 
 
-@register("fixed_rate_samples", f"""with {_EV} select user_id, us // 3600000000 as hour, count(*) as n, cast(sum(v) as bigint) as v from ev group by all""")
+@register("fixed_rate_samples", f"""with {_EV} select user_id, us // 3600000000 as hour, count(*) as n, round(avg(v), 6) as mean from ev group by all""")
 def fixed_rate_samples(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("user_id", F.floor(F.col("us") / 3_600_000_000).alias("hour")).agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    """The stream's hourly windows, over a table."""
+    rows = events(spark, d).withColumn("ts", F.timestamp_micros("us"))
+    made = fixed_rate(rows, "ts", ["user_id"], "v", "1 hour")
+    return made.select("user_id", F.floor(F.unix_seconds("start") / 3600).alias("hour"), "n", F.round("mean", 6).alias("mean"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +22,7 @@ from perilune.sources import outputs as O
 from perilune.sources.files import scratch, write_files
 from perilune.sources.imu import GYRO, MAGNETIC, format_imu, parse_imu
 from perilune.sources.proc import memory_used, uptime
-from perilune.sources.telemetry import encode_tlm, read_tlm
+from perilune.sources.telemetry import read_tlm, write_tlm
 
 _STAGE = "case o_orderstatus when 'O' then 1 when 'P' then 2 when 'F' then 3 else 0 end"
 
@@ -121,15 +118,9 @@ def dataset_documents(spark: SparkSession, d: str) -> DataFrame:
 @register("telemetry_logs", """select n_name as log, cast(row_number() over (partition by n_nationkey order by c_custkey) - 1 as integer) as record_id, c_custkey as "SYSTEM_TIME", cast(c_custkey % 101 as integer) as "RAM_USAGE" from customer join nation on c_nationkey = n_nationkey""")
 def telemetry_logs(spark: SparkSession, d: str) -> DataFrame:
     """A compressed log for each nation, its customers as records, written to the shared folder and read back."""
-    path = scratch(spark)
+    path, k = scratch(spark), F.col("c_custkey")
     rows = read(spark, d, "customer").join(read(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    held = rows.groupBy("n_name").agg(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: F.struct(k.alias("SYSTEM_TIME"), (k % 101).alias("RAM_USAGE"))).alias("records"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"name": [f"{n}.tlm" for n in b.column(0).to_pylist()], "content": pa.array([encode_tlm(r) for r in b.column(1).to_pylist()], pa.binary())})
-
-    write_files(held.mapInArrow(pack, "name string, content binary"), path)
+    write_tlm(rows.select("n_name", k.alias("SYSTEM_TIME"), (k % 101).alias("RAM_USAGE")), path, "n_name")
     made = F.from_json("json", "SYSTEM_TIME long, RAM_USAGE int")
     log = F.replace(F.regexp_extract("path", r"([^/]*)\.tlm$", 1), F.lit("%20"), F.lit(" "))
     return read_tlm(spark, path).select(log.alias("log"), "record_id", made["SYSTEM_TIME"].alias("SYSTEM_TIME"), made["RAM_USAGE"].alias("RAM_USAGE"))

@@ -23,22 +23,23 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """A task writes below a folder of its own attempt; the driver moves the files of committed attempts into place, so retried and speculative tasks never meet."""
+    """A task writes below a folder of its own attempt; the driver moves the files of committed attempts into place, so retried and speculative tasks never meet. What a task that outlives a failed job leaves is below a name that begins with an underscore."""
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.work = path, overwrite, os.path.join(path, f"_temporary-{uuid.uuid4().hex}")
+        os.makedirs(self.work)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        folder, names = os.path.join(self.work, uuid.uuid4().hex), []
-        os.makedirs(folder, exist_ok=True)
+        folder, names = os.path.join(self.work, uuid.uuid4().hex), {}
+        os.mkdir(folder)  # fails for a task that outlived its job
         for r in rows:
             name = os.path.basename(r["name"])
             if name in names:
                 raise ValueError(f"two rows are called {name}")
             with open(os.path.join(folder, name), "wb") as f:
                 f.write(bytes(r["content"] or b""))
-            names.append(name)
-        return _Written(folder, names)
+            names[name] = None
+        return _Written(folder, list(names))
 
     def commit(self, messages: list) -> None:
         done = [m for m in messages if m is not None]

@@ -38,8 +38,19 @@ def format_imu(rows: DataFrame, columns: tuple[str, ...] = GYRO) -> DataFrame:
     return rows.select(F.concat_ws(", ", F.col("timestamp_ms").cast("string"), *(F.format_string("%.6f", F.col(c)) for c in columns)).alias("value"))
 
 
+COLUMNS = {"gyro": GYRO, "gyro_temp": (*GYRO, "temperature_c"), "gyro_mag_temp": (*GYRO, *MAGNETIC, "temperature_c")}
+
+
+def _lines(rows: DataFrame, mode: str) -> DataFrame:
+    names = HEADERS[mode].split(", ")
+    return rows.select(F.col("timestamp_ms").alias(names[0]), *(F.format_string("%.6f", F.col(c)).alias(n) for c, n in zip(COLUMNS[mode], names[1:], strict=True)))
+
+
 def write_imu(rows: DataFrame, path: str, mode: str = "gyro") -> None:
     """One CSV with the mode's header in each part file."""
-    columns = {"gyro": GYRO, "gyro_temp": (*GYRO, "temperature_c"), "gyro_mag_temp": (*GYRO, *MAGNETIC, "temperature_c")}[mode]
-    names = HEADERS[mode].split(", ")
-    rows.select(F.col("timestamp_ms").alias(names[0]), *(F.format_string("%.6f", F.col(c)).alias(n) for c, n in zip(columns, names[1:], strict=True))).write.option("header", True).option("sep", ",").csv(path)
+    _lines(rows, mode).write.option("header", True).option("sep", ",").csv(path)
+
+
+def stream_imu(rows: DataFrame, path: str, checkpoint: str, mode: str = "gyro", every: str = "1 second"):
+    """The same from a stream, a batch of files for each trigger: what a batch holds is on disk before the next one begins. Returns the query."""
+    return _lines(rows, mode).writeStream.format("csv").option("header", True).option("checkpointLocation", checkpoint).option("path", path).outputMode("append").trigger(processingTime=every).start()

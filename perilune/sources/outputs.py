@@ -96,6 +96,23 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     return "\n".join([*lines, *("| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows)]) + "\n"
 
 
+def validation_report(report: DataFrame, detections: DataFrame) -> str:
+    """Markdown of a detector's validation: precision and recall of each region (`detection_report`: a row a region), then every class in the report's order (`report_order`). Both are aggregates of a few hundred rows."""
+    percent = lambda v: None if v is None else f"{v / 10:.1f} %"
+    regions = [{**r.asDict(), "precision": percent(r.precision_permille), "recall": percent(r.recall_permille)} for r in report.orderBy("region").toLocalIterator()]
+    classes = [r.asDict() for r in detections.toLocalIterator()]
+    total = {c: sum(r[c] for r in regions) for c in ("predicted", "true_positives", "truth")}
+    share = lambda den: percent(1000 * total["true_positives"] // total[den]) if total[den] else None
+    regions.append({"region": "all", **total, "precision": share("predicted"), "recall": share("truth")})
+    names = ["region", "predicted", "true_positives", "truth", "precision", "recall"]
+    return "# Detector validation\n\n" + markdown(regions, names) + "\n## Classes\n\n" + markdown(classes, ["region", "class_id", "true_positives", "n"])
+
+
+def calibration_report(rows: DataFrame, session: str) -> str:
+    """TOML of calibration sessions (`calibration`: a row a session), a section for each."""
+    return toml({f"session-{r[session]}": {k: v for k, v in r.asDict().items() if k != session and v is not None} for r in rows.orderBy(session).toLocalIterator()})
+
+
 def toml(sections: dict[str, dict]) -> str:
     """Sections of plain values."""
     return "\n".join(f"[{name}]\n" + "".join(f"{k} = {json.dumps(v)}\n" for k, v in values.items()) for name, values in sections.items())

@@ -140,6 +140,28 @@ def read_tlm(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, record_id int, json string")
 
 
+def write_tlm(records: DataFrame, path: str, log: str, level: int = 6) -> None:
+    """One log for each value of column `log`, its other columns the records in order of all of them, in a folder that all machines see. A log's records fit a task, as the format is one stream."""
+    import pyarrow as pa
+
+    from perilune.sources.files import write_files
+
+    rest = [c for c in records.columns if c != log]
+    held = records.groupBy(F.col(log).cast("string").alias("name")).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("records"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"name": pa.array([f"{n}.tlm" for n in b.column(0).to_pylist()], pa.string()), "content": pa.array([encode_tlm(r, level) for r in b.column(1).to_pylist()], pa.binary())})
+
+    write_files(held.mapInArrow(pack, "name string, content binary"), path)
+
+
+def write_ndjson(logs: DataFrame, path: str) -> None:
+    """Records of logs (`read_tlm`) as lines of JSON, as they are, a folder for each log."""
+    name = F.regexp_replace(F.regexp_extract("path", r"([^/]*?)(?:\.tlm)?$", 1), "[^A-Za-z0-9_.-]+", "_")
+    logs.repartition("path").sortWithinPartitions("path", "record_id").select(name.alias("log"), F.col("json").alias("value")).write.partitionBy("log").text(path)
+
+
 def read_host_stats(spark: SparkSession, path: str) -> DataFrame:
     """Fields of host-stats lines; a field that a line lacks is null."""
     lines = spark.read.text(path)
