@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,34 +19,49 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at exactly these characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BATCH_BYTES, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", 512
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package and keep Arrow batches small, since texts can be long."""
+    """Let Python workers import this package and keep Arrow batches small, in rows and in bytes, since texts can be long. Smaller settings of the session's own stay."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set(_BATCH, "512")
+    if not 0 < int(spark.conf.get(_BATCH)) <= _ROWS:
+        spark.conf.set(_BATCH, str(_ROWS))
+    if spark.conf.get(_BATCH_BYTES, None) in (None, "67108864b", "64MB"):  # its default
+        spark.conf.set(_BATCH_BYTES, "16m")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder all machines share (spark.checkpoint.dir; a local one only where that is unset)."""
+    """A fresh path in the folder all machines share, spark.checkpoint.dir. Where that is unset, a local folder serves a local session; on a cluster it is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         top = f"file:///tmp/checkpoints/perilune/{os.getpid()}"
         atexit.register(shutil.rmtree, top.removeprefix("file://"), ignore_errors=True)
-    return f"{top.rstrip('/')}/perilune-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/perilune-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, batch: int = 512) -> DataFrame:
+def cleaned(spark: SparkSession) -> None:
+    """Removes what this application has staged; for the end of a session, when no result is still to be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.dirname(shared_dir(spark)))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. batch: rows of an Arrow batch meanwhile."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    spark.conf.set(_BATCH, str(batch))
-    df.write.option("compression", "zstd").parquet(path)
-    spark.conf.set(_BATCH, "512")
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch:
+            spark.conf.set(_BATCH, str(batch))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
