@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perilune.llm.common import map_texts, ready, released, staged
@@ -168,13 +168,13 @@ def frequent_bitmap(texts: DataFrame, tokens: int) -> tuple[np.ndarray, int]:
     return bits, blocks
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Keys of a set of sorted tokens; frequent tells its frequent ones."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys of a set of sorted tokens, and how many of them, the first ones, are rare tokens; frequent tells its frequent ones."""
     n = len(tokens)
     need = n - -(-4 * n // 5) + 1
     rare = tokens[~frequent]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], need
     common, keys = tokens[frequent], [rare]
     level = n.bit_length() - 1
     for at in (level, level + 1) if 5 * n >= 4 << (level + 1) else (level,):
@@ -190,26 +190,65 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             a, b = token[:-step][same], token[step:][same]
             keys.append(scramble(a * np.uint64(3) + scramble(b) + np.uint64(at)))
             step += 1
-    return np.concatenate(keys)
+    return np.concatenate(keys), len(rare)
 
 
 def index(texts: DataFrame, bitmap: np.ndarray, blocks: int) -> DataFrame:
-    """key, doc, n."""
+    """key, doc, n, single: whether the key is a rare token."""
     bits = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(ids: list, texts: list) -> dict:
-        keys, docs, sizes = [], [], []
+        keys, docs, sizes, single = [], [], [], []
         for doc, tokens in zip(ids, shingle_sets(texts), strict=True):
             if len(tokens) > 1:  # one token alone equals no other set's
                 at = _bit(*_place(tokens, blocks))
-                found = index_keys(tokens, (bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+                found, rare = index_keys(tokens, (bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
                 keys.append(found)
                 docs.append(np.full(len(found), doc))
                 sizes.append(np.full(len(found), len(tokens)))
+                single.append(np.arange(len(found)) < rare)
         empty = np.empty(0, dtype=np.int64)
-        return {"key": pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *keys]).view(np.int64)), "doc": pa.array(np.concatenate([empty, *docs])), "n": pa.array(np.concatenate([empty, *sizes]).astype(np.int32))}
+        return {
+            "key": pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *keys]).view(np.int64)), "doc": pa.array(np.concatenate([empty, *docs])),
+            "n": pa.array(np.concatenate([empty, *sizes]).astype(np.int32)), "single": pa.array(np.concatenate([empty.astype(bool), *single])),
+        }
 
-    return map_texts(texts, run, "key long, doc long, n int")
+    return map_texts(texts, run, "key long, doc long, n int, single boolean")
+
+
+#: Documents of a combination are counted in so many parts first; rows of a key are dealt into stretches of about so many.
+_PARTS = 64
+_STRETCH_ROWS = 256
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """key, doc, n, c (documents of the key), staged: keys of one document alone are dropped.
+
+    A rare token is in few documents, so one window counts them. A combination may be in any number: its rows are dealt by key and
+    part of the documents, counted there, and a part finds the sum of its key's parts by a join that is dealt the same way.
+    """
+    part = F.when(F.col("single"), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc"), F.lit(_PARTS)).cast("int"))
+    rows = keys.withColumn("part", part)
+    rows = staged(rows.withColumn("c", F.count("*").over(Window.partitionBy("key", "part"))).where("c > 1 or not single"))
+    many = rows.where("not single")
+    parts = many.groupBy("key", "part").agg(F.count("*").alias("c"))
+    total = parts.withColumn("total", F.sum("c").over(Window.partitionBy("key"))).where("total > 1").select("key", "part", "total")
+    many = many.join(total, ["key", "part"]).select("key", "doc", "n", F.col("total").alias("c"))
+    return staged(rows.where("single").select("key", "doc", "n", "c").unionByName(many))
+
+
+def _stretches(c: str = "c") -> Column:
+    return F.ceil(F.col(c) / _STRETCH_ROWS).cast("int")
+
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """With the stretch of its key that a row is in: large keys have many, so that no task gets all of one."""
+    return member.withColumn("stretch", F.pmod(F.xxhash64("doc"), _stretches()).cast("int"))
+
+
+def _to_all(keys: DataFrame) -> DataFrame:
+    """A row of a key (with c) for each of its stretches."""
+    return keys.withColumn("stretch", F.explode(F.sequence(F.lit(0), _stretches() - 1))).drop("c")
 
 
 def _close(a: str, b: str):
@@ -224,7 +263,6 @@ def bucketed(df: DataFrame, column: str) -> tuple[DataFrame, str]:
     """A table in the warehouse, dealt by a column: later joins on it don't move its rows. Returns it and its name."""
     spark = df.sparkSession
     name = f"perilune_{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, column).option("compression", "zstd").saveAsTable(name)
     return spark.table(name), name
@@ -376,16 +414,16 @@ def _linked(texts: DataFrame, tokens: int) -> DataFrame:
     released(spark)
     bitmap, blocks = frequent_bitmap(texts, tokens)
     released(spark)
-    shared = staged(index(texts, bitmap, blocks).withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
+    shared = shared_keys(index(texts, bitmap, blocks))
     released(spark)
     found = spark.createDataFrame([], "doc long, comp long")
     tried: DataFrame | None = None
     for turn in range(_MOST_STARS):
         # A hash of its own orders the documents in each round, so the keys of a group of near copies choose the same few centres.
         member = shared if turn == 0 else shared.where(F.col("c") >= _LARGE_KEY)
-        member = member.select("key", "doc", "n").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))).alias("s")).select("key", "s.d", "s.m", "s.o")
-        pairs = member.join(centre, "key").where((F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d")).distinct()
+        member = member.select("key", "doc", "n", "c").join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        centre = member.groupBy("key").agg(F.max("c").alias("c"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))).alias("s")).select("key", "c", "s.d", "s.m", "s.o")
+        pairs = _dealt(member).join(_to_all(centre), ["key", "stretch"]).where((F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d")).distinct()
         pairs = staged(pairs if tried is None else pairs.join(tried, ["lo", "hi"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = verified(sifted(pairs, texts), texts)
@@ -395,8 +433,8 @@ def _linked(texts: DataFrame, tokens: int) -> DataFrame:
         found = components(found.select(F.col("doc").alias("lo"), F.col("comp").alias("hi")).unionByName(links))
     # Keys that still hold several components: pairs across them, but for those tried before.
     member = shared.join(found, "doc", "left").select("key", "doc", "n", "c", F.coalesce("comp", "doc").alias("comp"))
-    mixed = member.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-    rest = staged(member.join(mixed, "key", "left_semi"))
+    mixed = member.groupBy("key").agg(F.max("c").alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key", "c")
+    rest = staged(_dealt(member).join(_to_all(mixed), ["key", "stretch"], "left_semi").drop("stretch"))
     small = rest.where(F.col("c") < _LARGE_KEY)
     other = small.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))
     across = small.join(other, "key").where((F.col("doc") < F.col("d")) & (F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d"))

@@ -265,6 +265,7 @@ def test_large_keys_compared_in_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_LARGE_KEY", 3)
     monkeypatch.setattr(jaccard_join, "_BLOCK_DOCS", 5)
     monkeypatch.setattr(jaccard_join, "_MOST_STARS", 1)
+    monkeypatch.setattr(jaccard_join, "_STRETCH_ROWS", 4)
     rows = list(enumerate(near_copies(7, 60, 100, 5) + near_copies(8, 20, 100, 5)))
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
@@ -282,7 +283,7 @@ def test_similar_sets_share_a_key_and_pass_the_sketch(seed):
     if set(a) == set(b) or 100 * both < 80 * len(set(a) | set(b)):
         return
     x, y = (np.array(sorted(set(s)), dtype=np.uint64) for s in (a, b))
-    keys = [set(jaccard_join.index_keys(s, np.array([frequent[int(t)] for t in s])).tolist()) for s in (x, y)]
+    keys = [set(jaccard_join.index_keys(s, np.array([frequent[int(t)] for t in s]))[0].tolist()) for s in (x, y)]
     assert keys[0] & keys[1]
     assert jaccard_join.may_link(len(x), len(y), jaccard_join.sketch(x), jaccard_join.sketch(y))
 
