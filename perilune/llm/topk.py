@@ -3,7 +3,7 @@
 Vectors are cut into segments; from the segments' means and deviations the inner product of two vectors is at most
 sum of width * (mean * mean + deviation * deviation), which is the lower bound of their distance seen from the other side. The
 bound is taken coarse to fine, against the k-th best score so far, and exact integer products are computed for the pairs
-that survive every level. Queries go to the tasks in blocks of bounded size; each task keeps k candidates a query.
+that survive every level. Queries go to the tasks in blocks of bounded size, one after the other; each task keeps k candidates a query.
 
 Vectors that are null or hold null or non-finite components take no part; a shorter vector counts as if zeros followed. Ties go to the
 smaller vec_id. Rows with the query's own vec_id are no candidates; queries that repeat a vec_id are asked once, with the smallest of
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilune.llm.common import ready, staged
+from perilune.llm.common import ready, shared_dir, staged
 
 LEVELS = (4, 16)  # segments, coarse to fine
 _SLICE = 2048  # candidates whose bounds are held at once
@@ -107,41 +107,50 @@ class Search:
 
 
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, block: int = 16_384) -> DataFrame:
-    """query_id, rank, vec_id, score. vectors: vec_id and v, an array of whole doubles; is_query: SQL for which of them ask. A block of queries is bounded in rows, so it may be sent to all tasks."""
+    """query_id, rank, vec_id, score. vectors: vec_id and v, an array of whole doubles; is_query: SQL for which of them ask.
+
+    Queries wait in the shared folder, a folder for each block. One block at a time, about half of `block` rows by their hash, is
+    read and sent to all tasks, and its results are written before the next one's turn: the driver holds one block whatever the number of queries.
+    """
     spark = vectors.sparkSession
     ready(spark)
-    asked = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = -(-asked.count() // (block // 2)) or 1
-    asked = staged(asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
-    found: DataFrame | None = None
-
-    def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        search = Search(ids, q, k)
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> None:
-            if held:
-                v = pa.chunked_array([b.column(1) for b in held]).combine_chunks()
-                search.add(np.concatenate([b.column(0).to_numpy() for b in held]), matrix(v, max(v.value_lengths().to_numpy(zero_copy_only=False).max(initial=0), 1)))
-                held.clear()
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                if sum(x.num_rows for x in held) >= _SLICE:
-                    flush()
-        flush()
-        yield pa.RecordBatch.from_pydict({"query_id": ids[search.best[:, 0]], "vec_id": search.best[:, 2], "score": search.best[:, 1]})
-
+    asked = staged(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n_blocks = -(-asked.count() // max(block // 2, 1)) or 1
+    queries, found = shared_dir(spark), shared_dir(spark)
+    asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).write.partitionBy("b").parquet(queries)
+    asked = spark.read.schema("vec_id long, v array<double>, b int").parquet(queries)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for b in range(n_blocks):
-        rows = asked.where(F.col("b") == b).select("vec_id", "v").toArrow().combine_chunks()
-        ids = rows.column(0).to_numpy()
+        rows = asked.where(F.col("b") == b).select("vec_id", "v").toArrow()
         v = rows.column(1).combine_chunks()
-        q = matrix(v, max(v.value_lengths().to_numpy(zero_copy_only=False).max(initial=0), 1)) if len(ids) else np.zeros((0, 1))
-        one = vectors.select("vec_id", "v").mapInArrow(partial(run, ids=ids, q=q), "query_id long, vec_id long, score long")
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        sent = spark.sparkContext.broadcast((rows.column(0).to_numpy(), _matrix_of(v)))
+        one = vectors.select("vec_id", "v").mapInArrow(partial(_search, sent=sent, k=k), "query_id long, vec_id long, score long")
+        one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).write.parquet(f"{found}/b={b}")
+        sent.destroy()
+    return spark.read.schema("query_id long, vec_id long, score long, rank int").parquet(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _matrix_of(v: pa.Array) -> np.ndarray:
+    return matrix(v, max(v.value_lengths().to_numpy(zero_copy_only=False).max(initial=0), 1)) if len(v) else np.zeros((0, 1))
+
+
+def _search(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
+    ids, q = sent.value
+    search = Search(ids, q, k)
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> None:
+        if held:
+            search.add(np.concatenate([b.column(0).to_numpy() for b in held]), _matrix_of(pa.chunked_array([b.column(1) for b in held]).combine_chunks()))
+            held.clear()
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= _SLICE:
+                flush()
+    flush()
+    yield pa.RecordBatch.from_pydict({"query_id": ids[search.best[:, 0]], "vec_id": search.best[:, 2], "score": search.best[:, 1]})
 
 
 def whole_vectors(table: DataFrame, scale: int = 64) -> DataFrame:

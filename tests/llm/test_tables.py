@@ -431,6 +431,16 @@ def test_topk_equals_brute_force(spark, seed, monkeypatch):
     assert got == brute_topk(rows, 20)
 
 
+def test_the_driver_holds_one_block_of_queries(spark, monkeypatch):
+    """However many queries there are, no more than a block of them is gathered at once."""
+    kind, gathered = type(spark.range(0)), []
+    real = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: gathered.append(t := real(self)) or t)
+    df = spark.range(400).selectExpr("id as vec_id", "array(cast(id % 7 as double), cast(id % 3 as double)) as v")
+    got = topk.nearest(df, "vec_id % 2 = 0", 3, block=40).collect()
+    assert len(got) == 600 and len(gathered) == 10 and max(t.num_rows for t in gathered) <= 40 and sum(t.num_rows for t in gathered) == 200
+
+
 def test_bounds_hold_and_prune():
     g = np.random.default_rng(2)
     centres = 30 * g.normal(size=(8, 64)).round()
