@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,29 +95,40 @@ def canonical_turns(df: DataFrame) -> DataFrame:
 
 #: For rows of JSON text: a type that reads every declared layout.
 _JSON = "conv_id long, messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, prompt string, response string, completion string, instruction string, input string, output string"
+_TURNS = "array<struct<turn:bigint,role:string,text:string>>"
+
+
+def _present(path: str) -> Column:
+    """Whether a row of JSON has a path; a list has its elements' fields if one element has them, or if it is empty."""
+    if "[]." not in path:
+        return F.try_variant_get(F.col("v"), f"$.{path}", "variant").isNotNull()
+    held, name = path.split("[].")
+    return F.coalesce(F.col(f"x.{held}").isNotNull() & ((F.size(f"x.{held}") == 0) | F.exists(f"x.{held}", lambda e: e[name].isNotNull())), F.lit(False))
+
+
+def _matched(df: DataFrame, column: str) -> DataFrame:
+    """The rows with `x` (their known fields) and `layout`: the place of the one they fit, null without one. The hash is of the known paths that a row has; further fields do no harm."""
+    known = sorted({p for paths, _ in LAYOUTS[1:] for p in paths})
+    rows = df.withColumn("v", F.try_parse_json(F.col(column))).withColumn("x", F.from_json(F.col(column), _JSON))
+    rows = rows.withColumn("print", F.sha2(F.concat_ws("\n", *(F.when(_present(p), p) for p in known)), 256))
+    exact = [F.when(F.col("print") == fingerprint(paths), k) for k, (paths, _) in enumerate(LAYOUTS) if k]
+    whole = [F.when(reduce(lambda a, b: a & b, map(_present, paths)), k) for k, (paths, _) in enumerate(LAYOUTS) if k]
+    return rows.withColumn("layout", F.coalesce(*exact, *whole))
 
 
 def canonical_turns_json(df: DataFrame, column: str = "json") -> DataFrame:
-    """The same from JSON texts whose layouts differ by row. The hash is of the paths that a row has; rows that aren't JSON or fit no layout give no turns."""
-    shape = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    # OBJECT<a: STRING, b: ARRAY<OBJECT<c: STRING>>> -> names and brackets only; VOID: an empty list or null.
-    bare = F.regexp_replace(F.regexp_replace(shape, r":\s*(STRING|BIGINT|VOID|BOOLEAN|DOUBLE|DECIMAL\([0-9, ]*\)|VARIANT)", ""), r"\s+", "")
-    rows = df.select(F.from_json(F.col(column), _JSON).alias("x"), F.sha2(bare, 256).alias("print")).select("x.*", "print")
-    chosen = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    for paths, make in LAYOUTS[1:]:
-        chosen = F.when(F.col("print") == hashlib.sha256(_shape(paths).encode()).hexdigest(), make()).otherwise(chosen)
+    """The same from JSON texts whose layouts differ by row. If a row has fields of several layouts, the first one that it holds whole counts. `misfits` has the rows that aren't JSON or fit none."""
+    rows = _matched(df.select(column), column).select("x.*", "layout")
+    chosen = F.lit(None).cast(_TURNS)
+    for k, (_, make) in enumerate(LAYOUTS):
+        chosen = F.when(F.col("layout") == k, make()).otherwise(chosen) if k else chosen
     return rows.select("conv_id", F.inline(chosen)).select("conv_id", "turn", "role", "text")
 
 
-def _shape(paths: list[str]) -> str:
-    """How a row with these paths looks once its types are taken away; fields are in order of name."""
-    flat = sorted(p for p in paths if "[]." not in p)
-    lists: dict[str, list[str]] = {}
-    for p in paths:
-        if "[]." in p:
-            lists.setdefault(p.split("[].")[0], []).append(p.split("[].")[1])
-    fields = {p: p for p in flat} | {k: f"{k}:ARRAY<OBJECT<{','.join(sorted(v))}>>" for k, v in lists.items()}
-    return f"OBJECT<{','.join(fields[k] for k in sorted(fields))}>"
+def misfits(df: DataFrame, column: str = "json") -> DataFrame:
+    """The rows, as they are, that aren't JSON or fit no layout."""
+    held = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    return _matched(df.select(held, F.col(column).alias("_json")), "_json").where("layout is null").select("_row.*")
 
 
 def format_chats(turns: DataFrame, block: int = 256) -> DataFrame:

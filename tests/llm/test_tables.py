@@ -149,6 +149,11 @@ def test_layouts_by_fingerprint(spark):
     df = spark.createDataFrame([(json.dumps(x),) for x in objects] + [("not json",), (None,)], "json string")
     want = [(1, "user", "a"), (1, "assistant", "b"), (2, "user", "x"), (2, "assistant", "y"), (3, "user", "i\n\nz"), (3, "assistant", "o"), (4, "user", "q"), (4, "assistant", "r")]
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns_json(df).collect()) == [(c, k % 2, r, t) for k, (c, r, t) in enumerate(want)]
+    assert sorted(map(str, (r.json for r in chat.misfits(df).collect()))) == ["None", "not json", '{"conv_id": 5, "foo": 1}']
+    extra = [{"conv_id": 1, "id": "x", "prompt": "a", "response": "b", "source": {"k": [1]}}, {"conv_id": 2, "messages": [{"role": "user", "content": "x", "name": "n"}, {"role": "assistant", "content": None}], "prompt": None}, {"conv_id": 3, "messages": []}, {"conv_id": 4, "messages": [{"foo": 1}]}]
+    more = spark.createDataFrame([(json.dumps(x), "kept") for x in extra], "json string, layout string")
+    assert sorted((r.conv_id, r.turn, r.role, str(r.text)) for r in chat.canonical_turns_json(more).collect()) == [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "x"), (2, 1, "assistant", "None")]
+    assert [(json.loads(r.json)["conv_id"], r.layout) for r in chat.misfits(more).collect()] == [(4, "kept")]
     typed = spark.createDataFrame([(3, "i", "o", 9)], "conv_id long, instruction string, output string, other int")
     assert [(r.role, r.text) for r in chat.canonical_turns(typed).collect()] == [("user", "i"), ("assistant", "o")]
     both = spark.createDataFrame([(3, 0, "user", "t", "p", "r", "i")], "conv_id long, turn long, role string, text string, prompt string, response string, instruction string")
