@@ -14,7 +14,8 @@ Base: words that make up at least 1 / `capacity` of all tokens are sent likewise
 looked up by a join with the counts of all words.
 
 Null and empty texts are the end alone. Repeated rows are scored each. A null doc_id counts as an empty text in the training
-split. Other columns are left out.
+split. A very long text is one row of grams that aren't sent, each once. Grams of equal counts are all sent or all joined, which
+changes no score. An empty corpus has a tree of even chances. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def learn(docs: DataFrame, capacity: int = 1 << 19) -> tuple[Model, DataFrame]:
 
 
 def score_texts(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (the end's byte included), bits_per_byte (the code length)."""
     spark = docs.sparkSession
     ready(spark)
     sent = spark.sparkContext.broadcast(replace(model, top=[], grams=None))
@@ -250,9 +251,9 @@ def score_texts(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([np.ones(min(len(grams), 1), dtype=bool), (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]))
             cuts = np.searchsorted(owner[first], np.arange(len(texts) + 1)).astype(np.int32)
             rows |= {"grams": pa.ListArray.from_arrays(cuts, grams[first].view(np.int64)), "often": pa.ListArray.from_arrays(cuts, np.diff(first, append=len(grams)))}
-            yield pa.RecordBatch.from_pydict({**rows, "score": pa.array(value)})
+            yield pa.RecordBatch.from_pydict({**rows, "score": pa.array(value), "n_bytes": pa.array([len(t) + 1 for t in texts], pa.int64())})
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, times array<long>, grams array<long>, often array<long>, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare array<long>, times array<long>, grams array<long>, often array<long>, score double, n_bytes long"
     # The row's number is fixed once it is written; rare words and grams find their counts and scores by it.
     scored = staged(docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     asked = scored.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "key")
@@ -268,4 +269,5 @@ def score_texts(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     return scored.drop("rare", "times", "grams", "often").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("more")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("rest")).alias("base_score"), ((F.col("score") + zero("part")) / float(np.log(10))).alias("score"),
+        "n_bytes", (-(F.col("score") + zero("part")) / float(np.log(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

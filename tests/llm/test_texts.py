@@ -306,6 +306,58 @@ def test_context_tree_is_a_distribution():
     assert (again.ln_probability(grams) == tree.ln_probability(grams)).all() and np.allclose(tree.cached(grams), tree.ln_probability(grams), atol=1e-5)
 
 
+def mixture(counts, context, path, bit, depth):
+    """Chance of a bit after a path of bits in a context, by the definition: each node halves its weight between its own estimate and its longer contexts'. counts: {(context, path): [zeros, ones]}, contexts as the last bytes."""
+
+    def kt(zeros, ones):
+        total = 1.0
+        for k in range(zeros):
+            total *= (k + 0.5) / (k + 1)
+        for k in range(ones):
+            total *= (k + 0.5) / (zeros + k + 1)
+        return total
+
+    def weighted(at, more=None):
+        """Of the node at context `at`; more: one further bit seen by the nodes on the way to `context`."""
+        zeros, ones = counts.get((at, path), (0, 0))
+        here = more is not None and context.endswith(at)
+        own = kt(zeros + (here and more == 0), ones + (here and more == 1))
+        if len(at) == depth:
+            return own
+        inner = {c for c, p in counts if p == path and len(c) == len(at) + 1 and c.endswith(at)}
+        if context.endswith(at):
+            inner.add(context[len(context) - len(at) - 1 :])
+        product = 1.0
+        for c in inner:
+            product *= weighted(c, more)
+        return 0.5 * own + 0.5 * product
+
+    return weighted(b"", bit) / weighted(b"")
+
+
+def test_tree_equals_the_definition_of_the_mixture():
+    g = random.Random(8)
+    texts = [bytes(g.choice(b"ab") for _ in range(g.randrange(7))) for _ in range(5)]
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t in texts:
+        data = bytes(T.DEPTH) + t + b"\0"
+        for i in range(T.DEPTH, len(data)):
+            for j in range(8):
+                for d in range(T.DEPTH + 1):
+                    counts[data[i - d : i], (1 << j) | (data[i] >> (8 - j))][data[i] >> (7 - j) & 1] += 1
+    key, n = np.unique(T.frames(texts)[0], return_counts=True)
+    levels = [(key, n)]
+    for d in range(T.DEPTH - 1, -1, -1):
+        short, back = np.unique(levels[-1][0] & T._MASK[d + 1], return_inverse=True)
+        levels.append((short, np.bincount(back, weights=levels[-1][1]).astype(np.int64)))
+    tree = T.grow(levels[::-1])
+    for context in (bytes(5), b"\0\0\0ab", b"ababa", b"zzzza", b"bbbbb"):
+        for byte in b"abz\0":
+            want = sum(math.log(mixture(counts, context, (1 << j) | (byte >> (8 - j)), byte >> (7 - j) & 1, T.DEPTH)) for j in range(8))
+            gram = np.array([(int.from_bytes(context) << 8) | byte], dtype=np.uint64)
+            assert tree.ln_probability(gram)[0] == pytest.approx(want, abs=1e-5)
+
+
 def test_kt_is_the_product_of_its_predictions():
     total, zeros, ones = 0.0, 0, 0
     for bit in (0, 1, 1, 0, 1, 1, 1):
@@ -328,6 +380,7 @@ def test_base_scores_equal_brute_force(spark, capacity):
     got = L.score_texts(df, model, words).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 and r.held_out == (not training(r.doc_id)) for r in got)
+    assert all(r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes) for r in got) and sum(r.n_bytes for r in got) == sum(len((t or "").encode()) + 1 for _, t in rows)
 
 
 @pytest.mark.parametrize("capacity", [1 << 19, 40, 1])
