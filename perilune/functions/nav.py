@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from perilune.functions.units import J2000_UNIX, unix_to_j2000
+
 Triple = tuple[Column, Column, Column]
 
 # The mission's constants.
@@ -16,6 +18,7 @@ R_POLE = 6356.7519
 R_ORBIT_MEAN, ALTITUDE = 6371.0, 600.0
 J2 = 1.08262668e-3
 OMEGA_EARTH = 7.2921150e-5
+ARC_SECOND = 3.141592653589793 / 648000
 DRAG_AREA, DRAG_MASS = 1.0e-8, 1.3
 # Lower bound (km), density and scale height (km) of the layers of the exponential atmosphere.
 ATMOSPHERE = ((300.0, 2.418e-2, 53.628), (350.0, 9.518e-3, 53.298), (400.0, 3.725e-3, 58.515), (450.0, 1.585e-3, 60.828), (500.0, 6.967e-4, 63.822), (600.0, 1.454e-4, 71.835))
@@ -90,7 +93,7 @@ def rk4_step(r: Triple, v: Triple, dt: Column, **forces) -> tuple[Triple, Triple
 
 
 def sidereal_angle(t_j2000: Column) -> Column:
-    """Earth's rotation angle. A z-rotation only: precession, nutation and polar motion are left out (about 0.3 degrees in 2025); pass measured matrices to `rotate` for more."""
+    """Earth's rotation angle at UT1 seconds since J2000. A z-rotation only, without precession and nutation (0.3 degrees in 2025); `inertial_to_earth` has them."""
     days = t_j2000 / 86400.0
     return (0.7790572732640 + days * 1.00273781191135448) % 1.0 * 6.283185307179586
 
@@ -114,6 +117,53 @@ def ecef_to_eci(v: Triple, t_j2000: Column) -> Triple:
     return rotate_z(v, -sidereal_angle(t_j2000))
 
 
+def rotate_x(v: Triple, angle: Column) -> Triple:
+    c, s = F.cos(angle), F.sin(angle)
+    return (v[0], c * v[1] + s * v[2], c * v[2] - s * v[1])
+
+
+def rotate_y(v: Triple, angle: Column) -> Triple:
+    c, s = F.cos(angle), F.sin(angle)
+    return (c * v[0] - s * v[2], v[1], s * v[0] + c * v[2])
+
+
+def _powers(t: Column, *terms: float) -> Column:
+    """terms[0] + terms[1] * t + ..., in arc seconds, as radians."""
+    out = F.lit(terms[-1])
+    for x in terms[-2::-1]:
+        out = out * t + x
+    return out * ARC_SECOND
+
+
+def _orientation(unix: Column, dut1: float) -> list[tuple]:
+    """Rotations (about an axis, by an angle) from the inertial frame of J2000 to the Earth-fixed one, in order: precession, the main terms of nutation, sidereal time."""
+    t = unix_to_j2000(unix) / (86400.0 * 36525)
+    zeta, z, theta = _powers(t, 0.0, 2306.2181, 0.30188, 0.017998), _powers(t, 0.0, 2306.2181, 1.09468, 0.018203), _powers(t, 0.0, 2004.3109, -0.42665, -0.041833)
+    tilt = _powers(t, 84381.448, -46.8150, -0.00059, 0.001813)
+    node, sun, moon = (F.radians(a + t * b) for a, b in ((125.04452, -1934.136261), (280.4665, 36000.7698), (218.3165, 481267.8813)))
+    along = (-17.20 * F.sin(node) - 1.32 * F.sin(2 * sun) - 0.23 * F.sin(2 * moon) + 0.21 * F.sin(2 * node)) * ARC_SECOND
+    across = (9.20 * F.cos(node) + 0.57 * F.cos(2 * sun) + 0.10 * F.cos(2 * moon) - 0.09 * F.cos(2 * node)) * ARC_SECOND
+    u = (unix.cast("double") - J2000_UNIX + dut1) / (86400.0 * 36525)
+    # A day's seconds are taken apart first, so that whole turns don't cost digits.
+    turns = ((unix.cast("double") - J2000_UNIX + dut1) / 86400.0) % 1.0
+    sidereal = (67310.54841 + u * (8640184.812866 + u * (0.093104 - u * 6.2e-6))) / 86400.0 + turns
+    angle = (sidereal % 1.0) * 6.283185307179586 + along * F.cos(tilt + across)
+    return [(rotate_z, -zeta), (rotate_y, theta), (rotate_z, -z), (rotate_x, tilt), (rotate_z, -along), (rotate_x, -(tilt + across)), (rotate_z, angle)]
+
+
+def inertial_to_earth(v: Triple, unix: Column, dut1: float = 0.0) -> Triple:
+    """From J2000 to the Earth-fixed frame at a Unix time, within about an arc second: polar motion and small terms of nutation are left out. dut1: UT1 - UTC in seconds."""
+    for turn, angle in _orientation(unix, dut1):
+        v = turn(v, angle)
+    return v
+
+
+def earth_to_inertial(v: Triple, unix: Column, dut1: float = 0.0) -> Triple:
+    for turn, angle in reversed(_orientation(unix, dut1)):
+        v = turn(v, -angle)
+    return v
+
+
 def geodetic_to_ecef(lon: Column, lat: Column, altitude) -> Triple:
     """Kilometres."""
     f = (R_EARTH - R_POLE) / R_EARTH

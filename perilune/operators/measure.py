@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from perilune.functions import nav
 from perilune.functions.quaternion import wahba
-from perilune.functions.units import unix_to_j2000
 
 
 def landmark_measurements(frames: DataFrame, catalogue: DataFrame, cameras: DataFrame, sigma: float | None = None) -> DataFrame:
@@ -22,8 +21,7 @@ def landmark_measurements(frames: DataFrame, catalogue: DataFrame, cameras: Data
     rows = rows.join(catalogue, ["region_id", "class_id"]).join(cameras, "cam_id")
     f = (F.col("fx") + F.col("fy")) / 2
     bearing = nav.rotate(nav.pixel_bearing(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy")), [F.col("r")[k] for k in range(9)])
-    t = unix_to_j2000(F.col("timestamp_ms") / 1000.0)
-    eci = nav.ecef_to_eci(nav.geodetic_to_ecef(F.radians("lon_deg"), F.radians("lat_deg"), F.lit(0.0)), t)
+    eci = nav.earth_to_inertial(nav.geodetic_to_ecef(F.radians("lon_deg"), F.radians("lat_deg"), F.lit(0.0)), F.col("timestamp_ms") / 1000.0)
     order = Window.partitionBy("dataset_id").orderBy("timestamp_ms", "cam_id")
     spread = F.lit(sigma) if sigma is not None else F.least("height", "width") / (6 * f)
     return rows.select(

@@ -138,6 +138,16 @@ def eci_ecef_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", *_rounded("x y z", nav.ecef_to_eci(nav.eci_to_ecef(r, t), t), 6))
 
 
+@register("earth_orientation", f"with {_ORBIT} select vec_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, true as turned from o")
+def earth_orientation(spark: SparkSession, d: str) -> DataFrame:
+    """To the Earth-fixed frame with precession, nutation and sidereal time, and back; about the pole both frames of rotation agree within what precession and nutation do in 30 years."""
+    rows, r, _ = _orbit(spark, d)
+    unix = F.col("vec_id") * 86_477.0 + 946_728_000
+    fixed = nav.inertial_to_earth(r, unix)
+    near = F.abs(fixed[2] - r[2]) < 7000 * 0.006
+    return rows.select("vec_id", *_rounded("x y z", nav.earth_to_inertial(fixed, unix), 6), near.alias("turned"))
+
+
 @register("pixel_bearings", """with b as (select l_orderkey, l_linenumber, l_partkey, (l_partkey % 4608 - 2304.0) / 3548 as u, (l_suppkey * 13 % 2592 - 1296.0) / 3548 as v, l_quantity as h, l_linenumber * 9 as w from lineitem)
 select l_orderkey, l_linenumber, l_partkey, round(u / sqrt(u * u + v * v + 1), 9) as bx, round(v / sqrt(u * u + v * v + 1), 9) as by, round(1 / sqrt(u * u + v * v + 1), 9) as bz, round(least(h, w) / (6 * 3548.0), 12) as sigma from b""")
 def pixel_bearings(spark: SparkSession, d: str) -> DataFrame:

@@ -62,6 +62,15 @@ def test_epoch_models_differ_by_leap_seconds(spark):
     assert a - b == pytest.approx(5.184)
 
 
+def test_earth_orientation(spark):
+    """A published example of the full reduction (2004-04-06 07:51:28.386 UTC, UT1 - UTC -0.44 s): within 60 m of 10,000 km; and back again."""
+    unix = lits(1081237888.386009)[0]
+    fixed = nav.inertial_to_earth(lits(5102.508958, 6123.011401, 6378.136928), unix, -0.4399619)
+    assert list(one(spark, *fixed)) == pytest.approx([-1033.4793830, 7901.2952754, 6380.3565958], abs=0.06)
+    back = nav.earth_to_inertial(fixed, unix, -0.4399619)
+    assert list(one(spark, *back)) == pytest.approx([5102.508958, 6123.011401, 6378.136928], abs=1e-8)
+
+
 def test_geodetic_round_trip(spark):
     there = nav.geodetic_to_ecef(F.lit(0.3), F.lit(-1.1), F.lit(550.0))
     assert np.allclose(one(spark, *nav.ecef_to_geodetic(there)), (550, 0.3, -1.1), atol=1e-8)
