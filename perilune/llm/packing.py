@@ -221,7 +221,10 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     offsets = staged(counts.select("length", "part", "n", (upto - F.col("n")).alias("before")))
     plan = plan_best_fit({r.length: r.n for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
-    rows = pieces.join(offsets.drop("n"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local_rank"))
+    # A part's offsets travel as one array, by length: a row a task, a small share of what a row for each length takes in a hash table.
+    held = offsets.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
+    rows = pieces.join(staged(held.select("part", dense.alias("before"))), "part").withColumn("rank", F.get("before", F.col("length").cast("int")) + F.col("local_rank"))
     kept = [c for c in pieces.columns if c not in ("part", "local_rank")]
     rows = rows.select(*kept, "rank")
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
