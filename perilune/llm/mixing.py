@@ -23,7 +23,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilune.llm.common import staged
+from perilune.llm.common import released, staged
 
 
 _STAGED_LEVELS = 3
@@ -130,11 +130,13 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     blocks = placed.groupBy("k", "block").agg(F.sum("size").alias("words")).join(sources.select("k", "full", "rest"), "k")
     before = F.sum("words").over(Window.partitionBy("k").orderBy(F.xxhash64(seed, F.lit(1), "k", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     blocks = blocks.withColumn("left", F.col("rest") - before).withColumn("state", F.when(F.col("left") >= F.col("words"), "whole").when(F.col("left") > 0, "part").otherwise("none"))
+    released(docs.sparkSession)  # plans that are done with are many and large: the driver gives their memory back between steps
     blocks = staged(blocks.select("k", "block", "words", "left", "state", (F.col("full") + (F.col("state") != "none").cast("int")).cast("long").alias("units")))
     if mix.depth is None:
         units = blocks.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
         mix = replace(mix, depth=min(12, max(0, (units // 16).bit_length() - 1)))
     # Each source's units in a hashed order fill its leaves' quotas one after the other.
+    released(docs.sparkSession)
     quotas = staged(split_quotas(blocks.groupBy("k").agg(F.sum("units").alias("quota")), mix))
     end = F.sum("quota").over(Window.partitionBy("k").orderBy("shard"))
     slots = quotas.withColumn("end", end).where("quota > 0").select("k", "shard", F.explode(F.sequence(F.col("end") - F.col("quota") + 1, F.col("end"))).alias("rank"))
@@ -150,6 +152,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     cuts = part.withColumn("some", F.greatest(F.lit(0), fit).cast("long")).where("some < many").groupBy("k", "block").agg(F.min(F.struct("place", "some")).alias("cut"))
     plan = blocks.join(dealt, ["k", "block"], "left").join(cuts, ["k", "block"], "left")
     plan = staged(plan.select("k", "block", "units", F.coalesce("dealt", F.array().cast("array<struct<copy:bigint,shard:bigint>>")).alias("dealt"), F.col("cut.place").alias("cut"), F.coalesce("cut.some", F.lit(0)).alias("some")))
+    released(docs.sparkSession)
     rows = join(docs, "k", "n_blocks", "source_size", "target").withColumn("block", block).withColumn("place", place)
     rows = rows.join(plan, ["k", "block"])
     tied = F.coalesce((F.col("place") == F.col("cut")) & (F.col("some") > 0), F.lit(False))
@@ -172,3 +175,9 @@ def mixed_rows(mixed: DataFrame, mix: Mix = Mix(), parts: int = 64) -> DataFrame
     rows = mixed.select(*kept, F.explode("copies").alias("_c")).withColumns({"copy": F.col("_c.copy"), "shard": F.col("_c.shard")}).drop("_c")
     place = F.xxhash64(F.lit(mix.seed), F.lit(4), "doc_id", "copy")
     return rows.repartition("shard", F.pmod(place, F.lit(parts))).sortWithinPartitions("shard", place)
+
+
+def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix as rows with exactly the columns of docs, whatever their names."""
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return mixed_rows(mix_sources(whole, mix).drop("text"), mix).select("_row.*")

@@ -485,3 +485,52 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and mixed.dtypes == docs.dtypes
     packed = p.pack(spark, mixed, d).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 4096 and set(packed.doc_id) == {r.doc_id for r in mixed.select("doc_id").collect()}
+
+
+def brute_pipeline_stages(rows, good):
+    """What the first three stages keep of (doc_id, text) rows: documents called good, one of each group, without secrets."""
+    from perilune.llm.secrets import scanner
+
+    kept = [(i, t) for i, t in rows if (i, t) in good]
+    least = {d: c for d, _, c in brute_components([r for r in kept if r[0] is not None])}
+    out = {(i, t) for i, t in kept if i is None or least[i] == i}
+
+    def clean(text):
+        spans, parts, done = scanner().text_spans(text), [], 0
+        for begin, _, end in spans:
+            if begin >= done:
+                parts += [text[done:begin], "[SECRET]"]
+            done = max(done, end)
+        return text if not spans else "".join([*parts, text[done:]])
+
+    return {(i, clean(t)) for i, t in out}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty, very long and repeated rows, clashing columns, an empty table: each stage by itself, then run()."""
+    import corpus_pipeline as p
+
+    good = [(100 + i, " ".join(f"word{(i * 7 + k) % 400}" for k in range(80)) + (" token=abcdef123" if i % 3 == 0 else "") + ".", "en", f"s{i % 2}", None) for i in range(60)]
+    junk = [(300 + i, "$$$ ### %% 12 || " * 30, "en", "s0", None) for i in range(60)]
+    rows = odd_documents() + good + junk + good[:2]
+    d = str(tmp_path)
+    documents(spark, rows).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, *_ in good] + [(i, 0, 0) for i, *_ in junk] + [(None, 1, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = p.staged(p.quality(spark, docs, d))
+    pairs = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+    assert kept.columns == docs.columns and {i for i, *_ in good} <= {i for i, _ in pairs} and not {i for i, *_ in junk} & {i for i, _ in pairs}
+    clean = p.staged(p.redact(spark, p.staged(p.near_duplicates(spark, kept, d)), d))
+    found = [(r.doc_id, r.text) for r in clean.collect()]
+    assert clean.dtypes == docs.dtypes and len(found) == len(set(found)) and set(found) == brute_pipeline_stages([(i, t) for i, t, *_ in rows], set(pairs))
+    mixed = p.staged(p.mix(spark, clean, d))
+    assert mixed.dtypes == docs.dtypes and {(r.doc_id, r.text) for r in mixed.collect()} <= set(found)
+    packed = p.pack(spark, mixed, d).toPandas()
+    assert len(packed[packed.piece == 0]) == mixed.count() and packed.groupby("sequence_id").length.sum().max() <= 4096
+    again = p.run(spark, d).toPandas()
+    digest = lambda t: sorted(zip(t.doc_id.fillna(-1), t.piece, t.length, t.ids_crc32, strict=True))
+    assert digest(again) == digest(packed)
+    none = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(f"{none}/labels.parquet")
+    assert p.run(spark, none).count() == 0
