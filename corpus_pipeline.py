@@ -6,6 +6,11 @@
 4. mixing: each source's documents are taken as often as its target says (a document's copies are rows that repeat it);
 5. best-fit packing: one row for each piece, with its sequence and place.
 
+Null and empty texts are documents like any other: the classifier scores them, they link with nothing, hold no secrets, add no words
+to a mix and are packed as their end alone. Very long texts go through whole and are cut by packing only. Rows that repeat a doc_id
+are one document to the join, which keeps one of them; rows without a doc_id all pass it. Ties go to the smallest doc_id. Further
+columns, whatever their names, are kept up to the last stage; an empty table gives an empty result.
+
 All but the last return the columns of documents. ORACLE_SQL is None: SQL can express neither the classifier nor the tokenizer.
 """
 
@@ -31,7 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(mixing.mix_sources(docs)).select(*docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
