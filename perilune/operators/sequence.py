@@ -210,15 +210,15 @@ def allan_all(df: DataFrame, key: str, order: list[str], value: str) -> DataFram
     return df.select(key, *order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, m int, terms long, squares double, deviation double")
 
 
-def duplicate_commands(df: DataFrame, key: list[str], start: str, end: str, gap: int | float = 60) -> DataFrame:
-    """`duplicate`: whether an equal command that was run is still active at the start of this one (a null end: for good), or ended less than gap before. Duplicates aren't run and shield nothing, so each key's commands are walked in order of their starts."""
+def duplicate_commands(df: DataFrame, key: list[str], start: str, end: str, gap: int | float = 60, tie: str | None = None) -> DataFrame:
+    """`duplicate`: whether an equal command that was run is still active at the start of this one (a null end: for good), or ended less than gap before. Duplicates aren't run and shield nothing, so each key's commands are walked in order of their starts, ends and ties."""
     import numpy as np
     import pandas as pd
 
     names = df.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([start, end], kind="stable", na_position="last")
+        rows = rows.sort_values([start, end, *([tie] if tie else [])], kind="stable", na_position="last")
         until, out = -np.inf, []
         for s, e in zip(rows[start].to_numpy(dtype=float), rows[end].to_numpy(dtype=float), strict=True):
             out.append(bool(s < until))

@@ -10,15 +10,15 @@ from perilune.operators import commands as C
 from perilune.operators import detection as D
 from perilune.operators import frames as R
 from perilune.operators import measure as M
-from perilune.plans.orbit import determine_orbits, simulate
+from perilune.plans.orbit import determine_orbits, orbit_results, simulate
 from perilune.plans.registry import read, register
 from perilune.plans.reprocess import reprocess
 from perilune.sources import outputs as O
+from perilune.sources.config import Solver
 
 
-@register("od_solve")
-def od_solve(spark: SparkSession, d: str) -> DataFrame:
-    """A simulated pass for each nation, solved: state estimates."""
+def _passes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A simulated pass for each nation: landmarks and gyro rates."""
 
     def marks(parts):
         for p in parts:
@@ -34,7 +34,31 @@ def od_solve(spark: SparkSession, d: str) -> DataFrame:
 
     nations = read(spark, d, "nation").select("n_nationkey")
     landmark = nations.mapInPandas(marks, "dataset_id string, t double, bearing_x double, bearing_y double, bearing_z double, eci_x_km double, eci_y_km double, eci_z_km double, sigma double")
-    return determine_orbits(landmark, nations.mapInPandas(rates, "dataset_id string, t double, wx double, wy double, wz double"))
+    return landmark, nations.mapInPandas(rates, "dataset_id string, t double, wx double, wy double, wz double")
+
+
+def _results(spark: SparkSession, d: str, settings: Solver = Solver()) -> DataFrame:
+    return orbit_results(*_passes(spark, d), settings)
+
+
+@register("od_solve")
+def od_solve(spark: SparkSession, d: str) -> DataFrame:
+    """Each nation's pass, solved: state estimates."""
+    return determine_orbits(*_passes(spark, d))
+
+
+@register("od_invariants", """select n_nationkey::varchar as dataset_id, 6 as states, cast(0 as bigint) as rejected, true as unit, true as on_orbit, true as moves, true as known from nation""")
+def od_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for each nation's solution: a state a time, none of the good landmarks rejected, unit attitudes, the orbit's radius and speed, and variances that say as much."""
+    results = _results(spark, d, Solver(use_j2=True))
+    every = lambda column, f: F.forall(column, f)
+    size = lambda x, c: F.sqrt(sum((x[f"{c}_{a}"] * x[f"{c}_{a}"] for a in ("y_kms", "z_kms")), x[f"{c}_x_kms"] * x[f"{c}_x_kms"]))
+    radius = lambda x: F.sqrt(x["pos_x_km"] * x["pos_x_km"] + x["pos_y_km"] * x["pos_y_km"] + x["pos_z_km"] * x["pos_z_km"])
+    turn = lambda x: x["quat_x"] * x["quat_x"] + x["quat_y"] * x["quat_y"] + x["quat_z"] * x["quat_z"] + x["quat_w"] * x["quat_w"]
+    return results.select(
+        "dataset_id", F.size("states").alias("states"), "rejected", every("states", lambda x: F.abs(turn(x) - 1) < 1e-9).alias("unit"), every("states", lambda x: F.abs(radius(x) - 6971.0) < 1.0).alias("on_orbit"),
+        every("states", lambda x: F.abs(size(x, "vel") - 7.5617) < 0.01).alias("moves"), every("covariance", lambda x: (x["pos_cov_x"] > 0) & (x["pos_cov_x"] < 1.0) & (x["rot_cov_z"] < 1e-4)).alias("known"),
+    )
 
 
 @register("reprocess_pipeline", """with f as (select o_orderkey, case o_orderstatus when 'O' then 1 when 'P' then 2 when 'F' then 3 else 0 end as stage, o_orderkey % 6 = 0 as image_missing from orders),

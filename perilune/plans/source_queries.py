@@ -17,6 +17,7 @@ from perilune.operators import images as I
 from perilune.operators import sequence as S
 from perilune.plans.registry import read, register
 from perilune.plans.reprocess import processed_frames
+from perilune.plans.series_queries import _EV, events
 from perilune.sources import frames as SF
 from perilune.sources import outputs as O
 from perilune.sources.files import scratch, write_files
@@ -299,21 +300,24 @@ def summary_documents(spark: SparkSession, d: str) -> DataFrame:
     return made.select("folder_path", x.alias("x")).select("folder_path", F.col("x.num_frames").alias("frames"), F.col("x.frame_id_list")[0]["timestamp"].alias("first"), F.element_at("x.frame_id_list", -1)["timestamp"].alias("last"), F.col("x.imu_timestamps_collected").alias("lines"))
 
 
-@register("allan_all_factors")
+@register("allan_all_factors", f"""with {_EV}, p as (select user_id, v, row_number() over (partition by user_id order by us, event_id) as i, count(*) over (partition by user_id) as n from ev),
+m as (select user_id, unnest(generate_series(1, (max(n) - 1) // 2)) as m from p group by 1),
+t as (select a.user_id, m.m, c.v - 2 * b.v + a.v as d from p a join m using (user_id) join p b on b.user_id = a.user_id and b.i = a.i + m.m join p c on c.user_id = a.user_id and c.i = a.i + 2 * m.m)
+select user_id, cast(m as integer) as m, count(*) as terms, cast(sum(d * d) as double) as squares, cast(floor(sqrt(cast(sum(d * d) as double) / (2.0 * m * m * count(*)))) as bigint) as deviation from t group by user_id, m""")
 def allan_all_factors(spark: SparkSession, d: str) -> DataFrame:
     """Every averaging factor of each user's series."""
-    from perilune.plans.series_queries import events
+    return S.allan_all(events(spark, d), "user_id", ["us", "event_id"], "v").withColumn("deviation", F.floor("deviation").cast("long"))
 
-    return S.allan_all(events(spark, d), "user_id", ["us", "event_id"], "v")
 
-
-@register("active_duplicates")
+@register("active_duplicates", f"""with recursive {_EV}, c as (select event_id, user_id, event_type, us / 1000000.0e0 as s, case when event_type <> 'error' then us / 1000000.0e0 + abs(v) * 0.6e0 end as e from ev),
+n as (select *, row_number() over (partition by user_id, event_type order by s, e nulls last, event_id) as n from c),
+r as (select event_id, user_id, event_type, n, false as duplicate, coalesce(e + 60, 'infinity'::double) as until from n where n = 1
+  union all select n.event_id, n.user_id, n.event_type, n.n, n.s < r.until, case when n.s >= r.until then coalesce(n.e + 60, 'infinity'::double) else r.until end from r join n on n.user_id = r.user_id and n.event_type = r.event_type and n.n = r.n + 1)
+select event_id, duplicate from r""")
 def active_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Events stand for commands that run for their value in minutes; an error never ends. Equal commands are those of one user and type, within 60 s of an end."""
-    from perilune.plans.series_queries import events
-
     rows = events(spark, d).select("event_id", "user_id", "event_type", (F.col("us") / 1_000_000).alias("start"), F.when(F.col("event_type") != "error", F.col("us") / 1_000_000 + F.abs("v") * 0.6).alias("end"))
-    return S.duplicate_commands(rows, ["user_id", "event_type"], "start", "end", 60).select("event_id", "duplicate")
+    return S.duplicate_commands(rows, ["user_id", "event_type"], "start", "end", 60, "event_id").select("event_id", "duplicate")
 
 
 _CHAIN = """with m as (select l_orderkey, count(*) filter (l_discount > 0.05) as lm, count(distinct l_linenumber) filter (l_tax > 0.04) as rg, max(l_quantity) as q from lineitem group by 1),

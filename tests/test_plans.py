@@ -33,4 +33,4 @@ def test_alignment_is_one_shuffle(spark):
 
 def test_no_python_in_sql_expressible_paths(spark):
     python = {n for n in QUERIES if any(w in plan(QUERIES[n](spark, DATA)) for w in ("Python", "Pandas", "MapInArrow"))}
-    assert python == {"crc16_payload", "nms_greedy", "wahba_attitude", "od_solve", "chunk_transfer_packets", "packet_answers", "radio_streams", "telemetry_logs", "allan_all_factors", "active_duplicates", "processed_frames"}
+    assert python == {"crc16_payload", "nms_greedy", "wahba_attitude", "od_solve", "od_invariants", "chunk_transfer_packets", "packet_answers", "radio_streams", "telemetry_logs", "allan_all_factors", "active_duplicates", "processed_frames"}
