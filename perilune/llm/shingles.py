@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-from perilune.llm.common import utf8
+from perilune.llm.common import _LOWER, utf8
 
 WIDTH = 5
 #: Texts are hashed in stretches of about so many bytes.
 _STRETCH = 1 << 18
+#: Words of more bytes have a hash that isn't a sum.
+_LONG = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -44,7 +47,11 @@ def _stretch_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(a) + 1)
     total = np.zeros(len(a) + 1, dtype=np.uint64)
     np.cumsum(_VALUE[a] * up[:-1], out=total[1:])
-    return scramble((total[ends] - total[starts]) * down[starts]), starts
+    out = scramble((total[ends] - total[starts]) * down[starts])
+    # Sums modulo 2^64 can be made to agree for long words that are built for it.
+    for k in np.flatnonzero(ends - starts > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].translate(_LOWER))
+    return out, starts
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -293,6 +293,15 @@ def test_similar_sets_share_a_key_and_pass_the_sketch(seed):
     assert jaccard_join.may_link(len(x), len(y), jaccard_join.sketch(x), jaccard_join.sketch(y))
 
 
+def test_long_words_built_to_collide_differ():
+    from perilune.llm.shingles import word_hashes
+
+    turns = "".join("ab"[bin(i).count("1") % 2] for i in range(4096)).encode()
+    other = turns.translate(bytes.maketrans(b"ab", b"ba"))
+    h = word_hashes(turns + b" " + other + b" " + turns.upper() + b" " + turns)[0]
+    assert h[0] != h[1] and h[0] == h[2] == h[3]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, (1 << 28) - 1), max_size=40), st.integers(1, 3))
 def test_counts_survive_their_coding(values, times):
