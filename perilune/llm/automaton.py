@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
+#: Lines of more bytes are walked alone.
+_LONG_LINE = 2048
+
 # A parsed expression is ("set", frozenset of bytes), ("cat", parts), ("alt", parts) or ("rep", part, least, most or None).
 
 
@@ -177,15 +181,49 @@ class Dfa:
             self._flat = self.table.tolist()
         return self._flat
 
-    def hits(self, data: bytes) -> list[tuple[int, int]]:
-        """(end, accepting state number) of every position where some rule ends; one pass."""
-        table, state, accepting, found = self.flat, self.start, self.accepting, []
-        add = found.append
+    def hits(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """(end, accepting state number) of every position where some rule ends; one pass, nothing is held."""
+        table, state, accepting, width = self.flat, self.start, self.accepting, self.width
         for i, c in enumerate(data.translate(self.classes), 1):
             state = table[state + c]
             if state >= accepting:
-                add((i, state))
-        return [(i, s // self.width) for i, s in found]
+                yield i, state // width
+
+    def hits_of(self, texts: list[bytes]) -> Iterator[Iterable[tuple[int, int]]]:
+        """The same for many texts, one after the other. Where a line's end leads from every state back to the start, all lines are walked side by side, a byte of each in one step; texts with a very long line are walked alone."""
+        table = np.asarray(self.table)
+        together = [t if max(map(len, t.split(b"\n"))) <= _LONG_LINE else None for t in texts]
+        if (table[self.classes[10] :: self.width] != self.start).any() or len(texts) - together.count(None) < 2:
+            yield from map(self.hits, texts)
+            return
+        data = b"\n".join(t or b"" for t in together) + b"\n"
+        ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+        starts = np.append(0, ends[:-1] + 1)
+        lengths = ends - starts
+        lines = np.argsort(-lengths, kind="stable")
+        place, state = starts[lines], np.full(len(lines), self.start, dtype=np.int64)
+        columns = np.frombuffer(data.translate(self.classes), dtype=np.uint8)
+        left = len(lines) - np.cumsum(np.bincount(lengths, minlength=1))  # lines of more than t bytes
+        at, states = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for t in range(int(lengths.max(initial=0))):
+            n = left[t]
+            now = table[state[:n] + columns[place[:n] + t]]
+            state[:n] = now
+            hit = np.flatnonzero(now >= self.accepting)
+            if len(hit):
+                at.append(place[hit] + t + 1)
+                states.append(now[hit])
+        at, states = np.concatenate(at), np.concatenate(states)
+        order = np.argsort(at, kind="stable")
+        at, states = at[order], states[order] // self.width
+        begins = np.cumsum([0, *(len(t or b"") + 1 for t in together)])
+        cuts = np.searchsorted(at, begins, side="right").tolist()  # an end lies behind its text's begin
+        for k, begin in enumerate(begins[:-1].tolist()):
+            if together[k] is None:
+                yield self.hits(texts[k])
+            else:
+                i, j = cuts[k], cuts[k + 1]
+                yield zip((at[i:j] - begin).tolist(), states[i:j].tolist(), strict=True)
 
     def walk(self, data: bytes, begin: int, end: int, state: int) -> int:
         """The state after the bytes from begin to end."""
@@ -220,26 +258,37 @@ def compile_dfa(nodes: list, unanchored: bool) -> Dfa:
     classes = bytes(by_signature.setdefault(tuple(b in s for s in sets), len(by_signature)) for b in range(256))
     width = len(by_signature)
     sample = [classes.index(k) for k in range(width)]
-    first = nfa.closure([root])
-    number, order, rows = {first: 0}, [first], []
-    for subset in order:
+    # Sets of states are rows of bits; a state's moves, its targets' closures by class.
+    n = len(nfa.empty)
+    reach = np.zeros((n, n), dtype=bool)
+    for k in range(n):
+        reach[k, list(nfa.closure([k]))] = True
+    step = np.zeros((n, width, n), dtype=bool)
+    for k, moves_of in enumerate(nfa.moves):
+        for allowed, target in moves_of:
+            step[k, [c for c, byte in enumerate(sample) if byte in allowed]] |= reach[target]
+    step, again = np.packbits(step, axis=2), np.packbits(reach[root]) if unanchored else np.zeros(-(-n // 8), dtype=np.uint8)
+    first = np.packbits(reach[root])
+    number, order, rows, subsets = {first.tobytes(): 0}, [first], [], []
+    for bits in order:
+        subsets.append(np.flatnonzero(np.unpackbits(bits)))
+        targets = np.bitwise_or.reduce(step[subsets[-1]], axis=0, initial=0) | again
         row = []
-        for byte in sample:
-            reached = {t for s in subset for allowed, t in nfa.moves[s] if byte in allowed}
-            target = nfa.closure(reached | ({root} if unanchored else set()))
-            if target not in number:
-                number[target] = len(order)
+        for target in targets:
+            key = target.tobytes()
+            if key not in number:
+                number[key] = len(order)
                 order.append(target)
-            row.append(number[target])
+            row.append(number[key])
         rows.append(row)
-    tags = [tuple(sorted({ends[s] for s in subset if s in ends})) for subset in order]
+    tags = [tuple(sorted({ends[s] for s in subset.tolist() if s in ends})) for subset in subsets]
     moves = np.array(rows)
     # Minimisation: refine the partition by tags until no two states of a block lead to different blocks.
     kinds = {t: k for k, t in enumerate(sorted(set(tags)))}
     block, count = np.array([kinds[t] for t in tags]), len(kinds)
     while True:
-        _, refined = np.unique(np.column_stack([block, block[moves]]), axis=0, return_inverse=True)
-        refined = refined.ravel()
+        whole = np.ascontiguousarray(np.column_stack([block, block[moves]]).astype(np.int32))
+        _, refined = np.unique(whole.view(f"V{whole.itemsize * whole.shape[1]}").ravel(), return_inverse=True)
         if refined.max() + 1 == count:
             break
         block, count = refined, refined.max() + 1

@@ -1,7 +1,7 @@
 """Operator 1: secret scans by one combined deterministic automaton.
 
-All rules become one minimal automaton whose transition array is walked once over a text's bytes. A hit gives the rule and
-an end. Whether a match that ends there began behind the rule's last one, the rule's own automaton tells, which goes on from where
+All rules become one minimal automaton whose transition array is walked once over a text's bytes; the lines of a batch, which no match
+spans, are walked side by side. A hit gives the rule and an end. Whether a match that ends there began behind the rule's last one, the rule's own automaton tells, which goes on from where
 it stood at the hit before; then the mirrored automaton walks back to the leftmost start and another on to the longest end. Matches
 of a rule are leftmost and don't overlap; those that fail the rule's check (a length, measured behind the rule's head by
 an automaton too) are dropped after they were taken. No byte is walked more than a few times, so time follows a text's length
@@ -14,7 +14,7 @@ overlap. Repeated rows are scanned each on its own; other columns are left alone
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -64,11 +64,11 @@ class Scanner:
         self.backward = [compile_dfa([mirrored(n)], unanchored=False) for n in nodes]
         self.head = [compile_dfa([h], unanchored=False) if r.head or r.insensitive else None for h, r in zip(heads, rules, strict=True)]
 
-    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
+    def spans(self, data: bytes, hits: Iterable[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
         """(start, rule number, end) in bytes, sorted, after the rules' checks."""
         taken, found = [0] * len(self.rules), []
         at, state = [0] * len(self.rules), [d.start for d in self.own]  # where each rule's own automaton stands, begun at `taken`
-        for end, hit in self.combined.hits(data):
+        for end, hit in self.combined.hits(data) if hits is None else hits:
             for k in self.combined.tags[hit]:
                 if end <= taken[k]:
                     continue
@@ -86,8 +86,14 @@ class Scanner:
 
     def text_spans(self, text: str | None) -> list[tuple[int, str, int]]:
         """(start, kind, end) in code points."""
-        data = utf8(text)
-        found = self.spans(data)
+        return self.batch_spans([text])[0]
+
+    def batch_spans(self, texts: list) -> list[list[tuple[int, str, int]]]:
+        """The same of many texts, walked together."""
+        held = [utf8(t) for t in texts]
+        return [self._in_points(d, self.spans(d, h)) for d, h in zip(held, self.combined.hits_of(held), strict=True)]
+
+    def _in_points(self, data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
         if not found:
             return []
         if data.isascii():
@@ -109,7 +115,7 @@ def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     engine = scanner(rules)
 
     def run(ids: list, texts: list) -> dict:
-        return {"doc_id": ids, "spans": [[{"kind": k, "start": s, "end": e} for s, k, e in engine.text_spans(t)] for t in texts]}
+        return {"doc_id": ids, "spans": [[{"kind": k, "start": s, "end": e} for s, k, e in spans] for spans in engine.batch_spans(texts)]}
 
     return map_texts(df, _typed(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
@@ -130,8 +136,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows and columns; in `text`, each stretch that spans cover becomes [SECRET]. A null text stays null."""
     engine = scanner(rules)
 
-    def clean(text: str | None) -> str | None:
-        spans = engine.text_spans(text)
+    def clean(text: str | None, spans: list[tuple[int, str, int]]) -> str | None:
         if not spans:
             return text
         parts, done = [], 0
@@ -143,7 +148,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             done = end
         return "".join([*parts, text[done:]])
 
-    return replace_text(df, lambda texts: [clean(t) for t in texts])
+    return replace_text(df, lambda texts: list(map(clean, texts, engine.batch_spans(texts))))
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

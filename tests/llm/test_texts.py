@@ -45,6 +45,18 @@ def test_base_spans_equal_regexes(text):
     assert base_of(text) == base_spans(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(pieces, max_size=14).map("".join)), max_size=6), st.sampled_from([3, 20, 2048]))
+def test_texts_walked_together_have_the_same_hits(texts, long):
+    old, A._LONG_LINE = A._LONG_LINE, long
+    try:
+        held, dfa = [(t or "").encode() for t in texts], scanner().combined
+        assert [list(h) for h in dfa.hits_of(held)] == [list(dfa.hits(t)) for t in held]
+        assert [[x for x in spans if x[1] in ("assign", "access", "hex")] for spans in scanner().batch_spans(texts)] == [base_spans(t) for t in texts]
+    finally:
+        A._LONG_LINE = old
+
+
 def test_a_failing_match_is_taken_before_it_is_dropped():
     assert base_of("token:token : abcdef") == [] and base_of("token=token=abcdef") == [(0, "assign", 18)]
 
