@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilune.functions.units import J2000_UNIX, unix_to_j2000
@@ -143,25 +143,31 @@ def _orientation(unix: Column, dut1: float) -> list[tuple]:
     node, sun, moon = (F.radians(a + t * b) for a, b in ((125.04452, -1934.136261), (280.4665, 36000.7698), (218.3165, 481267.8813)))
     along = (-17.20 * F.sin(node) - 1.32 * F.sin(2 * sun) - 0.23 * F.sin(2 * moon) + 0.21 * F.sin(2 * node)) * ARC_SECOND
     across = (9.20 * F.cos(node) + 0.57 * F.cos(2 * sun) + 0.10 * F.cos(2 * moon) - 0.09 * F.cos(2 * node)) * ARC_SECOND
-    u = (unix.cast("double") - J2000_UNIX + dut1) / (86400.0 * 36525)
-    # A day's seconds are taken apart first, so that whole turns don't cost digits.
-    turns = ((unix.cast("double") - J2000_UNIX + dut1) / 86400.0) % 1.0
-    sidereal = (67310.54841 + u * (8640184.812866 + u * (0.093104 - u * 6.2e-6))) / 86400.0 + turns
+    days = (unix.cast("double") - J2000_UNIX + dut1) / 86400.0
+    u = days / 36525
+    # Whole turns are taken off first, so that they don't cost digits.
+    sidereal = (67310.54841 + u * (8640184.812866 + u * (0.093104 - u * 6.2e-6))) / 86400.0 + days % 1.0
     angle = (sidereal % 1.0) * 6.283185307179586 + along * F.cos(tilt + across)
     return [(rotate_z, -zeta), (rotate_y, theta), (rotate_z, -z), (rotate_x, tilt), (rotate_z, -along), (rotate_x, -(tilt + across)), (rotate_z, angle)]
 
 
-def inertial_to_earth(v: Triple, unix: Column, dut1: float = 0.0) -> Triple:
-    """From J2000 to the Earth-fixed frame at a Unix time, within about an arc second: polar motion and small terms of nutation are left out. dut1: UT1 - UTC in seconds."""
-    for turn, angle in _orientation(unix, dut1):
-        v = turn(v, angle)
-    return v
+def _turned(df: DataFrame, position: list[str], unix: Column, dut1: float, back: bool) -> DataFrame:
+    """Angles are columns first, and each rotation is a step of its own: nested in one expression, every rotation would double its size."""
+    turns = _orientation(unix, dut1)
+    df = df.withColumns({f"_turn{k}": -angle if back else angle for k, (_, angle) in enumerate(turns)})
+    for k in range(len(turns))[:: -1 if back else 1]:
+        v = turns[k][0](tuple(F.col(c) for c in position), F.col(f"_turn{k}"))
+        df = df.withColumns(dict(zip(position, v, strict=True)))
+    return df.drop(*(f"_turn{k}" for k in range(len(turns))))
 
 
-def earth_to_inertial(v: Triple, unix: Column, dut1: float = 0.0) -> Triple:
-    for turn, angle in reversed(_orientation(unix, dut1)):
-        v = turn(v, -angle)
-    return v
+def inertial_to_earth(df: DataFrame, position: list[str], unix: Column, dut1: float = 0.0) -> DataFrame:
+    """Three columns from J2000 to the Earth-fixed frame at a Unix time, within about an arc second: polar motion and small terms of nutation are left out. dut1: UT1 - UTC in seconds."""
+    return _turned(df, position, unix, dut1, False)
+
+
+def earth_to_inertial(df: DataFrame, position: list[str], unix: Column, dut1: float = 0.0) -> DataFrame:
+    return _turned(df, position, unix, dut1, True)
 
 
 def geodetic_to_ecef(lon: Column, lat: Column, altitude) -> Triple:

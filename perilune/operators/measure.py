@@ -21,11 +21,12 @@ def landmark_measurements(frames: DataFrame, catalogue: DataFrame, cameras: Data
     rows = rows.join(catalogue, ["region_id", "class_id"]).join(cameras, "cam_id")
     f = (F.col("fx") + F.col("fy")) / 2
     bearing = nav.rotate(nav.pixel_bearing(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy")), [F.col("r")[k] for k in range(9)])
-    eci = nav.earth_to_inertial(nav.geodetic_to_ecef(F.radians("lon_deg"), F.radians("lat_deg"), F.lit(0.0)), F.col("timestamp_ms") / 1000.0)
+    place = nav.geodetic_to_ecef(F.radians("lon_deg"), F.radians("lat_deg"), F.lit(0.0))
+    rows = nav.earth_to_inertial(rows.withColumns({f"eci_{a}_km": c for a, c in zip("xyz", place, strict=True)}), [f"eci_{a}_km" for a in "xyz"], F.col("timestamp_ms") / 1000.0)
     order = Window.partitionBy("dataset_id").orderBy("timestamp_ms", "cam_id")
     spread = F.lit(sigma) if sigma is not None else F.least("height", "width") / (6 * f)
     return rows.select(
-        "dataset_id", "timestamp_ms", *(c.alias(f"bearing_{a}") for a, c in zip("xyz", bearing, strict=True)), *(c.alias(f"eci_{a}_km") for a, c in zip("xyz", eci, strict=True)),
+        "dataset_id", "timestamp_ms", *(c.alias(f"bearing_{a}") for a, c in zip("xyz", bearing, strict=True)), *(f"eci_{a}_km" for a in "xyz"),
         (F.dense_rank().over(order) - 1).cast("int").alias("group"), spread.alias("sigma"), "place",
     )
 

@@ -64,11 +64,11 @@ def test_epoch_models_differ_by_leap_seconds(spark):
 
 def test_earth_orientation(spark):
     """A published example of the full reduction (2004-04-06 07:51:28.386 UTC, UT1 - UTC -0.44 s): within 60 m of 10,000 km; and back again."""
-    unix = lits(1081237888.386009)[0]
-    fixed = nav.inertial_to_earth(lits(5102.508958, 6123.011401, 6378.136928), unix, -0.4399619)
-    assert list(one(spark, *fixed)) == pytest.approx([-1033.4793830, 7901.2952754, 6380.3565958], abs=0.06)
-    back = nav.earth_to_inertial(fixed, unix, -0.4399619)
-    assert list(one(spark, *back)) == pytest.approx([5102.508958, 6123.011401, 6378.136928], abs=1e-8)
+    df = spark.createDataFrame([(5102.508958, 6123.011401, 6378.136928, 1081237888.386009)], "x double, y double, z double, unix double")
+    fixed = nav.inertial_to_earth(df, ["x", "y", "z"], F.col("unix"), -0.4399619)
+    assert list(fixed.first())[:3] == pytest.approx([-1033.4793830, 7901.2952754, 6380.3565958], abs=0.06)
+    back = nav.earth_to_inertial(fixed, ["x", "y", "z"], F.col("unix"), -0.4399619)
+    assert list(back.first()) == pytest.approx([5102.508958, 6123.011401, 6378.136928, 1081237888.386009], abs=1e-8)
 
 
 def test_geodetic_round_trip(spark):
