@@ -40,6 +40,11 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies spell each byte."""
+    return [chr(_BYTE_LETTERS.get(k, k)) for k in range(256)]
+
+
 class WordEncoder:
     """ids of whole texts from those of their words: the tokenizer drops white space and no token spans it.
 

@@ -12,6 +12,7 @@ from perilune.llm import op7_quality_classifier as o7
 from perilune.llm import op8_mixing as o8
 from perilune.llm import op9_lm_scoring as o9
 from perilune.llm import op10_topk as o10
+from perilune.llm import op11_alignment as o11
 
 QUERIES = {
     "op1_secret_scans": o1.op1_secret_scans,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing": o8.op8_mixing,
     "op9_lm_scoring": o9.op9_lm_scoring,
     "op10_topk": o10.op10_topk,
+    "op11_alignment": o11.op11_alignment,
 }
-ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o9, o10), strict=True) if m.SQL}
+ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o9, o10, o11), strict=True) if m.SQL}
