@@ -13,6 +13,7 @@ from perilune.llm import op8_mixing as o8
 from perilune.llm import op9_lm_scoring as o9
 from perilune.llm import op10_topk as o10
 from perilune.llm import op11_alignment as o11
+from perilune.llm import op12_near_vectors as o12
 from perilune.llm import op13_divergence as o13
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lm_scoring": o9.op9_lm_scoring,
     "op10_topk": o10.op10_topk,
     "op11_alignment": o11.op11_alignment,
+    "op12_near_vectors": o12.op12_near_vectors,
     "op13_divergence": o13.op13_divergence,
 }
-ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o9, o10, o11, o13), strict=True) if m.SQL}
+ORACLE_SQL = {k: m.SQL for k, m in zip(QUERIES, (o1, o2, o3, o4, o5, o6, o7, o8, o9, o10, o11, o12, o13), strict=True) if m.SQL}
