@@ -31,6 +31,7 @@ from perilune.llm.components import components
 from perilune.llm.topk import matrix
 
 _SLACK = 1e-9
+_BLOCK = 256  # rows of the sample that are compared with the others at once
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class Near:
     cosine: float = 0.93
     recall: float = 0.999  # share of neighbours at the very limit that the traversal must reach
     sample: int = 8192  # classes, about, that the codebooks are fitted on
-    cell: int = 64  # classes that a cell has on average, where codebooks are not at their largest
+    cell: int = 512  # classes that a cell has on average, where codebooks are not at their largest
     most: int = 256  # entries of a codebook at most
     block: int = 1024
     seed: int = 5
@@ -57,10 +58,6 @@ class Grid:
         half = self.width // 2
         return [np.maximum(0, (y * y).sum(1)[:, None] - 2 * y @ c.T + (c * c).sum(1)) for y, c in ((x[:, :half], self.books[0]), (x[:, half:], self.books[1]))]
 
-    def own(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.distances(x)
-        return a.argmin(1) * len(self.books[1]) + b.argmin(1)
-
     def asked(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each vector's own cell, and the cells from it on that the traversal reaches, nearest first."""
         a, b = self.distances(x)
@@ -128,28 +125,26 @@ def fitted(vectors: np.ndarray, labels: np.ndarray, entries: int, near: Near) ->
     other -= (other * base).sum(1, keepdims=True) * base
     length = np.sqrt((other * other).sum(1, keepdims=True))
     other = near.cosine * base + np.sqrt(1 - near.cosine**2) * np.divide(other, length, out=np.zeros_like(other), where=length > 0)
-    needed = [np.quantile(_needed(grid, base, other), near.recall)]
-    # Pairs of the sample itself, of which one row's links are one case: the farthest that a row needs.
+    n = len(base)
+    needed = [np.quantile(_needed(grid, np.concatenate([base, other]), np.arange(n), np.arange(n, 2 * n)), near.recall)]
+    # Pairs of the sample itself, block by block: what the farthest needs.
     for label in np.unique(labels):
         y = x[labels == label]
-        for k in range(0, len(y), near.block):
-            linked = y[k : k + near.block] @ y.T >= near.cosine
-            linked &= np.arange(len(y))[None, :] > np.arange(k, min(k + near.block, len(y)))[:, None]
-            i, j = np.nonzero(linked)
+        for k in range(0, len(y), _BLOCK):
+            i, j = np.nonzero(np.triu(y[k : k + _BLOCK] @ y[k:].T >= near.cosine, 1))
             if len(i):
-                needed.append(_needed(grid, y[i + k], y[j]).max())
+                needed.append(_needed(grid, y[k:], i, j).max())
     grid.limit = float(max(needed)) + _SLACK
     return grid
 
 
-def _needed(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How far beyond its nearest cell the lower-numbered of two vectors must ask to reach the other's cell."""
-    cx, cy = grid.own(x), grid.own(y)
-    asker, cell = np.where((cx <= cy)[:, None], x, y), np.maximum(cx, cy)
-    a, b = grid.distances(asker)
-    i, j = np.divmod(cell, len(grid.books[1]))
-    rows = np.arange(len(x))
-    return a[rows, i] - a.min(1) + b[rows, j] - b.min(1)
+def _needed(grid: Grid, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far beyond its nearest cell the lower-numbered of each pair must ask to reach the other's cell."""
+    a, b = grid.distances(x)
+    own = a.argmin(1) * b.shape[1] + b.argmin(1)
+    away = (a - a.min(1, keepdims=True)), (b - b.min(1, keepdims=True))
+    asker, cell = np.where(own[i] <= own[j], i, j), np.maximum(own[i], own[j])
+    return away[0][asker, cell // b.shape[1]] + away[1][asker, cell % b.shape[1]]
 
 
 def taking_part(vector: Column) -> Column:
