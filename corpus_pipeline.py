@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from perilune.llm import classifier, jaccard_join, mixing, secrets
-from perilune.llm.common import staged, table
+from perilune.llm.common import dropped, staged, staging, table
 from perilune.llm.op5_packing import packed_digest
 
 
@@ -48,10 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each but the last is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages; each but the last is written as Parquet and read again. What a stage has staged, its input too, goes as soon as its output is written."""
+    docs, mark = table(spark, sf_dir, "documents"), staging()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = staged(docs)
+            dropped(spark, mark)
     return docs

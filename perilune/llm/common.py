@@ -51,6 +51,23 @@ def cleaned(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_STAGED: list[str] = []
+
+
+def staging() -> int:
+    """How many tables have been staged so far: a mark for `dropped`."""
+    return len(_STAGED)
+
+
+def dropped(spark: SparkSession, since: int, but: int = 1) -> None:
+    """Removes what has been staged since a mark, except the last `but` tables."""
+    gone = _STAGED[since : len(_STAGED) - but]
+    del _STAGED[since : len(_STAGED) - but]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. batch: rows of an Arrow batch meanwhile."""
     spark = df.sparkSession
@@ -60,6 +77,7 @@ def staged(df: DataFrame, batch: int | None = None) -> DataFrame:
         if batch:
             spark.conf.set(_BATCH, str(batch))
         df.write.option("compression", "zstd").parquet(path)
+        _STAGED.append(path)
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -455,9 +455,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest, with all columns; of rows that repeat a doc_id one stays. Rows with a null doc_id stay."""
     found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns)
-    least = [F.col(c) for c in docs.columns if c != "doc_id"]
+    # Rows travel as one value, so that their columns may have any name and type.
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.where("doc_id is not null").join(found, "doc_id", "left_semi")
     twice = staged(kept.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*least))).where("_r = 1").select(*docs.columns)
-    return single.unionByName(again).unionByName(docs.where("doc_id is null"))
+    single = kept.join(twice, "doc_id", "left_anti").select("row")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.to_json("row")))
+    again = kept.join(twice, "doc_id", "left_semi").select("row", first.alias("place")).where("place = 1").select("row")
+    return single.unionByName(again).unionByName(rows.where("doc_id is null").select("row")).select("row.*")

@@ -13,7 +13,8 @@ stretches of each source's permuted units, and rows are shuffled inside their sh
 Null texts have no words; documents without words are taken with their block and add nothing. Null sources are one source.
 Repeated rows, in one source or in several, are rows of their own: those of one source share a block, and of equal ones that only
 partly fit, as many as fit are taken. Null doc_ids count as one doc_id. A source without words has target 0. A very long
-text is taken or left whole, so a source misses its target by half of one document at most. Other columns pass through.
+text is taken or left whole: one that doesn't fit is passed over, and a source misses its target by half of the shortest document left
+among `fill` around it at most, and by less where shorter ones fill the gap. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ class Mix:
     depth: int | None = None  # of the tree; None: so that a shard has about 16 units, at most 2^12 shards
     block_rows: int = 256
     most_blocks: int = 4096  # of a source; blocks only set how finely shards are mixed, so more rows make larger blocks
+    fill: int = 256  # groups of equal rows around the first that doesn't fit, among which a part block fills what is left
     seed: int = 17
 
 
@@ -108,13 +110,34 @@ def split_quotas(quotas: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.inline("q")).select("k", "shard", "quota")
 
 
+def _filled(groups: Column, gap: Column) -> Column:
+    """Of an array of (r, place, many) those taken into a gap: (place, many, some). One after the other as often as it fits; then one of the shortest that is left, if that comes nearer."""
+    kind = "struct<gap:bigint,least:bigint,at:int,some:array<bigint>>"
+    size = lambda g: g["place"]["size"]
+
+    def step(a: Column, g: Column) -> Column:
+        fit = F.when(size(g) > 0, F.least(g["many"], F.floor(a["gap"] / size(g)))).otherwise(g["many"]).cast("long")
+        short = (fit < g["many"]) & (a["least"].isNull() | (size(g) < a["least"]))
+        rest = (a["gap"] - fit * size(g)).alias("gap"), F.when(short, size(g)).otherwise(a["least"]).alias("least")
+        return F.struct(*rest, F.when(short, F.size(a["some"])).otherwise(a["at"]).alias("at"), F.concat(a["some"], F.array(fit)).alias("some")).cast(kind)
+
+    start = F.struct(F.floor(gap).cast("long").alias("gap"), F.lit(None).cast("long").alias("least"), F.lit(-1).alias("at"), F.array().cast("array<bigint>").alias("some")).cast(kind)
+    last = lambda a, i: F.when((i == a["at"]) & (2 * a["gap"] > a["least"]), 1).otherwise(0)
+    some = F.aggregate(groups, start, step, lambda a: F.transform(a["some"], lambda x, i: x + last(a, i)))
+    taken = F.zip_with(groups, some, lambda g, x: F.struct(g["place"].alias("place"), g["many"].alias("many"), x.cast("long").alias("some")))
+    return F.filter(taken, lambda t: t["some"] > 0)
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target, copies: array of (copy, shard), and every further column of docs but those names."""
     seed = F.lit(mix.seed)
     names = ("size", "source_size", "target", "copies")
     rest = [c for c in docs.columns if c not in ("doc_id", "source", *names)]
     # Further columns travel as one, so that their names can't clash with those used here.
-    docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*rest, F.lit(0).alias("_end")).alias("_rest"))
+    end = "_end"
+    while end.lower() in (c.lower() for c in rest):
+        end += "_"
+    docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias(end)).alias("_rest"))
     sizes = staged(docs.select("doc_id", "source", "size"))
     sources = staged(
         source_targets(sizes, mix).select(
@@ -143,28 +166,37 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     units = blocks.where("units > 0").select("k", "block", F.explode(F.sequence(F.lit(1).cast("long"), "units")).alias("copy"))
     rank = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(seed, F.lit(2), "k", "block", "copy"), "block", "copy")).cast("long").alias("rank")
     dealt = units.select("k", "block", "copy", rank).join(slots, ["k", "rank"]).groupBy("k", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
-    # In a block taken in part, documents in a hashed order are taken while more than half of each still fits; equal rows count as one group, of which `some` are taken.
+    # In a block taken in part, documents in a hashed order are taken while they fit. Around the first that doesn't, the longest that fit
+    # are taken, then shorter ones, and at last the shortest if that misses the target by less than leaving it out. Equal rows count
+    # as one group, of which `some` are taken.
     place = F.struct(F.xxhash64(seed, F.lit(3), "doc_id").alias("h"), F.col("doc_id"), F.col("size"))
     part = placed.join(blocks.where("state = 'part'").select("k", "block", "left"), ["k", "block"]).groupBy("k", "block", "left", place.alias("place")).agg(F.count("*").alias("many"))
-    words = F.col("many") * F.col("place.size")
-    before = F.sum(words).over(Window.partitionBy("k", "block").orderBy("place")) - words
-    fit = F.when(F.col("place.size") > 0, F.floor((F.col("left") - before) / F.col("place.size") + 0.5)).otherwise(F.when(before <= F.col("left"), F.col("many")).otherwise(0))
-    cuts = part.withColumn("some", F.greatest(F.lit(0), fit).cast("long")).where("some < many").groupBy("k", "block").agg(F.min(F.struct("place", "some")).alias("cut"))
+    order = Window.partitionBy("k", "block").orderBy("place")
+    part = part.withColumn("upto", F.sum(F.col("many") * F.col("place.size")).over(order)).withColumn("r", F.row_number().over(order))
+    full = F.min(F.when(F.col("upto") > F.col("left"), F.col("r"))).over(Window.partitionBy("k", "block"))
+    beyond = part.withColumn("full", full).where(F.abs(F.col("r") - F.col("full") + 0.5) < mix.fill / 2)
+    beyond = beyond.withColumn("gap", F.col("left") - F.col("upto") + F.col("many") * F.col("place.size"))
+    longest = F.struct((-F.col("place.size")).alias("o"), "r", "place", "many")
+    cuts = beyond.groupBy("k", "block").agg(F.min("place").alias("cut"), F.min_by("gap", "r").alias("gap"), F.array_sort(F.collect_list(longest)).alias("next"))
+    cuts = cuts.select("k", "block", "cut", _filled(F.col("next"), F.col("gap")).alias("more"))
     plan = blocks.join(dealt, ["k", "block"], "left").join(cuts, ["k", "block"], "left")
-    plan = staged(plan.select("k", "block", "units", F.coalesce("dealt", F.array().cast("array<struct<copy:bigint,shard:bigint>>")).alias("dealt"), F.col("cut.place").alias("cut"), F.coalesce("cut.some", F.lit(0)).alias("some")))
+    whole = lambda c, df: F.coalesce(c, F.array().cast(dict(df.dtypes)[c])).alias(c)
+    plan = staged(plan.select("k", "block", "units", whole("dealt", dealt), "cut", whole("more", cuts)))
     released(docs.sparkSession)
     rows = join(docs, "k", "n_blocks", "source_size", "target").withColumn("block", block).withColumn("place", place)
     rows = rows.join(plan, ["k", "block"])
-    tied = F.coalesce((F.col("place") == F.col("cut")) & (F.col("some") > 0), F.lit(False))
-    dropped = F.coalesce(F.col("place") >= F.col("cut"), F.lit(False))
-    if plan.where("some > 0").limit(1).count():
+    own = F.filter("more", lambda m: m["place"] == F.col("place"))
+    rows = rows.withColumn("some", F.when(F.size(own) > 0, own[0]["some"])).withColumn("many", F.when(F.size(own) > 0, own[0]["many"]))
+    beyond = F.coalesce(F.col("place") >= F.col("cut"), F.lit(False))
+    tied = F.coalesce(F.col("some") < F.col("many"), F.lit(False))
+    if plan.where(F.exists("more", lambda m: m["some"] < m["many"])).limit(1).count():
         # Equal rows of which only some are taken: those whose texts come first.
         text = F.col("_rest.text") if "text" in rest else F.lit("")
-        number = F.row_number().over(Window.partitionBy("k", "block").orderBy(text))
-        lone = rows.where(~tied).withColumn("dropped", dropped)
+        number = F.row_number().over(Window.partitionBy("k", "block", "place").orderBy(text))
+        lone = rows.where(~tied).withColumn("dropped", beyond & F.col("some").isNull())
         rows = lone.unionByName(rows.where(tied).withColumn("dropped", number > F.col("some")))
     else:
-        rows = rows.withColumn("dropped", dropped)
+        rows = rows.withColumn("dropped", beyond & F.col("some").isNull())
     copies = F.filter("dealt", lambda c: (c["copy"] < F.col("units")) | ~F.col("dropped"))
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "source", *(F.col("_rest")[c].alias(c) for c in rest))
 

@@ -3,7 +3,7 @@
 Per text: base counts (characters in words, symbols, lines seen before, words in repeated 3-word windows), and from the intervals of
 common prefixes of a suffix array over its words the maximal repeats of at least `min_repeat` words: the union of their spans
 and the longest of them. A text is kept if it has `min_words` words, at most half of them in repeated 3-word windows, at most
-`max_covered` of them in maximal repeats, no repeat longer than `max_longest` of it, and at most `max_symbols` symbols for each word.
+`max_covered` of them in maximal repeats, and no repeat longer than `max_longest` of it. `many_symbols` tells of more than `max_symbols` symbols for each word, and decides nothing.
 A line that is said twice is no fault of a short text: repeats of up to `short_longest` words that cover up to `short_covered` pass.
 
 Texts are measured in groups of about `_GROUP` words, so memory follows the longest text, not the batch; whole texts count, however long.
@@ -45,9 +45,9 @@ class Limits:
 
 COLUMNS = {
     "doc_id": pa.int64(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(),
-    "base_failed": pa.bool_(), "kept": pa.bool_(), "n_covered_words": pa.int64(), "longest_repeat": pa.int64(),
+    "base_failed": pa.bool_(), "kept": pa.bool_(), "n_covered_words": pa.int64(), "longest_repeat": pa.int64(), "many_symbols": pa.bool_(),
 }
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long, many_symbols boolean"
 
 
 def measure(texts: list, limits: Limits = Limits()) -> dict[str, np.ndarray]:
@@ -92,10 +92,10 @@ def _measure(texts: list, limits: Limits) -> dict[str, np.ndarray]:
     np.maximum.at(most, doc, repeats)
     symbols = np.array(symbols, dtype=np.int64)
     failed = (n_words < limits.min_words) | (repeat_words > limits.max_repeat_words * n_words)
-    kept = ~failed & (cover <= np.maximum(limits.max_covered * n_words, limits.short_covered)) & (most <= np.maximum(limits.max_longest * n_words, limits.short_longest)) & (symbols <= limits.max_symbols * n_words)
+    kept = ~failed & (cover <= np.maximum(limits.max_covered * n_words, limits.short_covered)) & (most <= np.maximum(limits.max_longest * n_words, limits.short_longest))
     return {
         "n_words": n_words, "word_chars": np.array(chars, dtype=np.int64), "n_symbols": symbols, "n_dup_lines": np.array(dup_lines, dtype=np.int64), "n_repeat_words": repeat_words,
-        "base_failed": failed, "kept": kept, "n_covered_words": cover, "longest_repeat": most,
+        "base_failed": failed, "kept": kept, "n_covered_words": cover, "longest_repeat": most, "many_symbols": symbols > limits.max_symbols * n_words,
     }
 
 

@@ -10,8 +10,8 @@ import pytest
 
 from perilune.llm import alignment as A
 from perilune.llm.op11_alignment import op11_alignment
-from tests.conftest import DATA
-from tests.llm.helpers import documents, empty
+from conftest import DATA
+from llm.helpers import documents, empty
 
 HOW = A.default_vocabularies()
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from perilune.llm.divergence import Audit, audit_sources, columns_of, distinct_columns, divergence, probability, term_counts
 from perilune.llm.op13_divergence import SQL, op13_divergence
-from tests.conftest import agree
-from tests.llm.helpers import documents, empty, lower
+from conftest import agree
+from llm.helpers import documents, empty, lower
 
 
 def brute(rows, audit):

@@ -10,10 +10,12 @@ import zlib
 import numpy as np
 import pytest
 from conftest import agree
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from llm.helpers import WORD, documents, empty, lower, odd_documents
 
+from pyspark.sql import functions as F
+
 from perilune.llm import chat, jaccard_join, mixing, packing, queries, topk, warc
 from perilune.llm.components import components
 from perilune.llm.op5_packing import packed_digest
@@ -413,6 +415,46 @@ def test_hypergeometric_quantiles(spark):
     assert got == [int(np.searchsorted(cdf, u)) for u in us]
 
 
+def test_sources_fill_their_targets(spark):
+    """Past long documents: each source is within a tenth of its target or half of its shortest document; on the table, and with one huge document that never fits."""
+    tables = [spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "text")]
+    rows = [(i, f"s{i % 4}", "w " * n) for i, n in enumerate([9000, 100, 150, 50] + [300 + 7 * i % 90 for i in range(40)])]
+    tables.append(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    for docs in tables:
+        of = {}
+        for r in mixing.mix_sources(docs).collect():
+            of.setdefault(r.source, []).append((r["size"], r["size"] * len(r.copies), r.target))
+        for held in of.values():
+            taken, target, shortest = sum(t for _, t, _ in held), held[0][2], min(n for n, _, _ in held if n)
+            assert abs(taken - target) <= max(target / 10, shortest / 2), (taken, target, sorted(n for n, _, _ in held))
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 4)), min_size=1, max_size=12), st.integers(0, 90))
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+def test_gaps_are_filled_as_a_loop_does(spark, groups, gap):
+    rows = [(k, {"size": n}, many) for k, (n, many) in enumerate(groups)]
+    df = spark.createDataFrame([(rows, float(gap) + 0.25)], "next array<struct<r:int,place:struct<size:bigint>,many:bigint>>, gap double")
+    got = [(t["place"]["size"], t["many"], t["some"]) for t in df.select(mixing._filled(F.col("next"), F.col("gap")).alias("x")).first().x]
+    left, some, short = gap, [], None
+    for k, (n, many) in enumerate(groups):
+        some.append(min(many, left // n) if n else many)
+        left -= some[-1] * n
+        if some[-1] < many and (short is None or n < groups[short][0]):
+            short = k
+    if short is not None and 2 * left > groups[short][0]:
+        some[short] += 1
+    assert got == [(n, many, x) for (n, many), x in zip(groups, some, strict=True) if x]
+
+
+def test_columns_of_any_name_and_type_stay(spark):
+    docs = documents(spark).select("*", F.lit(7).alias("_r"), F.lit(8).alias("_end"), F.lit(9).alias("a.b"), F.create_map(F.lit("x"), F.lit(1)).alias("m"), F.lit(3).alias("row"), F.lit(4).alias("place"))
+    docs = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys(docs.columns) if c not in ("row",)))
+    for out in (jaccard_join.keep_one(docs), mixing.mixed_documents(docs)):
+        assert out.columns == docs.columns
+        assert {(r["_r"], r["_end"], r["a.b"], r["m"]["x"], r["place"]) for r in out.collect()} == {(7, 8, 9, 1, 4)}
+    assert {"a.b", "_end", "m"} <= set(mixing.mix_sources(docs).columns)
+
+
 def test_mixing_of_odd_rows(spark):
     rows = mixing.mix_sources(documents(spark)).collect()
     assert len(rows) == len(odd_documents()) and all(len(r.copies) <= 2 for r in rows)
