@@ -96,6 +96,40 @@ def counter_delta_load(spark: SparkSession, d: str) -> DataFrame:
     return S.counter_load(rows, "user_id", ["us", "event_id"], "idle", "total").select("event_id", "load")
 
 
+@register("long_series_groups", f"""with {_EV}, s as (select *, lag(user_id) over w is distinct from user_id or row_number() over w = 1 as starts
+  from ev window w as (partition by event_type order by us, event_id))
+select event_id, starts, cast(sum(cast(starts as int)) over (partition by event_type order by us, event_id rows unbounded preceding) - 1 as bigint) as group_id from s""")
+def long_series_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A few long series, cut into days: the scans of `group_id_from_starts` in two levels."""
+    order = ["us", "event_id"]
+    flagged = S.start_flags(events(spark, d), "event_type", order, "user_id", width=DAY)
+    return S.group_ids(flagged, "event_type", order, width=DAY).select("event_id", "starts", "group_id")
+
+
+@register("long_series_violations", f"""with {_EV}, s as (select event_type, lag(v) over w > v as bad, row_number() over w - 1 as pos
+  from ev window w as (partition by event_type order by us, event_id))
+select event_type, count(*) filter (bad) as violations, cast(min(pos) filter (bad) as bigint) as first_violation from s group by 1""")
+def long_series_violations(spark: SparkSession, d: str) -> DataFrame:
+    return S.violations(events(spark, d), "event_type", ["us", "event_id"], "v", width=DAY)
+
+
+@register("long_series_load", f"""with {_EV}, c as (select event_id, event_type, us, user_id * 7 + us // 1000000 as idle, user_id * 11 + us // 500000 as total from ev),
+d as (select event_id, idle - lag(idle) over w as di, total - lag(total) over w as dt from c window w as (partition by event_type order by us, event_id))
+select event_id, cast(coalesce(case when dt > 0 then greatest(0, least(100, trunc((1 - cast(di as double) / cast(dt as double)) * 100))) else 0 end, 0) as integer) as load from d""")
+def long_series_load(spark: SparkSession, d: str) -> DataFrame:
+    us = F.col("us")
+    rows = events(spark, d).withColumns({"idle": F.col("user_id") * 7 + F.floor(us / 1_000_000), "total": F.col("user_id") * 11 + F.floor(us / 500_000)})
+    return S.counter_load(rows, "event_type", ["us", "event_id"], "idle", "total", width=DAY).select("event_id", "load")
+
+
+@register("long_series_stalled", f"""with {_EV}, u as (
+  select *, coalesce(v > max(v) over (partition by event_type order by us, event_id rows between unbounded preceding and 1 preceding), true) as up from ev),
+i as (select *, sum(cast(up as int)) over (partition by event_type order by us, event_id rows unbounded preceding) as island from u)
+select event_id, cast(row_number() over w - 1 as bigint) as stalled, row_number() over w - 1 >= 50 as failed from i window w as (partition by event_type, island order by us, event_id)""")
+def long_series_stalled(spark: SparkSession, d: str) -> DataFrame:
+    return S.stalled(events(spark, d), "event_type", ["us", "event_id"], "v", 50, width=DAY).select("event_id", "stalled", "failed")
+
+
 @register("rolling_stability", f"""with {_EV}, s as (select user_id, row_number() over p - 1 as pos, count(*) over w as n, sum(v) over w as s, sum(v * v) over w as q from ev
   window p as (partition by user_id order by us, event_id), w as (partition by user_id order by us, event_id rows 4 preceding))
 select user_id, cast(min(pos) filter (n = 5 and n * q - s * s < 25 * 4000 * 4000) as bigint) as stable_at from s group by 1""")
@@ -173,7 +207,8 @@ select half, median(t) > 1e9 as is_unix, count(*) as n from k group by 1""")
 def unit_autodetect(spark: SparkSession, d: str) -> DataFrame:
     seconds = F.col("us") / 1_000_000.0
     rows = events(spark, d).select((F.col("user_id") % 2).alias("half"), F.when(F.col("user_id") % 2 == 0, seconds).otherwise(seconds - 946728000.0).alias("t"))
-    return rows.groupBy("half").agg((F.median("t") > 1e9).alias("is_unix"), F.count("*").alias("n"))
+    found = S.medians(rows, "half", "t").select("half", (F.col("median") > 1e9).alias("is_unix"))
+    return rows.groupBy("half").agg(F.count("*").alias("n")).join(found, "half").select("half", "is_unix", "n")
 
 
 @register("priority_dispatch_order", f"""with {_EV}, p as (select *, case event_type when 'error' then 3 when 'purchase' then 2 when 'signup' then 1 else 0 end as priority from ev)

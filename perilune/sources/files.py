@@ -88,3 +88,10 @@ def scratch(spark: SparkSession) -> str:
     if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/perilune-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
