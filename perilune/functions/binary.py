@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,7 @@ def strip_bom(data: Column) -> Column:
     return F.when(F.hex(F.substring(data, 1, 3)) == "EFBBBF", F.substring(data, 4, 1 << 30)).otherwise(data)
 
 
+@cache
 def crc_table(width: int, polynomial: int) -> list[int]:
     """The remainders of all bytes for a CRC of `width` bits (5 to 16), most significant bit first, kept at the top of 16 bits."""
     table = []

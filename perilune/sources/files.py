@@ -22,7 +22,7 @@ class _Written(WriterCommitMessage):
     names: list[str]
 
 
-class _Writer(DataSourceWriter):
+class Writer(DataSourceWriter):
     """A task writes below a folder of its own attempt; the driver moves the files of committed attempts into place, so retried and speculative tasks never meet. What a task that outlives a failed job leaves is below a name that begins with an underscore."""
 
     def __init__(self, path: str, overwrite: bool) -> None:
@@ -72,7 +72,7 @@ class FileSink(DataSource):
         return "name string, content binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"].removeprefix("file://"), overwrite)
+        return Writer(self.options["path"].removeprefix("file://"), overwrite)
 
 
 def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from perilune.functions.text import host_stats
+from perilune.sources.files import Writer
 
 # Fixed values of the formats.
 TLM_MAGIC, PACKET_MAGIC, RECORD, PAYLOAD = b"TLM1", b"DHGEN", 242, 240
@@ -60,21 +61,65 @@ def encode_packets(payloads: list[bytes]) -> bytes:
     return PACKET_MAGIC + b"".join(len(p).to_bytes(2, "big") + p.ljust(PAYLOAD, b"\0") for p in payloads)
 
 
+def _opened(path: str):
+    """A file that can be read at any place, on a local disk or any store that Arrow knows."""
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(path)
+    store, inside = fs.FileSystem.from_uri("file://" + path.removeprefix("file:").removeprefix("//") if path.startswith("file:") else path)
+    return store.open_input_file(inside)
+
+
 class _Files(DataSourceReader):
-    def __init__(self, options: dict, rows) -> None:
-        self.paths, self.rows = [p for p in options.get("path", "").split(",") if p], rows
+    """Files by path, each a task's work."""
+
+    def __init__(self, options: dict) -> None:
+        self.paths = [p for p in options.get("path", "").split(",") if p]
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
+
+class _Logs(_Files):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with _opened(partition.value) as f:
+            for k, (start, n) in enumerate(record_places(f, partition.value)):
+                f.seek(start + 4)
+                yield partition.value, k, _record(f.read(n), partition.value, start)
+
+
+class _Packets(_Files):
+    """Fixed records, so any range of them is a task's work."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.rows = int(options.get("recordsPerPartition", 1 << 16))
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for path in self.paths:
+            with _opened(path) as f:
+                size, framed = f.size(), f.read(len(PACKET_MAGIC)) == PACKET_MAGIC
+            first, step = (len(PACKET_MAGIC), RECORD) if framed else (0, PAYLOAD)
+            n = -(-(size - first) // step)
+            out += [InputPartition((path, framed, k, min(k + self.rows, n))) for k in range(0, n, self.rows)]
+        return out
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        yield from self.rows(partition.value, data)
+        path, framed, k, end = partition.value
+        first, step = (len(PACKET_MAGIC), RECORD) if framed else (0, PAYLOAD)
+        with _opened(path) as f:
+            f.seek(first + step * k)
+            data = f.read(step * (end - k))
+        try:
+            yield from ((path, k + i, p) for i, p in enumerate(decode_packets(PACKET_MAGIC + data if framed else data)))
+        except ValueError as e:
+            raise ValueError(f"{path}, records {k} to {end}: {e}") from None
 
 
 class TelemetrySource(DataSource):
-    """format('tlm'): path, record_id, json. Files are on a disk that all machines see; `read_tlm` reads any Hadoop path."""
+    """format('tlm'): path, record_id, json. A task reads a file; `read_tlm` spreads large files and reads any Hadoop path."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,11 +129,11 @@ class TelemetrySource(DataSource):
         return "path string, record_id int, json string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Files(self.options, lambda path, data: ((path, k, json.dumps(r, sort_keys=True)) for k, r in enumerate(decode_tlm(data))))
+        return _Logs(self.options)
 
 
 class PacketSource(DataSource):
-    """format('fixedpackets'): path, packet_id, payload; and a writer of one file from rows in order of packet_id."""
+    """format('fixedpackets'): path, packet_id, payload, read by ranges of records (recordsPerPartition); and a writer of files by path."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,46 +143,136 @@ class PacketSource(DataSource):
         return "path string, packet_id int, payload binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Files(self.options, lambda path, data: ((path, k, p) for k, p in enumerate(decode_packets(data))))
+        return _Packets(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _PacketWriter(self.options["path"])
+        return _PacketWriter(self.options["path"].removeprefix("file://"), overwrite)
 
 
-class _PacketWriter(DataSourceWriter):
-    """Each task writes part files by path column; a file's rows must be in one partition, in order."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
+class _PacketWriter(Writer):
+    """A file's rows must be in one partition; two partitions with the same file are an error. Files appear when all tasks have ended well, and a failed job leaves none."""
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
-
         held: dict[str, list] = {}
         for r in rows:
-            held.setdefault(r.path, []).append((r.packet_id, bytes(r.payload)))
-        os.makedirs(self.path, exist_ok=True)
-        for name, parts in held.items():
-            with open(os.path.join(self.path, os.path.basename(name)), "wb") as f:
-                f.write(encode_packets([p for _, p in sorted(parts)]))
-        return WriterCommitMessage()
+            held.setdefault(r["path"], []).append((r["packet_id"], bytes(r["payload"])))
+        return super().write({"name": name, "content": encode_packets([p for _, p in sorted(parts)])} for name, parts in held.items())
+
+
+def record_places(f, path: str = "", keep: bool = False) -> Iterator[tuple[int, int]]:
+    """(start, length of the compressed part) of each record of a log, by its chain of lengths; a cut record is an error, or with `keep` the end."""
+    size, at = f.size(), 4
+    f.seek(0)
+    if f.read(4) != TLM_MAGIC:
+        raise ValueError(f"{path}: not a telemetry log")
+    while at < size:
+        f.seek(at)
+        head = f.read(4)
+        n = int.from_bytes(head, "big")
+        if len(head) < 4 or at + 4 + n > size:
+            if keep:
+                return
+            raise ValueError(f"{path}: the record at byte {at} is cut")
+        yield at, n
+        at += 4 + n
+
+
+def _record(data: bytes, path: str, at: int) -> str:
+    try:
+        return json.dumps(json.loads(zlib.decompress(data)), sort_keys=True)
+    except (ValueError, zlib.error) as e:
+        raise ValueError(f"{path}: the record at byte {at} is damaged: {e}") from None
+
 
+def _parts(path: str, f, size: int, keep: bool) -> Iterator[tuple]:
+    """path, start, end, first record, error: stretches of about `size` bytes of whole records; with keep, a last one for what is wrong."""
+    begin, end, first, k = 4, 4, 0, 0
+    try:
+        for at, n in record_places(f, path):
+            if at - begin >= size:
+                yield path, begin, at, first, None
+                begin, first = at, k
+            end, k = at + 4 + n, k + 1
+        yield path, begin, end, first, None
+    except ValueError as e:
+        if not keep:
+            raise
+        yield path, begin, end, first, None
+        yield path, end, end, k, str(e)
+
+
+def read_tlm(spark: SparkSession, path: str, damaged: str = "fail", size: int = 16 << 20) -> DataFrame:
+    """path, record_id, json from logs at any path that Spark reads. A log that is cut, damaged or of another kind is an error that names it.
+
+    One task a log follows the chain of lengths, which tells where records begin whatever their bytes look like; stretches of `size` bytes are
+    then unpacked and parsed by as many tasks. damaged='keep' returns the whole records of such a log instead, and one more row whose
+    `error` says what follows them. Stores that Arrow can't open at a place are read a file at a time. Files without a byte are skipped, as Spark doesn't list them."""
+    import io
 
-def read_tlm(spark: SparkSession, path: str) -> DataFrame:
-    """path, record_id, json from logs at any path that Spark reads; cut or alien logs have no rows."""
     import pyarrow as pa
+    from pyarrow import fs
+
+    if damaged not in ("fail", "keep"):
+        raise ValueError("damaged must be 'fail' or 'keep'")
+    keep = damaged == "keep"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tlm").load(path)
+    kinds = "path string, start long, end long, first long, error string"
+    out = "path string, record_id int, json string, error string"
+
+    def known(name: str) -> bool:
+        try:
+            return bool(fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:")))
+        except (pa.ArrowInvalid, NotImplementedError, OSError):
+            return False
+
+    def table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*rows, strict=True)] or [()] * len(schema), schema, strict=True)], schema=schema)
+
+    places = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("error", pa.string())])
+    records = pa.schema([("path", pa.string()), ("record_id", pa.int32()), ("json", pa.string()), ("error", pa.string())])
+
+    def found(f, name: str, start: int, end: int, first: int, error: str | None) -> Iterator[pa.RecordBatch]:
+        f.seek(start)
+        data, at, rows = f.read(end - start), 0, []
+        try:
+            while at < len(data):
+                n = int.from_bytes(data[at : at + 4], "big")
+                rows.append((name, first + len(rows), _record(data[at + 4 : at + 4 + n], name, start + at), None))
+                at += 4 + n
+        except ValueError as e:
+            if not keep:
+                raise
+            error = str(e)
+        if error:
+            rows.append((name, None, None, error))
+        for k in range(0, len(rows), 4096):
+            yield table(rows[k : k + 4096], records)
+
+    def index(batches):
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with _opened(name) as f:
+                    yield table([*_parts(name, f, size, keep)], places)
+
+    def unpack(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                with _opened(row["path"]) as f:
+                    yield from found(f, row["path"], row["start"], row["end"], row["first"], row["error"])
 
-    def run(batches):
+    def whole(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    found = [json.dumps(r, sort_keys=True) for r in decode_tlm(data)]
-                except (ValueError, zlib.error):
-                    found = []
-                yield pa.RecordBatch.from_pydict({"path": pa.array([name] * len(found), pa.string()), "record_id": pa.array(range(len(found)), pa.int32()), "json": pa.array(found, pa.string())})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tlm").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, record_id int, json string")
+                f = pa.BufferReader(data or b"")
+                for part in _parts(name, f, 1 << 62, keep):
+                    yield from found(io.BytesIO(data or b""), *part)
+
+    first = files.select("path").first()
+    if first is None or known(first[0]):
+        rows = files.select("path").mapInArrow(index, kinds).repartition("path", "start").mapInArrow(unpack, out)
+    else:
+        rows = files.select("path", "content").mapInArrow(whole, out)
+    return rows if keep else rows.drop("error")
 
 
 def write_tlm(records: DataFrame, path: str, log: str, level: int = 6) -> None:
