@@ -16,6 +16,7 @@ Tokens are 5-word shingles; documents link when their token sets' Jaccard simila
 4. Within a key, documents are first paired with one centre: fewer pairs than rows. Sketches (token counts by bucket) rule out
    pairs that can't link; the rest is verified on whole texts, and components are formed. Large keys repeat this with
    other centres for what isn't in the centre's component, until a round finds no link.
+   A document in many pairs has them dealt over many tasks, each with one copy of its text.
 5. Keys whose documents are still in different components pair those across components; what is already joined needs no more
    links. Large keys do so inside tasks, on blocks of bounded size, and emit what their sketches let through. These pairs are
    verified too, and components are formed anew. So no link between different texts is lost, and a
@@ -268,43 +269,87 @@ def bucketed(df: DataFrame, column: str) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def sifted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (lo, hi) those whose sketches don't rule a link out; staged. Sketches are a small part of the texts."""
+def oriented(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (lo, hi) as leaf, hub, leaf_s, hub_s, staged, and (doc, stretches) of the hot documents, or None without any.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                columns = [c.to_pylist() for c in b.columns[2:]]
-                yield b.select([0, 1]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)]))
+    A document in many pairs, such as a centre of near copies, is hot: its pairs are dealt into stretches of about _STRETCH_ROWS by a hash of
+    the other document, and its text is sent once to each. The hub is the document with more pairs if either is hot; so a leaf is hot
+    only if its hub is too. Pairs are counted by document and part of the other documents, so no task counts all pairs of one.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(_PARTS)).cast("int")
+    end = lambda me, other: F.struct(F.col(me).alias("doc"), part(other).alias("part"))
+    counts = pairs.select(F.explode(F.array(end("lo", "hi"), end("hi", "lo"))).alias("e")).groupBy("e.doc", "e.part").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("c", F.sum("c").over(Window.partitionBy("doc"))).where(F.col("c") > _STRETCH_ROWS)
+    counts = staged(counts.select("doc", "part", _stretches().alias("k")))
+    none = F.lit(None).cast("int")
+    if not counts.limit(1).count():
+        return pairs.select(F.col("lo").alias("leaf"), F.col("hi").alias("hub"), none.alias("leaf_s"), none.alias("hub_s")), None
+    of = lambda me, k: counts.select(F.col("doc").alias(me), "part", F.col("k").alias(k))
+    rows = pairs.withColumn("part", part("hi")).join(of("lo", "a"), ["lo", "part"], "left")
+    rows = rows.withColumn("part", part("lo")).join(of("hi", "b"), ["hi", "part"], "left")
+    swap = F.coalesce("a", F.lit(0)) > F.coalesce("b", F.lit(0))
+    rows = rows.select(
+        F.when(swap, F.col("hi")).otherwise(F.col("lo")).alias("leaf"), F.when(swap, F.col("lo")).otherwise(F.col("hi")).alias("hub"),
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"),
+    )
+    dealt = lambda other, k: F.pmod(F.xxhash64(other), F.col(k)).cast("int")
+    return staged(rows.select("leaf", "hub", dealt("hub", "x").alias("leaf_s"), dealt("leaf", "y").alias("hub_s"))), counts.select("doc", "k").distinct()
+
+
+def with_sides(pairs: DataFrame, hot: DataFrame | None, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """leaf, hub and both sides' columns, those of the hub with the suffix _hub.
+
+    Documents stay where they are for their plain joins; leaves' columns alone move on to the hub. Of a hot document a copy goes to each stretch.
+    """
+
+    def side(table: DataFrame, name: str, *more: Column) -> DataFrame:
+        return table.select(F.col("doc_id").alias(name), *(F.col(c).alias(c if name == "leaf" else f"{c}_hub") for c in columns), *more)
+
+    def plain(rows: DataFrame, name: str) -> DataFrame:
+        return side(texts, name).join(rows.drop(f"{name}_s").hint("shuffle_hash"), name)
 
-    side = lambda name, n, x: texts.select(F.col("doc_id").alias(name), F.col("n").alias(n), F.col("sketch").alias(x))
-    joined = side("lo", "n", "x").join(pairs.hint("shuffle_hash"), "lo")
-    joined = side("hi", "m", "y").join(joined.hint("shuffle_hash"), "hi").select("lo", "hi", "n", "m", "x", "y")
-    return staged(joined.mapInArrow(run, "lo long, hi long").distinct())
+    if hot is None:
+        return plain(plain(pairs, "leaf"), "hub")
 
+    def spread(rows: DataFrame, name: str) -> DataFrame:
+        many = texts.join(hot, F.col("doc_id") == F.col("doc")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        return rows.join(side(many, name, F.col("s").alias(f"{name}_s")).hint("merge"), [name, f"{name}_s"]).drop(f"{name}_s")
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (lo, hi) those whose whole texts are similar enough; staged. Texts stay where they are for the first join; those of pairs alone move for the second."""
+    cold, warm = pairs.where("hub_s is null"), pairs.where("hub_s is not null")
+    leaves = plain(warm.where("leaf_s is null"), "leaf").unionByName(spread(warm.where("leaf_s is not null"), "leaf"))
+    return plain(plain(cold, "leaf"), "hub").unionByName(spread(leaves, "hub"))
+
+
+def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of distinct pairs (lo, hi) those whose whole texts are similar enough; staged. Sketches, a small part of the texts, rule most others out first."""
     ready(pairs.sparkSession)
+    rows, hot = oriented(pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                columns = [c.to_pylist() for c in b.columns[4:]]
+                yield b.select([0, 1, 2, 3]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            lo, hi, x, y = (c.to_pylist() for c in b.columns)
-            texts = dict(zip(zip([*lo, *hi], map(hash, [*x, *y]), strict=True), [*x, *y], strict=True))
+            leaf, hub, x, y = (c.to_pylist() for c in b.columns)
+            texts = dict(zip(zip([*leaf, *hub], map(hash, [*x, *y]), strict=True), [*x, *y], strict=True))
             found = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
             keep = []
-            for i, j, s, t in zip(lo, hi, x, y, strict=True):
+            for i, j, s, t in zip(leaf, hub, x, y, strict=True):
                 one, two = found[i, hash(s)], found[j, hash(t)]
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(one) + len(two) - both))
             yield b.select([0, 1]).filter(pa.array(keep))
 
-    side = lambda name, text: texts.select(F.col("doc_id").alias(name), F.col("text").alias(text))
-    joined = side("lo", "x").join(pairs.hint("shuffle_hash"), "lo")
-    joined = side("hi", "y").join(joined.hint("shuffle_hash"), "hi").select("lo", "hi", "x", "y")
-    return staged(joined.mapInArrow(run, "lo long, hi long"), batch=64)
+    marks = [F.col("leaf_s").alias("leaf_at"), F.col("hub_s").alias("hub_at")]
+    known = with_sides(rows.select("*", *marks), hot, texts, ["n", "sketch"]).select("leaf", "hub", "leaf_at", "hub_at", "n", "n_hub", "sketch", "sketch_hub")
+    near = staged(known.mapInArrow(sift, "leaf long, hub long, leaf_s int, hub_s int").distinct())
+    whole = with_sides(near, hot, texts, ["text"]).select("leaf", "hub", "text", "text_hub")
+    return staged(whole.mapInArrow(verify, "leaf long, hub long").select(*_pair("leaf", "hub")), batch=64)
 
 
 #: Keys with so many documents are joined by stars first, and their last pairs are compared inside tasks, block by block.
@@ -426,11 +471,11 @@ def _linked(texts: DataFrame, tokens: int) -> DataFrame:
         pairs = _dealt(member).join(_to_all(centre), ["key", "stretch"]).where((F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d")).distinct()
         pairs = staged(pairs if tried is None else pairs.join(tried, ["lo", "hi"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verified(sifted(pairs, texts), texts)
+        linked = links(pairs, texts)
         released(spark)
-        if turn and not links.limit(1).count():
+        if turn and not linked.limit(1).count():
             break
-        found = components(found.select(F.col("doc").alias("lo"), F.col("comp").alias("hi")).unionByName(links))
+        found = components(found.select(F.col("doc").alias("lo"), F.col("comp").alias("hi")).unionByName(linked))
     # Keys that still hold several components: pairs across them, but for those tried before.
     member = shared.join(found, "doc", "left").select("key", "doc", "n", "c", F.coalesce("comp", "doc").alias("comp"))
     mixed = member.groupBy("key").agg(F.max("c").alias("c"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key", "c")
@@ -439,7 +484,7 @@ def _linked(texts: DataFrame, tokens: int) -> DataFrame:
     other = small.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("comp").alias("o"))
     across = small.join(other, "key").where((F.col("doc") < F.col("d")) & (F.col("comp") != F.col("o")) & _close("n", "m")).select(*_pair("doc", "d"))
     across = across.unionByName(across_large(rest.where(F.col("c") >= _LARGE_KEY), texts)).distinct()
-    more = verified(sifted(staged(across.join(tried, ["lo", "hi"], "left_anti")), texts), texts)
+    more = links(staged(across.join(tried, ["lo", "hi"], "left_anti")), texts)
     if more.limit(1).count():
         found = components(found.select(F.col("doc").alias("lo"), F.col("comp").alias("hi")).unionByName(more))
     released(spark)

@@ -278,6 +278,25 @@ def test_large_keys_compared_in_blocks_lose_nothing(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
 
 
+def test_pairs_of_a_hot_document_are_dealt(spark):
+    hot, warm = 5000, 5001
+    found = [(i, hot) for i in range(3000)] + [(i, warm) for i in range(700)] + [(hot, warm)] + [(6000 + i, 7000 + i) for i in range(50)]
+    pairs = spark.createDataFrame(found, "lo long, hi long")
+    rows, copies = jaccard_join.oriented(pairs)
+    got = rows.collect()
+    assert sorted((min(r.leaf, r.hub), max(r.leaf, r.hub)) for r in got) == sorted(found)
+    assert {(r.leaf, r.hub) for r in got if {r.leaf, r.hub} == {hot, warm}} == {(warm, hot)}
+    sizes = collections.Counter((r.hub, r.hub_s) for r in got if r.hub_s is not None)
+    assert {h for h, _ in sizes} == {hot, warm} and max(sizes.values()) < 2 * jaccard_join._STRETCH_ROWS
+    assert {r.doc: r.k for r in copies.collect()} == {hot: 12, warm: 3}
+    texts = spark.range(8000).selectExpr("id as doc_id", "concat('t', id) as text")
+    met = jaccard_join.with_sides(rows, copies, texts, ["text"]).collect()
+    assert sorted((min(r.leaf, r.hub), max(r.leaf, r.hub)) for r in met) == sorted(found)
+    assert all(r.text == f"t{r.leaf}" and r.text_hub == f"t{r.hub}" for r in met)
+    calm, none = jaccard_join.oriented(pairs.where("hi >= 7000"))
+    assert none is None and jaccard_join.with_sides(calm, none, texts, ["text"]).count() == 50
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 10**6))
 def test_similar_sets_share_a_key_and_pass_the_sketch(seed):
