@@ -373,12 +373,14 @@ def solve_with_rejection(times, gyro, state, eci, bearing, sigma, s: Solver) ->
     keep, start, best, solves = np.ones(len(state), dtype=bool), None, None, []
     deadline = time.monotonic() + s.max_seconds
     first = initial_trajectory(times, state, eci, bearing, gyro)
-    for _ in range(max(1, s.outlier_rounds)):
+    rounds = max(1, s.outlier_rounds)
+    for k in range(rounds):
         begun = time.monotonic()
         best = solve(times, gyro, state[keep], eci[keep], bearing[keep], sigma[keep], s, start, deadline)
         bad = np.linalg.norm(best["landmark"], axis=1) > s.outlier_threshold
         solves.append({"return_status": best["status"], "iter_count": best["iterations"], "final_cost": best["cost"], "solve_time_ms": 1000 * (time.monotonic() - begun), "n_active_landmarks": int(keep.sum()), "n_rejected": int((~keep).sum())})
-        if not bad.any() or (keep.sum() - bad.sum()) < 4 or time.monotonic() > deadline:
+        # The last solution's landmarks stay unmarked, since it used them.
+        if k == rounds - 1 or not bad.any() or (keep.sum() - bad.sum()) < 4 or time.monotonic() > deadline:
             break
         keep[np.flatnonzero(keep)[bad]] = False
         start = best["estimate"]
