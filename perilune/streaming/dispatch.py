@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from perilune.streaming.stateful import timed, wake
+
 
 def with_retries(run_one: Callable[[Row], None], attempts: int = 3, workers: int = 5, inline: tuple[str, ...] = ("SHUTDOWN",), failed: Callable[[Row, Exception], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: commands by falling priority, then age, go to a pool of workers. A command that raises is tried again by itself, and after the last
@@ -59,19 +61,30 @@ def drained(path: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def rate_limited(triggers: DataFrame, period: float) -> DataFrame:
-    """triggers: key, t (s), mode, target. The first trigger of a mode fires at once, later ones when the period is over, until the target's number of shots; a new mode begins anew."""
+def rate_limited(triggers: DataFrame, period: float, held: float = 86400.0, late: str = "10 minutes") -> DataFrame:
+    """triggers: key, t (s), mode, target. The first trigger of a mode fires at once, later ones when the period is over, until the target's number of shots; a new mode begins anew.
+
+    A key without triggers for `held` seconds (and a period) is forgotten: its next trigger is the first of its mode. Spark drops
+    triggers that are more than `late` behind the newest one of any key.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mode, last, shots = state.get if state.exists else ("", -1.0, 0)
         fired = []
-        for r in pd.concat(list(parts)).sort_values("t", kind="stable").itertuples(index=False):
-            if r.mode != mode:
-                mode, last, shots = r.mode, -1.0, 0
-            if shots < r.target and (shots == 0 or r.t - last >= period):
-                last, shots = float(r.t), shots + 1
-                fired.append((key[0], float(r.t), mode, shots))
-        state.update((mode, last, shots))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            mode, last, shots, seen = state.get if state.exists else ("", -1.0, 0, None)
+            for r in pd.concat(list(parts)).sort_values("t", kind="stable").itertuples(index=False):
+                away = seen is not None and r.t - seen > max(held, period)
+                seen = float(r.t) if seen is None else max(seen, float(r.t))
+                if away or r.mode != mode:
+                    mode, last, shots = r.mode, -1.0, 0
+                if shots < r.target and (shots == 0 or r.t - last >= period):
+                    last, shots = float(r.t), shots + 1
+                    fired.append((key[0], float(r.t), mode, shots))
+            state.update((mode, last, shots, seen))
+            wake(state, seen + max(held, period))
         yield pd.DataFrame(fired, columns=["key", "t", "mode", "shot"])
 
-    return triggers.groupBy("key").applyInPandasWithState(step, "key string, t double, mode string, shot long", "mode string, last double, shots long", "append", GroupStateTimeout.NoTimeout)
+    kept = "mode string, last double, shots long, seen double"
+    return timed(triggers, late).groupBy("key").applyInPandasWithState(step, "key string, t double, mode string, shot long", kept, "append", GroupStateTimeout.EventTimeTimeout)

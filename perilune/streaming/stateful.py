@@ -16,6 +16,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: So many seconds a key that has ended is held.
 HELD = 600.0
+#: Watermarks begin at 0 and Spark drops what isn't after them, so event times are counted from this many seconds before 0: relative clocks are complete.
+BEFORE = float(1 << 31)
+
+
+def timed(rows: DataFrame, late: str) -> DataFrame:
+    """The rows with a watermark on t (s)."""
+    return rows.withColumn("_at", F.timestamp_seconds(F.col("t").cast("double") + BEFORE)).withWatermark("_at", late)
+
+
+def wake(state: GroupState, due: float) -> None:
+    """Sets the timer of a key, in seconds of t."""
+    state.setTimeoutTimestamp(max(int((due + BEFORE) * 1000), state.getCurrentWatermarkMs() + 1))
 
 
 def keyed(events: DataFrame, key: str, state: str, out: str, tick: Callable, apply: Callable, show: Callable, first: tuple, order: str = "t", late: str = "0 seconds") -> DataFrame:
@@ -29,7 +41,7 @@ def keyed(events: DataFrame, key: str, state: str, out: str, tick: Callable, app
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else first
-        clock, due = held.getCurrentWatermarkMs() / 1000, None
+        clock, due = held.getCurrentWatermarkMs() / 1000 - BEFORE, None
         if held.hasTimedOut:
             now, due = tick(now, clock)
         else:
@@ -44,11 +56,10 @@ def keyed(events: DataFrame, key: str, state: str, out: str, tick: Callable, app
             return
         held.update(tuple(now))
         if due is not None:
-            held.setTimeoutTimestamp(max(int(due * 1000), held.getCurrentWatermarkMs() + 1))
+            wake(held, due)
         yield pd.DataFrame([(k[0], *show(now))], columns=names)
 
-    timed = events.withColumn("_at", F.timestamp_seconds(F.col("t").cast("double"))).withWatermark("_at", late)
-    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {out}", state, "update", GroupStateTimeout.EventTimeTimeout)
+    return timed(events, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {out}", state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def collection_sessions(frames: DataFrame, late: str = "0 seconds") -> DataFrame:
@@ -84,11 +95,12 @@ def downlink(events: DataFrame, burst: int = 40, most_stalls: int = 5, ack: floa
     sent in bursts; confirm tells by a bitmap which of the last burst's fragments came, lowest bit first.
 
     A missing acknowledgement is asked for again every `retry` seconds and given up after `ack`, a missing confirmation after `confirm`, and a transfer
-    after `most_stalls` confirmations in a row that bring nothing. Output: tid, status (idle, creating, sizing, sending, done, failed), reason, bursts, missing, stalls, repeated.
+    after `most_stalls` confirmations in a row that bring nothing. The state is the last burst's fragments that haven't come and where the rest begins, however
+    long a file is. Output: tid, status (idle, creating, sizing, sending, done, failed), reason, bursts, missing, stalls, repeated.
     """
 
     def tick(s: tuple, now: float) -> tuple:
-        status, reason, missing, bursts, stalls, repeated, since, asked = s
+        status, reason, again, rest, total, bursts, stalls, repeated, since, asked = s
         if status in ("creating", "sizing"):
             while status in ("creating", "sizing"):
                 due = min(asked + retry, since + ack)
@@ -103,23 +115,23 @@ def downlink(events: DataFrame, burst: int = 40, most_stalls: int = 5, ack: floa
         if status in ("done", "failed", "idle") and now > since + HELD:
             return None, None
         due = {"creating": min(asked + retry, since + ack), "sizing": min(asked + retry, since + ack), "sending": since + confirm}.get(status, since + HELD)
-        return (status, reason, missing, bursts, stalls, repeated, since, asked), due
+        return (status, reason, again, rest, total, bursts, stalls, repeated, since, asked), due
 
     def apply(s: tuple, r) -> tuple:
-        status, reason, missing, bursts, stalls, repeated, since, asked = s
+        status, reason, again, rest, total, bursts, stalls, repeated, since, asked = s
         t = float(r.t)
         if r.kind == "start" and status == "idle":
-            status, missing, since, asked = "creating", list(range(int(r.fragments))), t, t
+            status, again, rest, total, since, asked = "creating", [], 0, int(r.fragments), t, t
         elif r.kind == "ack" and status == "creating":
             status, since, asked = "sizing", t, t
         elif r.kind == "ack" and status == "sizing":
-            status, since, bursts = ("sending", t, 1) if missing else ("done", t, 0)
+            status, since, bursts = ("sending", t, 1) if total else ("done", t, 0)
         elif r.kind == "confirm" and status == "sending":
-            sent, rest = missing[:burst], missing[burst:]
-            left = [f for k, f in enumerate(sent) if not int(r.bitmap) >> k & 1] + rest
-            stalls = stalls + 1 if len(left) >= len(missing) else 0
-            missing, since = left, t
-            if not missing:
+            upto = min(rest + burst - len(again), total)
+            sent = [*again, *range(rest, upto)]
+            again, rest, since = [f for k, f in enumerate(sent) if not int(r.bitmap) >> k & 1], upto, t
+            stalls = stalls + 1 if len(again) == len(sent) else 0
+            if not again and rest == total:
                 status = "done"
             elif stalls >= most_stalls:
                 status, reason = "failed", "stalled_progress"
@@ -127,12 +139,12 @@ def downlink(events: DataFrame, burst: int = 40, most_stalls: int = 5, ack: floa
                 bursts += 1
         elif status == "idle":
             since = t
-        return status, reason, missing, bursts, stalls, repeated, since, asked
+        return status, reason, again, rest, total, bursts, stalls, repeated, since, asked
 
-    state = "status string, reason string, missing array<long>, bursts long, stalls long, repeated long, since double, asked double"
+    state = "status string, reason string, again array<long>, rest long, total long, bursts long, stalls long, repeated long, since double, asked double"
     out = "status string, reason string, bursts long, missing long, stalls long, repeated long"
-    show = lambda s: (s[0], s[1], s[3], len(s[2]), s[4], s[5])
-    return keyed(events, "tid", state, out, lambda s, now: tick((*s[:2], list(s[2]), *s[3:]), now), apply, show, ("idle", "", [], 0, 0, 0, 0.0, 0.0), "seq", late)
+    show = lambda s: (s[0], s[1], s[5], len(s[2]) + s[4] - s[3], s[6], s[7])
+    return keyed(events, "tid", state, out, lambda s, now: tick((*s[:2], list(s[2]), *s[3:]), now), apply, show, ("idle", "", [], 0, 0, 0, 0, 0, 0.0, 0.0), "seq", late)
 
 
 def chunk_transfer(events: DataFrame, wait: float = 10.0, late: str = "0 seconds") -> DataFrame:
@@ -164,19 +176,34 @@ def chunk_transfer(events: DataFrame, wait: float = 10.0, late: str = "0 seconds
     return keyed(events, "tid", "next long, again long, total long, since double, status string", "next_chunk long, resent long, status string", tick, apply, lambda s: (s[0], s[1], s[4]), (1, 0, 0, 0.0, "idle"), "seq", late)
 
 
-def missed_updates(samples: DataFrame, limit: int = 3) -> DataFrame:
-    """samples: host, seq, changed (whether the shared memory had changed). After `limit` misses in a row the sampler is restarted and the count begins anew. One state a host."""
+def missed_updates(samples: DataFrame, limit: int = 3, held: float = 86400.0, late: str = "10 minutes") -> DataFrame:
+    """samples: host, seq, changed (whether the shared memory had changed) and t (s), if known. After `limit` misses in a row the sampler is restarted and the count begins anew.
+
+    One state a host. With t, a host without samples for `held` seconds is forgotten, and Spark drops samples
+    that are more than `late` behind the newest; without, hosts are kept for good.
+    """
+    clock = "t" in samples.columns
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses, restarts = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        misses, restarts, seen = state.get if state.exists else (0, 0, None)
         for r in pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable").itertuples(index=False):
+            if clock:
+                if seen is not None and r.t - seen > held:
+                    misses, restarts = 0, 0
+                seen = float(r.t) if seen is None else max(seen, float(r.t))
             misses = 0 if r.changed else misses + 1
             if misses >= limit:
                 misses, restarts = 0, restarts + 1
-        state.update((misses, restarts))
+        state.update((misses, restarts, seen))
+        if clock:
+            wake(state, seen + held)
         yield pd.DataFrame({"host": [key[0]], "misses": [misses], "restarts": [restarts]})
 
-    return samples.groupBy("host").applyInPandasWithState(step, "host string, misses long, restarts long", "misses long, restarts long", "update", GroupStateTimeout.NoTimeout)
+    rows, timer = (timed(samples, late), GroupStateTimeout.EventTimeTimeout) if clock else (samples, GroupStateTimeout.NoTimeout)
+    return rows.groupBy("host").applyInPandasWithState(step, "host string, misses long, restarts long", "misses long, restarts long, seen double", "update", timer)
 
 
 def overruns(events: DataFrame, late: str = "0 seconds") -> DataFrame:
