@@ -48,10 +48,10 @@ class _Grid:
 def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_score: float = 0.5, rounds: int = 40, salts: int = 8) -> DataFrame:
     """key, box_id of the boxes that stay: the rows of `non_maximum_suppression`, for frames of any number of boxes. boxes: key, box_id, score, x, y, w, h, class_id.
 
-    In each round a box that is the best of its cell and better than the best of every cell around stays, and all that it overlaps too much go. A box is compared
-    only with those that stay, and only a few of these fit around a cell, so the work is in proportion to the boxes. The boxes of a full cell
-    are dealt over `salts` tasks, the few that stay are copied to each. As many rounds are needed as the longest falling chain of neighbouring cells'
-    best scores; what is undecided after `rounds` of them (scores that rise across a whole frame) is walked frame by frame as `non_maximum_suppression` does.
+    In each round a box that is the best of its cell and overlaps no better one too much stays, and all that it overlaps too much go. A box is compared
+    only with the best of the cells around its own, so a round's work is in proportion to the boxes that are left. The boxes of a full cell
+    are dealt over `salts` tasks, its best is copied to each. Rounds follow the longest chain of boxes of which each waits for a better one that it
+    overlaps; what is undecided after `rounds` (scores that rise across a whole frame) is walked frame by frame as `non_maximum_suppression` does.
 
     Rows whose score is null or not above least_score go. Boxes that are null in frame, class or geometry, without an area or with numbers that
     aren't finite overlap nothing and stay. Ties of scores go to the smallest box_id; of rows that repeat a frame's box_id the one on top by class, then geometry stays,
@@ -73,10 +73,19 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
         df.write.parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
-    def probes(df: DataFrame) -> DataFrame:
-        """Each box once for each cell that it may meet."""
-        one = df.drop("_cx", "_cy").withColumn("_a", F.explode(grid.around("x", "w", "_lw"))).withColumn("_b", F.explode(grid.around("y", "h", "_lh")))
-        return one.select("_key", "class_id", F.col("_a.level").alias("_lw"), F.col("_a.cell").alias("_cx"), F.col("_b.level").alias("_lh"), F.col("_b.cell").alias("_cy"), "_rank")
+    def near(df: DataFrame) -> DataFrame:
+        """Each box once for each cell that it may meet and each salt."""
+        one = df.select("*", *(F.col(f"_rank.{c}").alias(c) for c in _BOX))
+        one = one.withColumn("_a", F.explode(grid.around("x", "w", "_lw"))).withColumn("_b", F.explode(grid.around("y", "h", "_lh")))
+        cell = F.col("_a.level").alias("_lw"), F.col("_a.cell").alias("_cx"), F.col("_b.level").alias("_lh"), F.col("_b.cell").alias("_cy")
+        return one.select("_key", "class_id", *cell, F.col("_rank").alias("_k"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))).alias("_salt"))
+
+    k = {c: F.col(f"_k.{c}") for c in _BOX}
+    wide = F.least(F.col("x") + F.col("w"), k["x"] + k["w"]) - F.greatest(F.col("x"), k["x"])
+    high = F.least(F.col("y") + F.col("h"), k["y"] + k["h"]) - F.greatest(F.col("y"), k["y"])
+    both = F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
+    clash = (both > threshold * (k["w"] * k["h"] + F.col("w") * F.col("h") - both)) | (F.col("_rank") == F.col("_k"))
+    meet = [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*place, "_salt"]), clash]
 
     alive, old = staged(alive), None
     for _ in range(rounds):
@@ -84,21 +93,10 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
         best = staged(alive.groupBy(*place).agg(F.min("_rank").alias("_rank")))
         if best.isEmpty():
             break
-        asked = probes(best.select("*", *(F.col(f"_rank.{c}").alias(c) for c in _BOX)))
-        mine = asked.select(*place, F.col("_rank").alias("_r"))
-        beaten = mine.join(best, place).where("_rank < _r").select("_key", "class_id", F.col("_r").alias("_rank")).distinct()
+        beaten = alive.alias("l").join(near(best).alias("r"), [*meet, F.col("_rank") < F.col("_k")]).select("r._key", "r.class_id", F.col("_k").alias("_rank")).distinct()
         stays = staged(best.join(beaten, ["_key", "class_id", "_rank"], "left_anti"))
         done.append(stays.select("_key", F.col("_rank.box_id").alias("box_id")))
-        near = probes(stays.select("*", *(F.col(f"_rank.{c}").alias(c) for c in _BOX)))
-        near = near.select(*place, F.col("_rank").alias("_k"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))).alias("_salt"))
-        k = {c: F.col(f"_k.{c}") for c in _BOX}
-        wide = F.least(F.col("x") + F.col("w"), k["x"] + k["w"]) - F.greatest(F.col("x"), k["x"])
-        high = F.least(F.col("y") + F.col("h"), k["y"] + k["h"]) - F.greatest(F.col("y"), k["y"])
-        both = F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
-        goes = (both > threshold * (k["w"] * k["h"] + F.col("w") * F.col("h") - both)) | (F.col("_rank") == F.col("_k"))
-        left, right = alive.alias("l"), near.alias("r")
-        same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*place, "_salt"]]
-        alive = staged(left.join(right, [*same, goes], "left_anti"))
+        alive = staged(alive.alias("l").join(near(stays).alias("r"), meet, "left_anti"))
         unstaged(spark, old)
     else:
         rest = alive.select("_key", "box_id", "score", "class_id", *_BOX)

@@ -9,6 +9,7 @@ from perilune.functions import codes, units
 from perilune.operators import detection as D
 from perilune.operators import frames as R
 from perilune.operators import measure as M
+from perilune.operators.crowded import suppress_crowded
 from perilune.plans.registry import read, register
 
 _STAGE = "case o_orderstatus when 'O' then 1 when 'P' then 2 when 'F' then 3 else 0 end"
@@ -218,6 +219,16 @@ def nms_greedy(spark: SparkSession, d: str) -> DataFrame:
     return D.non_maximum_suppression(rows, "l_orderkey")
 
 
+@register("nms_crowded")
+def nms_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """All boxes on the frames of a few cameras, so that frames grow with the table: boxes lie where their orders put them."""
+    key = F.col("l_orderkey")
+    at = {"x": F.col("x") + F.pmod(F.xxhash64("l_orderkey"), F.lit(4000)), "y": F.col("y") + F.pmod(F.xxhash64(key + 1), F.lit(4000))}
+    score = 0.5 + F.pmod(F.xxhash64("l_orderkey", "k"), F.lit(1000)) / 2000.0
+    made = _boxes(spark, d).select(F.pmod(key, F.lit(3)).alias("camera"), (key * 8 + F.col("k")).alias("box_id"), score.alias("score"), *(at.get(c, F.col(c)).cast("double").alias(c) for c in "xywh"), F.col("c").alias("class_id"))
+    return suppress_crowded(made, "camera")
+
+
 @register("score_threshold", """with e as (select vec_id, unnest(embedding) as score, generate_subscripts(embedding, 1) - 1 as class_id from embeddings) select vec_id, cast(class_id as integer) as class_id, score from e where score > 0.15""")
 def score_threshold(spark: SparkSession, d: str) -> DataFrame:
     return D.above(read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("s")), ["vec_id"], "s", 0.15)

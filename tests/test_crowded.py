@@ -57,3 +57,13 @@ def test_odd_boxes_stay_and_odd_scores_go(spark):
     assert got(spark, [rows[0]] * 3) == {(0, 1)} and got(spark, []) == set()
     with pytest.raises(ValueError):
         suppress_crowded(spark.createDataFrame([], SCHEMA), "frame", 1.0)
+
+
+def test_the_query_equals_the_walk(spark, monkeypatch):
+    from conftest import DATA
+
+    from perilune.plans import frame_queries
+
+    found = {tuple(r) for r in frame_queries.nms_crowded(spark, DATA).select("camera", "box_id").collect()}
+    monkeypatch.setattr(frame_queries, "suppress_crowded", D.non_maximum_suppression)
+    assert found == {tuple(r) for r in frame_queries.nms_crowded(spark, DATA).select("camera", "box_id").collect()}
