@@ -45,13 +45,14 @@ class _Grid:
         return F.concat(*(beside(k) for k in (-1, 0, 1)))
 
 
-def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_score: float = 0.5, rounds: int = 40, salts: int = 8) -> DataFrame:
+def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_score: float = 0.5, rounds: int = 40, salts: int = 8, few: int = 1 << 16) -> DataFrame:
     """key, box_id of the boxes that stay: the rows of `non_maximum_suppression`, for frames of any number of boxes. boxes: key, box_id, score, x, y, w, h, class_id.
 
     In each round a box that is the best of its cell and overlaps no better one too much stays, and all that it overlaps too much go. A box is compared
     only with the best of the cells around its own, so a round's work is in proportion to the boxes that are left. The boxes of a full cell
     are dealt over `salts` tasks, its best is copied to each. Rounds follow the longest chain of boxes of which each waits for a better one that it
-    overlaps; what is undecided after `rounds` (scores that rise across a whole frame) is walked frame by frame as `non_maximum_suppression` does.
+    overlaps; what is undecided after `rounds` (scores that rise across a whole frame), or as soon as all frames together have at most `few` undecided
+    boxes, is walked frame by frame as `non_maximum_suppression` does. The result is the same either way.
 
     Rows whose score is null or not above least_score go. Boxes that are null in frame, class or geometry, without an area or with numbers that
     aren't finite overlap nothing and stay. Ties of scores go to the smallest box_id; of rows that repeat a frame's box_id the one on top by class, then geometry stays,
@@ -87,20 +88,19 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
     clash = (both > threshold * (k["w"] * k["h"] + F.col("w") * F.col("h") - both)) | (F.col("_rank") == F.col("_k"))
     meet = [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*place, "_salt"]), clash]
 
-    alive, old = staged(alive), None
+    alive = staged(alive)
     for _ in range(rounds):
+        if alive.count() <= few:
+            break
         old = paths[-1]
         best = staged(alive.groupBy(*place).agg(F.min("_rank").alias("_rank")))
-        if best.isEmpty():
-            break
         beaten = alive.alias("l").join(near(best).alias("r"), [*meet, F.col("_rank") < F.col("_k")]).select("r._key", "r.class_id", F.col("_k").alias("_rank")).distinct()
         stays = staged(best.join(beaten, ["_key", "class_id", "_rank"], "left_anti"))
         done.append(stays.select("_key", F.col("_rank.box_id").alias("box_id")))
         alive = staged(alive.alias("l").join(near(stays).alias("r"), meet, "left_anti"))
         unstaged(spark, old)
-    else:
-        rest = alive.select("_key", "box_id", "score", "class_id", *_BOX)
-        done.append(non_maximum_suppression(rest, "_key", threshold, least_score))
+    rest = alive.select("_key", "box_id", "score", "class_id", *_BOX)
+    done.append(non_maximum_suppression(rest, "_key", threshold, least_score))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
