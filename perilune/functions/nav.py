@@ -135,10 +135,23 @@ def _powers(t: Column, *terms: float) -> Column:
     return out * ARC_SECOND
 
 
+def _centuries(unix: Column) -> Column:
+    return unix_to_j2000(unix) / (86400.0 * 36525)
+
+
+def _precession_tilt(t: Column) -> Column:
+    return _powers(t, 0.0, 2004.3109, -0.42665, -0.041833)
+
+
+def pole_shift(unix: Column) -> Column:
+    """The angle that the Earth-fixed pole is at most away from that of J2000 at a Unix time: precession grows with time, and nutation adds 22 arc seconds at the very most."""
+    return F.abs(_precession_tilt(_centuries(unix))) + 22 * ARC_SECOND
+
+
 def _orientation(unix: Column, dut1: float) -> list[tuple]:
     """Rotations (about an axis, by an angle) from the inertial frame of J2000 to the Earth-fixed one, in order: precession, the main terms of nutation, sidereal time."""
-    t = unix_to_j2000(unix) / (86400.0 * 36525)
-    zeta, z, theta = _powers(t, 0.0, 2306.2181, 0.30188, 0.017998), _powers(t, 0.0, 2306.2181, 1.09468, 0.018203), _powers(t, 0.0, 2004.3109, -0.42665, -0.041833)
+    t = _centuries(unix)
+    zeta, z, theta = _powers(t, 0.0, 2306.2181, 0.30188, 0.017998), _powers(t, 0.0, 2306.2181, 1.09468, 0.018203), _precession_tilt(t)
     tilt = _powers(t, 84381.448, -46.8150, -0.00059, 0.001813)
     node, sun, moon = (F.radians(a + t * b) for a, b in ((125.04452, -1934.136261), (280.4665, 36000.7698), (218.3165, 481267.8813)))
     along = (-17.20 * F.sin(node) - 1.32 * F.sin(2 * sun) - 0.23 * F.sin(2 * moon) + 0.21 * F.sin(2 * node)) * ARC_SECOND

@@ -140,11 +140,11 @@ def eci_ecef_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @register("earth_orientation", f"with {_ORBIT} select vec_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, true as turned from o")
 def earth_orientation(spark: SparkSession, d: str) -> DataFrame:
-    """To the Earth-fixed frame with precession, nutation and sidereal time, and back; about the pole both frames of rotation agree within what precession and nutation do in 30 years."""
+    """To the Earth-fixed frame with precession, nutation and sidereal time, and back; along the pole a position moves no more than precession and nutation have turned it by then."""
     rows, _, _ = _orbit(spark, d)
     unix = F.col("vec_id") * 86_477.0 + 946_728_000
     fixed = nav.inertial_to_earth(rows.withColumn("z0", F.col("z")), ["x", "y", "z"], unix)
-    back = nav.earth_to_inertial(fixed.withColumn("turned", F.abs(F.col("z") - F.col("z0")) < 7000 * 0.006), ["x", "y", "z"], unix)
+    back = nav.earth_to_inertial(fixed.withColumn("turned", F.abs(F.col("z") - F.col("z0")) < 7000 * nav.pole_shift(unix)), ["x", "y", "z"], unix)
     return back.select("vec_id", *(F.round(c, 6).alias(c) for c in "xyz"), "turned")
 
 

@@ -49,3 +49,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 25
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _embeddings(spark, duck, tmp_path, name, rows):
+    """A query and its SQL over some embeddings: both sides' rows, sorted."""
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = f"with embeddings as (select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')), " + SQL[name].strip().removeprefix("with ") if SQL[name].startswith("with ") else SQL[name].replace("from embeddings", f"from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = duck.sql(sql)
+    return sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*found.columns).collect()), sorted(found.fetchall())
+
+
+def test_positions_turn_back_at_any_time(spark, duck, tmp_path):
+    """Vectors whose numbers put them up to 2,700 years after J2000, and before it, near the pole and off it."""
+    rows = [(k, [0.3 * ((k // 7) % 3 - 1), 0.1 * (k % 5), 0.2 + 0.1 * (k % 2)] + [0.1] * 13, 0) for k in (0, 1, 9_999, 15_000, 51_281, 102_564, 400_001, 999_999, -200_000)]
+    found, want = _embeddings(spark, duck, tmp_path, "earth_orientation", rows)
+    assert found == want and len(found) == len(rows)
