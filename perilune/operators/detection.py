@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def above(scores: DataFrame, keys: list[str], array: str, threshold: float = 0.35) -> DataFrame:
-    """One row for each class whose score is strictly above the threshold."""
-    return scores.select(*keys, F.posexplode(array).alias("class_id", "score")).where(F.col("score") > threshold)
+    """One row for each class whose score is strictly above the threshold, as the scores' own type has it: a float score that is the threshold's float isn't above it."""
+    rows = scores.select(*keys, F.posexplode(array).alias("class_id", "score"))
+    return rows.where(F.col("score") > F.lit(threshold).cast(rows.schema["score"].dataType))
 
 
 def best_class(scores: Column) -> dict[str, Column]:

@@ -237,7 +237,7 @@ def score_threshold(spark: SparkSession, d: str) -> DataFrame:
 @register("detector_best_class", """select vec_id, list_max(embedding[5:]) as score, cast(list_position(embedding[5:], list_max(embedding[5:])) - 1 as integer) as class_id from embeddings where list_max(embedding[5:]) > 0.2""")
 def detector_best_class(spark: SparkSession, d: str) -> DataFrame:
     made = D.best_class(F.slice("embedding", 5, F.size("embedding")))
-    return read(spark, d, "embeddings").select("vec_id", *(c.alias(k) for k, c in made.items())).where("score > 0.2")
+    return read(spark, d, "embeddings").select("vec_id", *(c.alias(k) for k, c in made.items())).where("score > float(0.2)")
 
 
 @register("letterbox_inverse", f"""with b as ({_BOX}), g as (select l_orderkey, k, least(416 / 640.0, 416 / 480.0) as gain, x, y, w, h from b), q as (select *, round((416 - 640 * gain) / 2 - 0.1) as px, round((416 - 480 * gain) / 2 - 0.1) as py from g),

@@ -64,3 +64,13 @@ def test_positions_turn_back_at_any_time(spark, duck, tmp_path):
     rows = [(k, [0.3 * ((k // 7) % 3 - 1), 0.1 * (k % 5), 0.2 + 0.1 * (k % 2)] + [0.1] * 13, 0) for k in (0, 1, 9_999, 15_000, 51_281, 102_564, 400_001, 999_999, -200_000)]
     found, want = _embeddings(spark, duck, tmp_path, "earth_orientation", rows)
     assert found == want and len(found) == len(rows)
+
+
+@pytest.mark.parametrize("name, threshold", [("score_threshold", 0.15), ("detector_best_class", 0.2)])
+def test_float_scores_at_the_very_threshold(spark, duck, tmp_path, name, threshold):
+    import numpy as np
+
+    at = np.float32(threshold)
+    rows = [(k, [0.0] * 5 + [float(s), 0.0], 0) for k, s in enumerate((at, np.nextafter(at, np.float32(1)), np.nextafter(at, np.float32(0)), np.float32(0.5)))]
+    found, want = _embeddings(spark, duck, tmp_path, name, rows)
+    assert found == want and {r[0] for r in found} == {1, 3}
