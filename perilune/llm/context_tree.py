@@ -37,6 +37,11 @@ def ln_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - back
 
 
+def chance(p: np.ndarray) -> np.ndarray:
+    """As float32, below 1: else a bit that was the same in some 2^24 places would leave the other one no chance at all."""
+    return np.minimum(p.astype(np.float32), np.float32(1 - 2**-24))
+
+
 def ln_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
     return ln_gamma(zeros + 0.5) + ln_gamma(ones + 0.5) - ln_gamma(zeros + ones + 1.0) - np.log(np.pi)
@@ -146,7 +151,7 @@ def grow_levels(counts: list[tuple[np.ndarray, np.ndarray]], first: int = 0, und
                 other = (r1 + 0.5) / (r0 + r1 + 1)
             weighted = np.logaddexp(own, split) - np.log(2)
             stop = np.exp(own - np.log(2) - weighted)
-        levels.append(Level(key, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), stop.astype(np.float32), other.astype(np.float32)))
+        levels.append(Level(key, chance((ones + 0.5) / (zeros + ones + 1)), stop.astype(np.float32), chance(other)))
         below = (key, zeros, ones, weighted)
     return levels[::-1], below
 

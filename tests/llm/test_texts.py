@@ -438,3 +438,10 @@ def test_random_texts_are_scored_lower():
     tree = T.grow(levels[::-1])
     score = lambda t: tree.ln_probability(T.frames([t])[0]).mean()
     assert score(b"the dog sat on the mat") > score(bytes(g.randrange(97, 123) for _ in range(22))) + 2
+
+
+def test_a_bit_that_was_always_the_same_leaves_the_other_a_chance():
+    """40 million times one byte of ones: any other byte after it has a finite score."""
+    tree = T.grow([(np.array([255], dtype=np.uint64), np.array([4e7]))])
+    scores = tree.ln_probability(np.arange(256, dtype=np.uint64))
+    assert np.isfinite(scores).all() and abs(np.exp(scores).sum() - 1) < 1e-6
