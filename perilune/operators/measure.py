@@ -60,12 +60,12 @@ def wahba_sums(rows: DataFrame, key: list[str], reference: list[str], body: list
 
 
 def wahba_attitudes(sums: DataFrame, key: list[str]) -> DataFrame:
-    """Best attitudes (q_x, q_y, q_z, q_w) from such sums; an SVD for each row, Arrow-batched."""
+    """Best attitudes (q_x, q_y, q_z, q_w) from such sums; one stacked SVD for each Arrow batch."""
 
     def run(parts):
         for p in parts:
             b = p[[f"b{i}{j}" for i in range(3) for j in range(3)]].to_numpy(dtype=float).reshape(-1, 3, 3)
-            q = np.array([wahba(x) for x in b]).reshape(-1, 4)
+            q = wahba(b)
             q *= np.where(q[:, 3:] < 0, -1.0, 1.0)
             yield pd.concat([p[key].reset_index(drop=True), pd.DataFrame(q, columns=["q_x", "q_y", "q_z", "q_w"])], axis=1)
 

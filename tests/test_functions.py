@@ -97,6 +97,15 @@ def test_wahba_recovers_a_rotation():
     assert Q.wahba(np.zeros((3, 3))).tolist() == [0, 0, 0, 1]
 
 
+def test_wahba_of_a_stack_is_that_of_each():
+    """Half turns, mirrored, flat and empty sums among random ones; a stack of no sums too."""
+    b = np.random.default_rng(1).normal(size=(50, 3, 3))
+    b[0], b[1], b[2], b[3], b[4] = 0, np.diag([1.0, -1, -1]), np.diag([3.0, 2, -1]), np.diag([1.0, 1, 0]), -np.eye(3)
+    q = Q.wahba(b)
+    assert q.shape == (50, 4) and np.allclose(np.linalg.norm(q, axis=1), 1) and Q.wahba(b[:0]).shape == (0, 4)
+    assert np.array_equal(q, np.array([Q.wahba(x) for x in b])) and q[0].tolist() == [0, 0, 0, 1] and q[1].tolist() == [1, 0, 0, 0]
+
+
 def test_host_stats_line(spark):
     line = "12-23-2024 22:54:11 RAM 3162/7620MB (lfb 4x2MB) SWAP 0/3810MB (cached 0MB) CPU [0%@883,7%@883,0%@883,0%@883,off,off] GR3D_FREQ 1% cpu@62.843C gpu@61.687C VDD_IN 3913mW/3922mW VDD_CPU_GPU_CV 598mW/598 VDD_SOC 1238mW/1237mW"
     made = text.host_stats(F.lit(line))
