@@ -45,12 +45,12 @@ class _Grid:
         return F.concat(*(beside(k) for k in (-1, 0, 1)))
 
 
-def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_score: float = 0.5, rounds: int = 40, salts: int = 8, few: int = 1 << 16) -> DataFrame:
+def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_score: float = 0.5, rounds: int = 40, few: int = 1 << 16) -> DataFrame:
     """key, box_id of the boxes that stay: the rows of `non_maximum_suppression`, for frames of any number of boxes. boxes: key, box_id, score, x, y, w, h, class_id.
 
     In each round a box that is the best of its cell and overlaps no better one too much stays, and all that it overlaps too much go. A box is compared
-    only with the best of the cells around its own, so a round's work is in proportion to the boxes that are left. The boxes of a full cell
-    are dealt over `salts` tasks, its best is copied to each. Rounds follow the longest chain of boxes of which each waits for a better one that it
+    only with the best of the cells around its own, so a round's work is in proportion to the boxes that are left. The boxes of very full cells
+    are split over tasks by Spark as a skewed join's. Rounds follow the longest chain of boxes of which each waits for a better one that it
     overlaps; what is undecided after `rounds` (scores that rise across a whole frame), or as soon as all frames together have at most `few` undecided
     boxes, is walked frame by frame as `non_maximum_suppression` does. The result is the same either way.
 
@@ -65,7 +65,7 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
     able = F.col("_key").isNotNull() & F.col("class_id").isNotNull() & finite("x") & finite("y") & finite("w") & finite("h") & (F.col("w") > 0) & (F.col("h") > 0)
     (lw, cx), (lh, cy) = grid.cell("x", "w"), grid.cell("y", "h")
     rank = F.struct((-F.col("score")).alias("s"), "box_id", *_BOX)
-    alive = rows.where(able).select("*", lw.alias("_lw"), cx.alias("_cx"), lh.alias("_lh"), cy.alias("_cy"), F.pmod(F.xxhash64("box_id"), F.lit(salts)).alias("_salt"), rank.alias("_rank"))
+    alive = rows.where(able).select("*", lw.alias("_lw"), cx.alias("_cx"), lh.alias("_lh"), cy.alias("_cy"), rank.alias("_rank"))
     place = ["_key", "class_id", *_CELL]
     done, paths = [rows.where(~able).select("_key", "box_id")], []
 
@@ -75,18 +75,18 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     def near(df: DataFrame) -> DataFrame:
-        """Each box once for each cell that it may meet and each salt."""
+        """Each box once for each cell that it may meet: some 25 rows, of which Spark's estimate of sizes knows nothing, so they are merged and never broadcast."""
         one = df.select("*", *(F.col(f"_rank.{c}").alias(c) for c in _BOX))
         one = one.withColumn("_a", F.explode(grid.around("x", "w", "_lw"))).withColumn("_b", F.explode(grid.around("y", "h", "_lh")))
         cell = F.col("_a.level").alias("_lw"), F.col("_a.cell").alias("_cx"), F.col("_b.level").alias("_lh"), F.col("_b.cell").alias("_cy")
-        return one.select("_key", "class_id", *cell, F.col("_rank").alias("_k"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))).alias("_salt"))
+        return one.select("_key", "class_id", *cell, F.col("_rank").alias("_k")).hint("merge")
 
     k = {c: F.col(f"_k.{c}") for c in _BOX}
     wide = F.least(F.col("x") + F.col("w"), k["x"] + k["w"]) - F.greatest(F.col("x"), k["x"])
     high = F.least(F.col("y") + F.col("h"), k["y"] + k["h"]) - F.greatest(F.col("y"), k["y"])
     both = F.when((wide > 0) & (high > 0), wide * high).otherwise(0.0)
     clash = (both > threshold * (k["w"] * k["h"] + F.col("w") * F.col("h") - both)) | (F.col("_rank") == F.col("_k"))
-    meet = [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*place, "_salt"]), clash]
+    meet = [*(F.col(f"l.{c}") == F.col(f"r.{c}") for c in place), clash]
 
     alive = staged(alive)
     for _ in range(rounds):
@@ -100,7 +100,7 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
         alive = staged(alive.alias("l").join(near(stays).alias("r"), meet, "left_anti"))
         unstaged(spark, old)
     rest = alive.select("_key", "box_id", "score", "class_id", *_BOX)
-    done.append(non_maximum_suppression(rest, "_key", threshold, least_score))
+    done.append(staged(non_maximum_suppression(rest, "_key", threshold, least_score)))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -60,6 +60,17 @@ def test_odd_boxes_stay_and_odd_scores_go(spark):
         suppress_crowded(spark.createDataFrame([], SCHEMA), "frame", 1.0)
 
 
+def test_copies_of_boxes_are_never_broadcast(spark):
+    """What a box is copied to for its cells is far more than the box, and must not meet in one place."""
+    rows = [(k % 3, k, 0.6 + k % 301 / 1000, k * 37 % 997 / 2, k * 61 % 991 / 2, 5.0 + k % 20, 6.0 * (1 + k % 4), 0) for k in range(3000)]
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "40m")
+    try:
+        assert got(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_the_query_equals_the_walk(spark, monkeypatch):
     from conftest import DATA
 
