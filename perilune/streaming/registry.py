@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,11 +97,13 @@ def session_changes(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         active = {n: (a, p) for n, a, p in zip(*state.get, strict=True)} if state.exists else {}
-        done = []
-        for r in pd.concat(list(parts), ignore_index=True).sort_values(["t", "seq"], kind="stable").itertuples(index=False):
-            name = str(int(r.t * 1000)) if pd.isna(r.name) else r.name
-            if r.kind == "create":
-                span = (float(r.start), float(r.period))
+        # Hosts have a few events each, for which plain lists are many times cheaper than operations on frames.
+        rows = [r for p in parts for r in zip(*(p[c].tolist() for c in ("t", "seq", "kind", "name", "start", "period")), strict=True)]
+        done: list[tuple] = []
+        for t, seq, kind, given, start, period in sorted(rows, key=lambda r: [(True, 0) if x is None or x != x else (False, x) for x in r[:2]]):
+            name = str(int(t * 1000)) if given is None or given != given else given
+            if kind == "create":
+                span = (float(start), float(period))
                 meets = any(span[0] <= a + p and a <= span[0] + span[1] for a, p in active.values())
                 outcome = "overlap" if meets else "created"
                 if not meets:
@@ -108,12 +111,13 @@ def session_changes(events: DataFrame) -> DataFrame:
             else:
                 span = active.pop(name, None)
                 outcome = "unknown" if span is None else "stopped"
-            done.append((key[0], float(r.t), r.seq, name, outcome, *(span or (None, None))))
+            done.append((key[0], float(t), seq, name, outcome, *(span or (None, None))))
         if active:
             state.update((list(active), [a for a, _ in active.values()], [p for _, p in active.values()]))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(done, columns=columns).astype({"start": "float64", "period": "float64"})
+        made = {c: [r[k] for r in done] for k, c in enumerate(columns)}
+        yield pd.DataFrame(made | {c: np.array(made[c], dtype=float) for c in ("start", "period")})
 
     kinds = dict(events.dtypes)
     out = f"host {kinds['host']}, t double, seq {kinds['seq']}, name string, outcome string, start double, period double"
