@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perilune.llm.common import map_texts, ready, staged, utf8
+from perilune.llm.common import map_texts, ready, staged, trim, utf8
 
 _BYTES = np.arange(256)
 
@@ -175,5 +175,6 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFram
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(trees.score(statistics(b.column(b.schema.get_field_index("text")).to_pylist())) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

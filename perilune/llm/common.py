@@ -90,8 +90,9 @@ def released(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """In a worker: return freed memory to the system, where the C library can."""
+    """In a worker: return freed memory to the system, Arrow's too, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -118,6 +119,7 @@ def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str, keys
             if b.num_rows:
                 out = fn(b.column(0).to_pylist(), b.column(1).to_pylist())
                 yield pa.RecordBatch.from_pydict(out)
+        trim()  # workers outlive their tasks, and their freed memory counts as the executor's
 
     return df.select(F.col(keys), F.col(text)).mapInArrow(run, schema)
 
@@ -131,6 +133,7 @@ def replace_text(df: DataFrame, fn: Callable[[list], list]) -> DataFrame:
             if b.num_rows:
                 k = b.schema.get_field_index("text")
                 yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(fn(b.column(k).to_pylist()), b.schema.field(k).type), *b.columns[k + 1 :]], schema=b.schema)
+        trim()
 
     out = df.mapInArrow(run, df.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(df.dtypes)["n_chars"])) if "n_chars" in df.columns else out

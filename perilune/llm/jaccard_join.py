@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perilune.llm.common import map_texts, ready, released, staged
+from perilune.llm.common import map_texts, ready, released, staged, trim
 from perilune.llm.components import components
 from perilune.llm.shingles import scramble, shingle_sets
 
@@ -138,6 +138,7 @@ def count_blobs(texts: DataFrame, blocks: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield flush(held)
+        trim()
 
     return texts.select("text").mapInArrow(run, "block long, blob binary")
 
@@ -344,6 +345,7 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(one) + len(two) - both))
             yield b.select([0, 1]).filter(pa.array(keep))
+        trim()
 
     marks = [F.col("leaf_s").alias("leaf_at"), F.col("hub_s").alias("hub_at")]
     known = with_sides(rows.select("*", *marks), hot, texts, ["n", "sketch"]).select("leaf", "hub", "leaf_at", "hub_at", "n", "n_hub", "sketch", "sketch_hub")
@@ -434,6 +436,7 @@ def across_large(member: DataFrame, texts: DataFrame) -> DataFrame:
                 group[c] += columns[c][begin:]
         if group["key"]:
             yield out(group)
+        trim()
 
     return rows.mapInArrow(run, "lo long, hi long")
 
