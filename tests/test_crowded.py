@@ -4,10 +4,11 @@ import random
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from perilune.operators import detection as D
-from perilune.operators.crowded import suppress_crowded
+from perilune.operators.crowded import _Grid, _walked, suppress_crowded
 
 SCHEMA = "frame int, box_id long, score double, x double, y double, w double, h double, class_id int"
 
@@ -71,6 +72,30 @@ def test_copies_of_boxes_are_never_broadcast(spark):
         spark.conf.unset(limit)
 
 
+def test_a_round_settles_chains_inside_a_tile(spark):
+    """No job for each link of a chain: four frames whose boxes wait for one another from one end to the other."""
+    rows = [(f, 1000 * f + k, 0.5 + (k + 1) / 1000, k * 0.3 + 7.0 * f, 0.0, 1.0, 1.0, 0) for f in range(4) for k in range(400)]
+    spark.sparkContext.setJobGroup("chains", "chains")
+    try:
+        assert got(spark, rows) == brute(rows)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chains")) < 200
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_blocks_of_rows_and_dense_places_equal_the_walk():
+    """Tiles that go over many blocks, blocks of many tiles, and places where all overlap."""
+    rng = random.Random(5)
+    rows = [(k // 900 if k < 1800 else 2 + k // 3, k, rng.choice([0.6, 0.7, rng.uniform(0.5, 1)]), rng.uniform(-9, 9), rng.uniform(-9, 9), 2 ** rng.uniform(0, 4), 2 ** rng.uniform(0, 4), 0) for k in range(3000)]
+    rows += [(-1, 5000 + k, 0.9 - k % 11 / 100, k % 5 / 10, 0.0, 3.0, 3.0, 0) for k in range(700)]
+    frame = pd.DataFrame(sorted(rows, key=lambda r: (r[0], -r[2], *r[1:2], *r[3:])), columns=["_key", "box_id", "score", *"xywh", "class_id"])
+    table = pa.Table.from_pandas(frame.assign(_bx=0, _tx=0, _by=0, _ty=0, _own=True, _open=False), preserve_index=False)
+    for block, most in ((70, 500), (1000, 1 << 22)):
+        out = pa.Table.from_batches(_walked(table.to_batches(64), _Grid(0.45), ["_key", "box_id", "_open"], block, most)).to_pandas()
+        assert not out["_open"].any() and len(out) == len(found := set(zip(out["_key"], out["box_id"], strict=True)))
+        assert found == brute(rows)
+
+
 def test_the_query_equals_the_walk(spark, monkeypatch):
     from conftest import DATA
 
