@@ -32,8 +32,8 @@ class _Grid:
         self.threshold = threshold
         self.ratio = slack / threshold
         self.reach = (1 - threshold) / (2 + 2 * threshold) * slack
-        # a box is shown to the tiles within `halo` of its widths; so all that may meet a box within 8 `reach` of a tile is shown to the tile, too
-        self.halo = (self.reach + 9 * self.reach * self.ratio) * 1.01
+        # a box is shown to the tiles within `halo` of its widths; so all that may meet a box within 4 `reach` of a tile is shown to the tile, too
+        self.halo = (self.reach + 5 * self.reach * self.ratio) * 1.01
 
     def _size(self, level: Column) -> Column:
         return F.pow(F.lit(self.ratio), level + 1)
@@ -80,7 +80,7 @@ class _Grid:
         for b in out:
             least, most = b["low"] / self.ratio**2, b["high"] * self.ratio**2
             b["least"], b["most"] = 0.0 if least <= levels[0].low else least, math.inf if most >= levels[-1].high else most
-            b["side"] = 8 * self.halo * math.exp(b["logs"] / b["n"])
+            b["side"] = 14 * self.halo * math.exp(b["logs"] / b["n"])
         return out
 
     def tiles(self, at: str, size: str, bands: list[dict], shift: float) -> Column:
@@ -125,27 +125,36 @@ class _Boxes:
 
 
 class _Index:
-    """Boxes by the cells that they may meet, so that another box finds them by its own cell."""
-
-    def __init__(self, grid: _Grid, boxes: _Boxes) -> None:
-        self.grid, self.boxes = grid, boxes
-        base = boxes.tile * _MIX[0]
-        wide = grid.spans(boxes.x + boxes.w / 2, boxes.w, grid.levels(boxes.w))
-        high = grid.spans(boxes.y + boxes.h / 2, boxes.h, grid.levels(boxes.h))
+    """Boxes by the cells that they may meet, so that another box finds them by its own cell: first those of its own cell, which most likely overlap it, then those of its levels."""
+
+    def __init__(self, grid: _Grid, boxes: _Boxes, more: _Index | None = None) -> None:
+        """more: an index whose boxes come before these in this one."""
+        self.grid, self.boxes = grid, boxes if more is None else more.boxes + boxes
+        base, lw, lh = boxes.tile * _MIX[0], grid.levels(boxes.w), grid.levels(boxes.h)
+        middle, centre = boxes.x + boxes.w / 2, boxes.y + boxes.h / 2
+        own = grid.cells(middle, lw), grid.cells(centre, lh)
         keys, ids = [], []
-        for lw, cx, nx in wide:
-            for lh, cy, ny in high:
+        for lx, cx, nx in grid.spans(middle, boxes.w, lw):
+            for ly, cy, ny in grid.spans(centre, boxes.h, lh):
                 n = nx * ny
                 who = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                key = base + lw * _MIX[1] + cx * _MIX[2] + lh * _MIX[3] + cy * _MIX[4]
-                keys.append(key[who] + step // ny[who] * _MIX[2] + step % ny[who] * _MIX[4])
+                right, up = step // ny[who], step % ny[who]
+                key = base + lx * _MIX[1] + cx * _MIX[2] + ly * _MIX[3] + cy * _MIX[4]
+                same = (lx == lw) & (ly == lh)
+                home = same[who] & (right == (own[0] - cx)[who]) & (up == (own[1] - cy)[who])
+                keys.append((key[who] + right * _MIX[2] + up * _MIX[4]) & ~3 | np.where(home, 0, 2 - same[who]))
                 ids.append(who)
         key, who = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(key)
-        key, self.who = key[order], who[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.keys, self.first, self.n = key[first], first, np.diff(np.append(first, len(key)))
+        key, who = key[order], who[order]
+        if more is not None:
+            at = np.searchsorted(more.key, key)
+            key, who = np.insert(more.key, at, key), np.insert(more.who, at, who + len(more.boxes))
+        self.key, self.who = key, who
+        cell = key & ~3
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.first, self.n = cell[first], first, np.diff(np.append(first, len(key)))
 
     def found(self, boxes: _Boxes) -> tuple[np.ndarray, np.ndarray]:
         """For each box where those that it may meet begin in `who`, and how many there are."""
@@ -153,7 +162,7 @@ class _Index:
             return np.zeros(len(boxes), np.int64), np.zeros(len(boxes), np.int64)
         lw, lh = self.grid.levels(boxes.w), self.grid.levels(boxes.h)
         cx, cy = self.grid.cells(boxes.x + boxes.w / 2, lw), self.grid.cells(boxes.y + boxes.h / 2, lh)
-        key = boxes.tile * _MIX[0] + lw * _MIX[1] + cx * _MIX[2] + lh * _MIX[3] + cy * _MIX[4]
+        key = (boxes.tile * _MIX[0] + lw * _MIX[1] + cx * _MIX[2] + lh * _MIX[3] + cy * _MIX[4]) & ~3
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.first[at], np.where(self.keys[at] == key, self.n[at], 0)
 
@@ -168,25 +177,36 @@ class _Index:
             other = self.who[np.arange(len(who)) + np.repeat(first[low:high] - np.cumsum(m) + m, m)]
             for at in range(0, len(who), most):  # one box alone may have more
                 i, j = who[at : at + most], other[at : at + most]
-                hit = self._clash(boxes, i, j)
-                yield i[hit], j[hit]
+                yield self._clash(boxes, i, j)
             low = high
 
-    def _clash(self, boxes: _Boxes, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        mine = self.boxes
+    def _clash(self, boxes: _Boxes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine, t = self.boxes, self.grid.threshold
         wide = np.minimum(boxes.right[i], mine.right[j]) - np.maximum(boxes.x[i], mine.x[j])
+        # less than this of both widths is too little whatever the heights are
+        hit = np.flatnonzero((wide > (boxes.w[i] + mine.w[j]) * (t / (1 + t) * (1 - 1e-6))) & (boxes.tile[i] == mine.tile[j]))
+        i, j, wide = i[hit], j[hit], wide[hit]
         high = np.minimum(boxes.top[i], mine.top[j]) - np.maximum(boxes.y[i], mine.y[j])
         both = np.where((wide > 0) & (high > 0), wide * high, 0.0)
-        return ~(both <= self.grid.threshold * (mine.area[j] + boxes.area[i] - both)) & (boxes.tile[i] == mine.tile[j])
+        hit = np.flatnonzero(~(both <= t * (mine.area[j] + boxes.area[i] - both)))
+        return i[hit], j[hit]
 
 
-def _beaten(index: _Index, boxes: _Boxes) -> tuple[np.ndarray, np.ndarray]:
-    """Which boxes go by a box of the index that stays, and which become open by one that is."""
+def _beaten(index: _Index, boxes: _Boxes, some: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Which boxes go by a box of the index that stays, and which become open by one that is. A box that has gone is compared no more."""
     gone, doubt = np.zeros(len(boxes), bool), np.zeros(len(boxes), bool)
-    for i, j in index.meets(boxes, *index.found(boxes)):
-        unsure = index.boxes.open[j]
-        gone[i[~unsure]] = True
-        doubt[i[unsure]] = True
+    first, n = index.found(boxes)
+    left = np.flatnonzero(n)
+    while len(left):
+        part, start, most = boxes[left], first[left], np.minimum(n[left], some)
+        for i, j in index.meets(part, start, most):
+            unsure = index.boxes.open[j]
+            gone[left[i[~unsure]]] = True
+            doubt[left[i[unsure]]] = True
+        first[left] += most
+        n[left] -= most
+        left = left[(n[left] > 0) & ~gone[left]]
+        some *= 2
     return gone, doubt
 
 
@@ -233,7 +253,7 @@ def _settle(grid: _Grid, boxes: _Boxes, most: int) -> np.ndarray:
 
 def _walked(parts: Iterable[pa.RecordBatch], grid: _Grid, out: list[str], block: int = 1 << 14, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Rows of tiles, tile by tile and best first: those of a tile's own that stay or are open. Rows are taken in blocks (in larger ones when there is more
-    to compare them with); what is remembered from one to the next are a tile's boxes that stay or are open."""
+    to compare them with); what is remembered from one to the next are a tile's boxes that stay or are open. `_how` is a hash of the tile, of which only neighbouring rows are compared; its last bits are 2 for a tile's own rows, 1 for open ones."""
     state, last, number = None, None, 0
 
     def walk(table: pa.Table) -> pa.Table:
@@ -243,21 +263,21 @@ def _walked(parts: Iterable[pa.RecordBatch], grid: _Grid, out: list[str], block:
         size = len(x)
         new = np.zeros(size, bool)
         twin = np.zeros(size, bool)
+        how = table["_how"].to_numpy()
         rows = table if last is None else pa.concat_tables([last, table]).combine_chunks()
         skip = size - len(rows)  # 0, or -1 behind the last block's last row
-        change = np.zeros(len(rows) - 1, bool)
-        for c in _TILE:
-            change |= pc.not_equal(rows[c][1:], rows[c][:-1]).to_numpy(zero_copy_only=False) if len(rows) > 1 else False
-        same = ~change
+        name = rows["_how"].to_numpy() & ~3
+        same = name[1:] == name[:-1]
+        change = ~same
         for c in _BOX:
             v = rows[c].to_numpy()
-            same &= v[1:] == v[:-1]
+            same = same & (v[1:] == v[:-1])
         at = np.flatnonzero(same)
         for c in ("score", "box_id"):
             at = at[pc.equal(rows[c].take(at), rows[c].take(at + 1)).to_numpy(zero_copy_only=False).astype(bool)] if len(at) else at
         new[1 + skip :], twin[at + 1 + skip] = change, True
         tile = number + np.cumsum(new)
-        boxes = _Boxes.of(tile, x, y, w, h, table["_open"].to_numpy().astype(bool))
+        boxes = _Boxes.of(tile, x, y, w, h, how & 1 > 0)
         alive = ~twin
         if state is not None:
             head = np.flatnonzero(alive & (tile == number))
@@ -269,13 +289,12 @@ def _walked(parts: Iterable[pa.RecordBatch], grid: _Grid, out: list[str], block:
         stays = _settle(grid, some, most)
         boxes.open[here], alive[here] = some.open, stays
         final = boxes[np.flatnonzero(alive & (tile == tile[-1]))]
-        if state is not None and tile[-1] == number:
-            final, state = (state.boxes + final, state) if len(final) else (None, state)
-        if final is not None:
+        if state is None or tile[-1] != number:
             state = _Index(grid, final)
+        elif len(final):
+            state = _Index(grid, final, state)
         number, last = int(tile[-1]), table.slice(size - 1)
-        keep = np.flatnonzero(alive & table["_own"].to_numpy().astype(bool))
-        return table.set_column(table.schema.get_field_index("_open"), "_open", pa.array(boxes.open)).take(keep).select(out)
+        return table.append_column("_open", pa.array(boxes.open)).take(np.flatnonzero(alive & (how & 2 > 0))).select(out)
 
     held, n = [], 0
     for part in parts:
@@ -323,6 +342,8 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
         kinds = dict(df.dtypes)
         order = [*_TILE, F.desc("score"), "box_id", *_BOX]
         dealt = df.repartition(*_TILE).sortWithinPartitions(*order)
+        how = F.xxhash64(*_TILE).bitwiseAND(F.lit(-4)).bitwiseOR(F.col("_own").cast("long") * 2 + F.col("_open").cast("long"))
+        dealt = dealt.select(*base, how.alias("_how"))
         out = [*base, "_open"]
         return staged(dealt.mapInArrow(partial(_walked, grid=grid, out=out), ", ".join(f"{c} {kinds[c]}" for c in out)))
 

@@ -89,7 +89,7 @@ def test_blocks_of_rows_and_dense_places_equal_the_walk():
     rows = [(k // 900 if k < 1800 else 2 + k // 3, k, rng.choice([0.6, 0.7, rng.uniform(0.5, 1)]), rng.uniform(-9, 9), rng.uniform(-9, 9), 2 ** rng.uniform(0, 4), 2 ** rng.uniform(0, 4), 0) for k in range(3000)]
     rows += [(-1, 5000 + k, 0.9 - k % 11 / 100, k % 5 / 10, 0.0, 3.0, 3.0, 0) for k in range(700)]
     frame = pd.DataFrame(sorted(rows, key=lambda r: (r[0], -r[2], *r[1:2], *r[3:])), columns=["_key", "box_id", "score", *"xywh", "class_id"])
-    table = pa.Table.from_pandas(frame.assign(_bx=0, _tx=0, _by=0, _ty=0, _own=True, _open=False), preserve_index=False)
+    table = pa.Table.from_pandas(frame.assign(_how=frame["_key"] * 4 + 2), preserve_index=False)
     for block, most in ((70, 500), (1000, 1 << 22)):
         out = pa.Table.from_batches(_walked(table.to_batches(64), _Grid(0.45), ["_key", "box_id", "_open"], block, most)).to_pandas()
         assert not out["_open"].any() and len(out) == len(found := set(zip(out["_key"], out["box_id"], strict=True)))
