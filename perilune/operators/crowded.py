@@ -32,8 +32,8 @@ class _Grid:
         self.threshold = threshold
         self.ratio = slack / threshold
         self.reach = (1 - threshold) / (2 + 2 * threshold) * slack
-        # a box is shown to the tiles within `halo` of its widths; so all that may meet a box within 4 `reach` of a tile is shown to the tile, too
-        self.halo = (self.reach + 5 * self.reach * self.ratio) * 1.01
+        # a box is shown to the tiles within `halo` of its widths; so all that may meet a box within 2 `reach` of a tile is shown to the tile, too
+        self.halo = (self.reach + 3 * self.reach * self.ratio) * 1.01
 
     def _size(self, level: Column) -> Column:
         return F.pow(F.lit(self.ratio), level + 1)
@@ -80,26 +80,24 @@ class _Grid:
         for b in out:
             least, most = b["low"] / self.ratio**2, b["high"] * self.ratio**2
             b["least"], b["most"] = 0.0 if least <= levels[0].low else least, math.inf if most >= levels[-1].high else most
-            b["side"] = 14 * self.halo * math.exp(b["logs"] / b["n"])
+            b["side"] = 22 * self.halo * math.exp(b["logs"] / b["n"])
         return out
 
-    def tiles(self, at: str, size: str, bands: list[dict], shift: float) -> Column:
-        """An array of the tiles along one axis that a box is shown to: band, tile, whether it is the box's own, and whether the box may meet some that the tile isn't shown."""
+    def tiles(self, df: DataFrame, at: str, size: str, bands: list[dict], shift: float, axis: str) -> DataFrame:
+        """Each box once for each tile along one axis that it is shown to: band, tile, whether it is the box's own, and whether the box may meet some that the tile isn't shown."""
+        s, c = F.col(size), F.col(f"_t{axis}")
 
-        def of(i: int, b: dict) -> Column:
-            s, side = F.col(size), b["side"]
-            middle, far = (F.col(at) + s / 2) / side + shift, self.halo * s / side
-            unseen = (F.lit(b["least"] > 0) & (s / self.ratio < b["least"])) | (s * self.ratio > b["most"])
+        def of(name: str) -> Column:
+            return F.lit(bands[0][name]) if len(bands) == 1 else F.element_at(F.array(*(F.lit(b[name]) for b in bands)), F.col(f"_b{axis}") + 1)
 
-            def one(c: Column) -> Column:
-                away = F.greatest(c - middle, middle - c - 1, F.lit(0.0)) * side
-                short = away + self.reach * s > (self.halo / 1.005 - self.reach) * s / self.ratio
-                own = (c == F.floor(middle)) & s.between(b["low"], b["high"])
-                return F.struct(F.lit(i).alias("band"), c.alias("tile"), own.alias("own"), (short | unseen).alias("open"))
-
-            return F.when(s.between(b["least"], b["most"]), F.transform(F.sequence(F.floor(middle - far), F.floor(middle + far)), one))
-
-        return F.flatten(F.array_compact(F.array(*(of(i, b) for i, b in enumerate(bands)))))
+        seen = F.array_compact(F.array(*(F.when(s.between(b["least"], b["most"]), F.lit(i)) for i, b in enumerate(bands))))
+        df = df.withColumn(f"_b{axis}", F.lit(0) if len(bands) == 1 else F.explode(seen))
+        middle, far = (F.col(at) + s / 2) / of("side") + shift, self.halo * s / of("side")
+        away = F.greatest(c - middle, middle - c - 1, F.lit(0.0)) * of("side")
+        short = away + self.reach * s > (self.halo / 1.005 - self.reach) * s / self.ratio
+        unseen = ((of("least") > 0) & (s / self.ratio < of("least"))) | (s * self.ratio > of("most"))
+        df = df.withColumn(f"_t{axis}", F.explode(F.sequence(F.floor(middle - far), F.floor(middle + far))))
+        return df.withColumn(f"_own{axis}", (c == F.floor(middle)) & s.between(of("low"), of("high"))).withColumn(f"_open{axis}", short | unseen)
 
 
 class _Boxes:
@@ -353,9 +351,8 @@ def suppress_crowded(boxes: DataFrame, key: str, threshold: float = 0.45, least_
         levels = df.select(size).select("_s.*").groupBy("axis", F.floor(log / math.log(2)).alias("level")).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"), F.sum(log).alias("logs"))
         found = levels.orderBy("level").collect()
         wide, high = (grid.bands([r for r in found if r.axis == c]) for c in "wh")
-        shown = df.withColumn("_a", F.explode(grid.tiles("x", "w", wide, shift))).withColumn("_b", F.explode(grid.tiles("y", "h", high, shift)))
-        named = {"_bx": "_a.band", "_tx": "_a.tile", "_by": "_b.band", "_ty": "_b.tile"}
-        return shown.select(*base, *(F.col(c).alias(n) for n, c in named.items()), (F.col("_a.own") & F.col("_b.own")).alias("_own"), (F.col("_a.open") | F.col("_b.open")).alias("_open"))
+        shown = grid.tiles(grid.tiles(df, "x", "w", wide, shift, "x"), "y", "h", high, shift, "y")
+        return shown.select(*base, *_TILE[2:], (F.col("_ownx") & F.col("_owny")).alias("_own"), (F.col("_openx") | F.col("_openy")).alias("_open"))
 
     (lw, cx), (lh, cy) = grid.cell("x", "w"), grid.cell("y", "h")
     place = ["_key", "class_id", *_CELL]
